@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import leaks
+from . import leaks, textstats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -17,3 +17,14 @@ def query(f):
 @query
 def p8_found(spark, d):
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p9_statistics(spark, d):
+    return textstats.text_statistics(table(spark, d, "documents"))
+
+
+@query
+def p9_found(spark, d):
+    stats = textstats.text_statistics(table(spark, d, "documents"))
+    return stats.filter("n_chars >= 80 and kind <> 'prose'").select("doc_id", "kind").distinct()
