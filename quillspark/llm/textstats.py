@@ -194,6 +194,24 @@ class State:
                 p.closed()
         return self
 
+    def dump(self) -> bytes:
+        """As plain values: the classes need not be known where it is read."""
+        self.close()
+        return pickle.dumps((self.body, *((p.n, p.head, p.tail, p.seen) if p is not None else None for p in (self.first, self.last))))
+
+    @staticmethod
+    def load(data: bytes) -> State:
+        out = State("")
+        out.body, *ends = pickle.loads(data)
+        for name, e in zip(("first", "last"), ends, strict=True):
+            p = None
+            if e is not None:
+                p = Piece("")
+                p.text = None
+                p.n, p.head, p.tail, p.seen = e
+            setattr(out, name, p)
+        return out
+
     def finish(self) -> dict[str, int]:
         if not self.whole:
             self.add(self.first)
@@ -267,19 +285,19 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.DataFrame({"_k": p["_k"], "_i": p["_i"], "_s": [pickle.dumps(State(t).close()) for t in p["_t"]]})
+            yield pd.DataFrame({"_k": p["_k"], "_i": p["_i"], "_s": [State(t).dump() for t in p["_t"]]})
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
         p = p.drop_duplicates("_i").sort_values("_i")
-        states = [pickle.loads(s) for s in p["_s"]]
+        states = [State.load(s) for s in p["_s"]]
         out = states[0]
         for s in states[1:]:
             out = out.join(s)
-        return pd.DataFrame({"_k": p["_k"].iloc[:1], "_i": p["_i"].iloc[:1] // FAN, "_s": [pickle.dumps(out.close())]})
+        return pd.DataFrame({"_k": p["_k"].iloc[:1], "_i": p["_i"].iloc[:1] // FAN, "_s": [out.dump()]})
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            out = pd.DataFrame([derive(pickle.loads(s).finish()) for s in p["_s"]], columns=NAMES)
+            out = pd.DataFrame([derive(State.load(s).finish()) for s in p["_s"]], columns=NAMES)
             out.insert(0, "_k", p["_k"].to_numpy())
             yield out
 
@@ -287,5 +305,5 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
     pieces = d.filter(n > chunk).select("_k", F.posexplode(F.expr(f"transform(sequence(0, cast((length(_t) - 1) div {chunk} as int)), i -> substring(_t, i * {chunk} + 1, {chunk}))")).alias("_i", "_t"))
     states = pieces.repartition("_k", "_i").mapInPandas(part, f"_k {k}, _i int, _s binary")
     for _ in range(LEVELS):
-        states = states.groupBy("_k", F.expr(f"_i div {FAN}").alias("_g")).applyInPandas(lambda _, p: merge(p), f"_k {k}, _i int, _s binary")
+        states = states.groupBy("_k", F.expr(f"_i div {FAN}").alias("_g")).applyInPandas(merge, f"_k {k}, _i int, _s binary")
     return short.unionByName(states.mapInPandas(finish, f"_k {k}, {FIELDS}")).withColumnRenamed("_k", key)
