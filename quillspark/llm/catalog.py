@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import leaks, textstats
+from . import leaks, neardup, textstats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,3 +28,17 @@ def p9_statistics(spark, d):
 def p9_found(spark, d):
     stats = textstats.text_statistics(table(spark, d, "documents"))
     return stats.filter("n_chars >= 80 and kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+def _near(spark, d):
+    return neardup.similar_nodes(neardup.rows_once(table(spark, d, "dual_documents")), "id", "content", n=3, threshold=0.5, least=20)
+
+
+@query
+def p3_found(spark, d):
+    return neardup.similar_pairs(_near(spark, d), "id")
+
+
+@query
+def p3_groups(spark, d):
+    return neardup.groups(_near(spark, d), "id")
