@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..session import table
-from . import leaks, neardup, textstats
+from . import leaks, neardup, neighbours, textstats
+from .common import latest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,3 +43,9 @@ def p3_found(spark, d):
 @query
 def p3_groups(spark, d):
     return neardup.groups(_near(spark, d), "id")
+
+
+@query
+def p2_found(spark, d):
+    chunks = latest(table(spark, d, "code_chunks").select("id", "embedding", "indexed_at"), "id", "indexed_at")
+    return neighbours.nearest(chunks, "id", "embedding").select("id", "neighbour_id")

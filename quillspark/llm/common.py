@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: A word is a maximal run of Unicode letters and digits, lower-cased.
 WORD = re.compile(r"[^\W_]+")
 #: An odd multiplier for rolling hashes modulo 2**64.
@@ -57,18 +59,22 @@ def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return a, r.integers(0, 2**63, n, dtype=np.uint64)
 
 
+#: So many repeated keys are broadcast at most; beyond, the keys are joined by shuffle.
+FEW_KEYS = 200_000
+
+
 def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """One row per key: the one with the latest ``at``.
+    """One row per key: the one with the latest ``at`` (of equal ones any; a null ``at`` is the earliest).
 
-    Only the keys that repeat are shuffled with their rows: the counts come from the two narrow columns,
-    and rows whose key is alone pass through a join against the (small) repeated keys.
+    Only two narrow columns are shuffled to find the keys that repeat, and then only those keys' rows; the other
+    rows pass where they are, by a join against the repeated keys, which are counted before they are broadcast.
     """
-    seen = df.groupBy(key).agg(F.count("*").alias("_n"), F.max(at).alias("_at")).filter("_n > 1").select(F.col(key).alias("_key"))
-    alone = df.join(seen, df[key].eqNullSafe(seen["_key"]), "left_anti")
-    again = df.join(seen, df[key].eqNullSafe(seen["_key"]), "left_semi")
+    seen = materialise(df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_key")), "repeated")
+    few = F.broadcast(seen) if seen.count() <= FEW_KEYS else seen
+    same = df[key].eqNullSafe(few["_key"])
     w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last())
-    again = again.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    return alone.unionByName(again)
+    again = df.join(few, same, "left_semi").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return df.join(few, same, "left_anti").unionByName(again)
 
 
 def broadcast(spark, value):

@@ -193,7 +193,7 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
                 if s is None:
                     continue
                 node = node_of(s)
-                if node in seen or keep is not None and (not len(keep) or keep[min(np.searchsorted(keep, node), len(keep) - 1)] != node):
+                if node in seen or keep is not None and (not len(keep) or keep[min(int(np.searchsorted(keep, node)), len(keep) - 1)] != node):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
