@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import table
-from . import leaks, neardup, neighbours, textstats
+from . import encoding, leaks, neardup, neighbours, textstats
 from .common import latest
 
 QUERIES: dict = {}
@@ -49,3 +51,18 @@ def p3_groups(spark, d):
 def p2_found(spark, d):
     chunks = latest(table(spark, d, "code_chunks").select("id", "embedding", "indexed_at"), "id", "indexed_at")
     return neighbours.nearest(chunks, "id", "embedding").select("id", "neighbour_id")
+
+
+def _encoding(spark, d):
+    return encoding.repaired(latest(table(spark, d, "dual_documents").select("id", "content", "indexed_at"), "id", "indexed_at"))
+
+
+@query
+def p5_found(spark, d):
+    return _encoding(spark, d).filter("affected").select("id").distinct()
+
+
+@query
+def p5_restored(spark, d):
+    """The affected rows with the chain and the text as far as it could be restored."""
+    return _encoding(spark, d).filter("affected").select("id", "chain", "restored", F.col("text").alias("content"))
