@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, leaks, neardup, neighbours, textstats
+from . import encoding, leaks, neardup, neighbours, packing, textstats
 from .common import latest
 
 QUERIES: dict = {}
@@ -66,3 +66,8 @@ def p5_found(spark, d):
 def p5_restored(spark, d):
     """The affected rows with the chain and the text as far as it could be restored."""
     return _encoding(spark, d).filter("affected").select("id", "chain", "restored", F.col("text").alias("content"))
+
+
+@query
+def p7_packed(spark, d):
+    return packing.pack(table(spark, d, "documents"))
