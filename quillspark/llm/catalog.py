@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, leaks, neardup, neighbours, packing, textstats
+from . import codefiles, encoding, leaks, neardup, neighbours, packing, syntax, textstats
 from .common import latest
 
 QUERIES: dict = {}
@@ -71,3 +71,23 @@ def p5_restored(spark, d):
 @query
 def p7_packed(spark, d):
     return packing.pack(table(spark, d, "documents"))
+
+
+def _files(spark, d):
+    return codefiles.files(table(spark, d, "code_chunks"))
+
+
+@query
+def p6_found(spark, d):
+    return syntax.checked(_files(spark, d)).filter("verdict <> 'valid'").select(*codefiles.FILE)
+
+
+@query
+def p6_files(spark, d):
+    """Every invalid file with what is wrong with it."""
+    return syntax.checked(_files(spark, d)).filter("verdict <> 'valid'")
+
+
+@query
+def p6_rates(spark, d):
+    return syntax.rates(syntax.checked(_files(spark, d)))
