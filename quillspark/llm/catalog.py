@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import codefiles, encoding, leaks, neardup, neighbours, packing, syntax, textstats
+from . import codefiles, encoding, leaks, neardup, neighbours, packing, provenance, syntax, textstats
 from .common import latest
 
 QUERIES: dict = {}
@@ -91,3 +91,14 @@ def p6_files(spark, d):
 @query
 def p6_rates(spark, d):
     return syntax.rates(syntax.checked(_files(spark, d)))
+
+
+@query
+def p4_found(spark, d):
+    return provenance.not_handwritten(_files(spark, d)).select(*codefiles.FILE).distinct()
+
+
+@query
+def p4_files(spark, d):
+    """The same files with what they are."""
+    return provenance.not_handwritten(_files(spark, d))
