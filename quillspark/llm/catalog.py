@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import codefiles, encoding, leaks, neardup, neighbours, packing, provenance, syntax, textstats
+from . import codefiles, encoding, leaks, neardup, neighbours, packing, provenance, scans, syntax, textstats
 from .common import latest
 
 QUERIES: dict = {}
@@ -102,3 +102,13 @@ def p4_found(spark, d):
 def p4_files(spark, d):
     """The same files with what they are."""
     return provenance.not_handwritten(_files(spark, d))
+
+
+@query
+def p1_found(spark, d):
+    return scans.repaired(table(spark, d, "dual_documents")).select("id", F.explode("kinds").alias("kind")).distinct()
+
+
+@query
+def p1_repaired(spark, d):
+    return scans.repaired(table(spark, d, "dual_documents")).select("id", "text")
