@@ -122,10 +122,10 @@ def token_estimate(text: Column, chars_per_token: float = 3.3) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    """1.5 KB and the like, in powers of 1024."""
-    out = F.format_string("%.1f PB", n / F.lit(1024.0**5))
+    """1.5 KB and the like, in powers of 1024; ties go to the even digit."""
+    out = F.format_string("%.1f PB", F.bround(n / F.lit(1024.0**5), 1))
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", n / F.lit(1024.0**k))).otherwise(out)
+        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / F.lit(1024.0**k), 1))).otherwise(out)
     return out
 
 

@@ -1,6 +1,704 @@
-"""Query catalogue of the core: name -> plan, and name -> SQL that must give the same rows."""
+"""Query catalogue of the core: name -> plan, and name -> SQL that must give the same rows.
+
+Plans run over whole tables. Floats are rounded to six places and lists are joined to strings, so that both engines
+can be compared by value.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import embed, paths, vectors
+from ..functions import text as tx
+from ..operators import chunkers, dml, filters, fulltext, integrity, listings, sync, vector_search
+from ..session import table as t
+from ..streaming import ingest
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- vector search ----------------------------------------------------------------------------------------------
+
+_Q = "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
+_COS = "list_cosine_similarity(embedding::DOUBLE[], e)"
+
+
+def _points(spark: SparkSession, d: str) -> tuple[DataFrame, list[float]]:
+    e = t(spark, d, "embeddings")
+    return e, [float(x) for x in e.orderBy("vec_id").select("embedding").first()["embedding"]]
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"{_Q} SELECT vec_id, label, round({_COS}, 6) AS score FROM embeddings, q ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def knn_cosine_topk(spark, d):
+    e, q = _points(spark, d)
+    return _rounded(vector_search.search(e, q, "vec_id"))
+
+
+@query(f"{_Q} SELECT vec_id, label, round({_COS}, 6) AS score FROM embeddings, q WHERE label IN (1, 2, 3) AND {_COS} >= 0.05 ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def knn_filtered_threshold(spark, d):
+    e, q = _points(spark, d)
+    return _rounded(vector_search.search(e, q, "vec_id", threshold=0.05, where=filters.parse(e, "label:in:1,2,3")))
+
+
+@query(f"{_Q} SELECT vec_id, label, round(list_inner_product(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q ORDER BY list_inner_product(embedding::DOUBLE[], e) DESC, vec_id LIMIT 10")
+def knn_dot(spark, d):
+    e, q = _points(spark, d)
+    return _rounded(vector_search.search(e, q, "vec_id", metric="dot"))
+
+
+@query(f"{_Q} SELECT vec_id, label, round(list_distance(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q ORDER BY list_distance(embedding::DOUBLE[], e), vec_id LIMIT 10")
+def knn_euclid(spark, d):
+    e, q = _points(spark, d)
+    return _rounded(vector_search.search(e, q, "vec_id", metric="euclid"))
+
+
+@query(f"{_Q} SELECT vec_id, label, round({_COS}, 6) AS score FROM embeddings, q ORDER BY {_COS} DESC, vec_id LIMIT 10 OFFSET 20")
+def knn_pagination_offset(spark, d):
+    e, q = _points(spark, d)
+    return _rounded(vector_search.search(e, q, "vec_id", offset=20))
+
+
+@query(f"""{_Q}, r AS (SELECT vec_id, label, {_COS} AS s, row_number() OVER (PARTITION BY label ORDER BY {_COS} DESC, vec_id) AS corpus_rank FROM embeddings, q WHERE label IN (2, 0, 5))
+SELECT vec_id, label, corpus_rank, round(s, 6) AS score FROM r WHERE corpus_rank <= 15 ORDER BY s DESC, list_position([2, 0, 5], label), corpus_rank LIMIT 10 OFFSET 5""")
+def knn_multi_corpus_merge(spark, d):
+    e, q = _points(spark, d)
+    return vector_search.search_corpora(e, q, "vec_id", "label", [2, 0, 5], 10, 5).select("vec_id", "label", F.col("corpus_rank").cast("long").alias("corpus_rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"{_Q}, s AS (SELECT {_COS} AS s FROM embeddings, q ORDER BY s DESC LIMIT 100) SELECT count(*) AS n_results, round(avg(s), 6) AS avg_score, round(max(s), 6) AS max_score, round(min(s), 6) AS min_score FROM s")
+def knn_score_summary(spark, d):
+    e, q = _points(spark, d)
+    return vector_search.summary(vector_search.search(e, q, "vec_id", limit=100))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9")
+def knn_similar_pairs(spark, d):
+    return vector_search.similar_pairs_exact(t(spark, d, "embeddings"), "vec_id", 0.9).withColumn("score", F.round("score", 6))
+
+
+_VALID = """CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'size' WHEN list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) THEN 'nan'
+WHEN list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 THEN 'zero' WHEN sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) NOT BETWEEN 0.01 AND 1000 THEN 'norm' WHEN list_var_pop(embedding::DOUBLE[]) < 1e-10 THEN 'flat' END"""
+
+
+@query(f"WITH v AS (SELECT DISTINCT id, {_VALID} AS fault FROM code_chunks) SELECT coalesce(fault, 'none') AS fault, count(*) AS n FROM v GROUP BY 1")
+def embedding_validity(spark, d):
+    v = t(spark, d, "code_chunks").select("id", vectors.fault(F.col("embedding"), 64).alias("fault")).distinct()
+    return v.groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count("*").alias("n"))
+
+
+@query()
+def embedding_quantized(spark, d):
+    """int8 steps of each vector (rows only: rounding at ties differs between engines)."""
+    return t(spark, d, "embeddings").select("vec_id", vectors.quantized(F.col("embedding").cast("array<double>"), 3.0).alias("steps"))
+
+
+# --- filters ----------------------------------------------------------------------------------------------------
+
+
+def _docs(spark, d):
+    return t(spark, d, "documents")
+
+
+def _filtered(expr):
+    def run(spark, d):
+        df = _docs(spark, d)
+        return df.filter(filters.parse(df, expr)).select("doc_id", "lang", "source")
+
+    return run
+
+
+for _name, _expr, _sql in (
+    ("filter_simple", "lang=fr,source=handbook", "lang = 'fr' AND source = 'handbook'"),
+    ("filter_extended_in", "lang:in:en,de,source:in:handbook,field-manual", "lang IN ('en', 'de') AND source IN ('handbook', 'field-manual')"),
+    ("filter_range", "n_chars:gte:500,n_chars:lt:2000", "n_chars >= 500 AND n_chars < 2000"),
+    ("filter_contains", "text:contains:index", "contains(text, 'index')"),
+    ("filter_match_number", "doc_id:match:17", "doc_id = 17"),
+    ("filter_json_must_should_not", '{"must": [{"key": "n_chars", "range": {"gt": 300}}], "should": [{"key": "lang", "match": {"value": "en"}}, {"key": "lang", "match": {"value": "fr"}}], "must_not": [{"key": "source", "match": {"any": ["handbook", "field-manual"]}}]}',
+     "n_chars > 300 AND (coalesce(lang = 'en', false) OR coalesce(lang = 'fr', false)) AND NOT coalesce(source IN ('handbook', 'field-manual'), false)"),
+    ("filter_min_should", '{"min_should": {"conditions": [{"key": "lang", "match": {"value": "en"}}, {"key": "n_chars", "range": {"gte": 1000}}, {"key": "source", "match": {"value": "handbook"}}], "min_count": 2}}',
+     "(coalesce(lang = 'en', false)::INT + coalesce(n_chars >= 1000, false)::INT + coalesce(source = 'handbook', false)::INT) >= 2"),
+):
+    QUERIES[_name] = _filtered(_expr)
+    SQL[_name] = f"SELECT doc_id, lang, source FROM documents WHERE {_sql}"
+
+
+@query("SELECT doc_id, lang, collection FROM documents WHERE (lower(lang) = 'en' OR lower(lang) IN ('de', 'fr')) AND n_chars BETWEEN 200 AND 3000 AND NOT coalesce(lower(source) = 'handbook', false) AND collection IS NOT NULL")
+def text_filter_expression(spark, d):
+    df = _docs(spark, d)
+    f = filters.text_filter(df, '(lang = EN OR lang IN ["de", fr]) AND n_chars 200 TO 3000 AND NOT source = handbook AND collection EXISTS')
+    return df.filter(f).select("doc_id", "lang", "collection")
+
+
+@query("SELECT git_project_identifier, file_path FROM code_chunks WHERE (file_path IS NULL) OR ((file_path LIKE '%/src/%' OR file_path LIKE '%.go') AND file_path NOT LIKE '%/index/%') GROUP BY 1, 2")
+def glob_include_exclude(spark, d):
+    c = t(spark, d, "code_chunks")
+    return c.filter(filters.globs(F.col("file_path"), ["*/src/*", "*.go"], ["*/index/*"])).select("git_project_identifier", "file_path").distinct()
+
+
+@query("SELECT git_project_identifier, count(*) AS n FROM code_chunks WHERE git_project_identifier = 'tinder-vault#main' OR git_project_name = 'orchard-index' GROUP BY 1")
+def repository_filter(spark, d):
+    c = t(spark, d, "code_chunks")
+    return c.filter(filters.repositories(c, ["tinder-vault#main", "orchard-index"])).groupBy("git_project_identifier").agg(F.count("*").alias("n"))
+
+
+# --- full text --------------------------------------------------------------------------------------------------
+
+_TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+_DT = _TOK.format("text")
+_STOP = "('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for')"
+#: One row per document and term, with its first place.
+_IDX = f"WITH tk AS (SELECT doc_id, unnest({_DT}) AS term, generate_subscripts({_DT}, 1) - 1 AS pos FROM documents), idx AS (SELECT doc_id, term, min(pos) AS pos, count(*) AS tf FROM tk WHERE term NOT IN {_STOP} GROUP BY 1, 2)"
+
+
+def _settings(**over):
+    return fulltext.index_settings("pdf") | {"searchable": ["text"], "max_total_hits": 10_000_000} | over
+
+
+@query(f"""{_IDX}, h AS (SELECT doc_id, 'vector' AS w, pos FROM idx WHERE term = 'vector' UNION ALL SELECT doc_id, 'store', min(pos) FROM idx WHERE term LIKE 'store%' AND term <> '' GROUP BY doc_id)
+SELECT doc_id, count(*) AS words_matched FROM h GROUP BY doc_id HAVING count(*) = 2""")
+def fts_keyword_and(spark, d):
+    """Both words; the last may be a prefix. Short words allow no typo."""
+    s = _settings(one_typo=99, two_typos=99)
+    return fulltext.search(_docs(spark, d), "doc_id", "vector store", s, limit=10_000_000).select("doc_id", "words_matched")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_DT}, ' ') || ' ', ' vector store ') AND contains(' ' || array_to_string({_DT}, ' ') || ' ', ' short delay ')")
+def fts_phrase(spark, d):
+    return fulltext.search(_docs(spark, d), "doc_id", '"vector store" "short delay"', _settings(), limit=10_000_000).select("doc_id")
+
+
+@query(f"{_IDX} SELECT DISTINCT doc_id FROM idx WHERE term LIKE 'token%'")
+def fts_prefix_last(spark, d):
+    return fulltext.search(_docs(spark, d), "doc_id", "token", _settings(one_typo=99, two_typos=99), limit=10_000_000).select("doc_id")
+
+
+@query(f"""{_IDX}, v AS (SELECT term, min(CASE WHEN term LIKE 'snapshit%' THEN 0 ELSE levenshtein(term, 'snapshit') END) AS typos FROM idx WHERE regexp_full_match(term, '[a-z0-9_]+') AND (term LIKE 'snapshit%' OR levenshtein(term, 'snapshit') <= 1) GROUP BY 1)
+SELECT doc_id, min(typos)::BIGINT AS typos FROM idx JOIN v USING (term) GROUP BY 1""")
+def fts_typo_one_edit(spark, d):
+    """One edit for eight letters; over ASCII terms, where both engines count edits alike."""
+    docs = _docs(spark, d)
+    idx = fulltext.postings(docs, "doc_id", ["text"], _settings()["stop_words"]).filter(F.col("term").rlike("^[a-z0-9_]+$"))
+    return fulltext.search(docs, "doc_id", "snapshit", _settings(), limit=10_000_000, index=idx).select("doc_id", "typos")
+
+
+@query(r"""WITH tk AS (SELECT id, 0 AS attr_rank, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) AS term FROM (SELECT DISTINCT id, content, title FROM dual_documents) UNION ALL
+SELECT id, 1, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+')) FROM (SELECT DISTINCT id, content, title FROM dual_documents))
+SELECT id, min(attr_rank)::INT AS attr_rank FROM tk WHERE term LIKE 'scheduler%' GROUP BY 1""")
+def fts_attribute_rank(spark, d):
+    docs = t(spark, d, "dual_documents").select("id", "content", "title").distinct()
+    s = fulltext.index_settings("pdf") | {"max_total_hits": 10_000_000, "one_typo": 99, "two_typos": 99}
+    return fulltext.search(docs, "id", "scheduler", s, limit=10_000_000).select("id", "attr_rank")
+
+
+@query(f"{_IDX} SELECT count(DISTINCT term) AS n_terms, sum(tf)::BIGINT AS n_tokens, count(DISTINCT doc_id) AS n_docs FROM idx")
+def inverted_index_stats(spark, d):
+    return fulltext.statistics(fulltext.postings(_docs(spark, d), "doc_id", ["text"], _settings()["stop_words"]), "doc_id")
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(text, '(?i)\b(index|corpus)\b', '<em>\1</em>', 'g')) AS marked FROM documents WHERE regexp_matches(text, '(?i)\b(index|corpus)\b')")
+def fts_highlight(spark, d):
+    """Over the words of English; hashes stand for the marked texts."""
+    return _docs(spark, d).filter(F.col("text").rlike(r"(?i)\b(index|corpus)\b")).select("doc_id", F.sha2(F.regexp_replace("text", r"(?i)\b(index|corpus)\b", "<em>$1</em>"), 256).alias("marked"))
+
+
+@query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS corpus_rank FROM documents WHERE lang IN ('fr', 'en', 'de'))
+SELECT doc_id, lang, corpus_rank FROM r WHERE corpus_rank <= 25 ORDER BY corpus_rank, list_position(['fr', 'en', 'de'], lang) LIMIT 20 OFFSET 5""")
+def fts_round_robin(spark, d):
+    df = fulltext.round_robin(_docs(spark, d), "lang", ["fr", "en", "de"], [F.col("n_chars").desc(), F.col("doc_id")], 20, 5)
+    return df.select("doc_id", "lang", F.col("corpus_rank").cast("long").alias("corpus_rank"))
+
+
+@query("SELECT id, CASE WHEN page_number IS NOT NULL THEN file_path || ':page' || page_number ELSE file_path END AS location FROM (SELECT DISTINCT id, file_path, page_number FROM dual_documents)")
+def result_location(spark, d):
+    r = t(spark, d, "dual_documents").select("id", "file_path", "page_number").distinct()
+    return r.select("id", fulltext.location(F.col("file_path"), page=F.col("page_number")).alias("location"))
+
+
+# --- text functions ---------------------------------------------------------------------------------------------
+
+_SW = "(" + ", ".join(f"'{w}'" for w in tx.QUALITY_STOP_WORDS) + ")"
+_BLANK = r"regexp_full_match(coalesce(text, ''), '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]*')"
+_M = r"""WITH m AS (SELECT doc_id, lang, text, length(text) AS n, regexp_extract_all(lower(text), '[a-z]+') AS w, length(text) - length(replace(text, chr(65533), '')) AS bad, length(regexp_replace(text, '[^\x20-\x7e\n\r\t]', '', 'g')) AS ok FROM documents),
+k AS (SELECT *, len(list_filter(w, lambda x: x IN """ + _SW + "))::DOUBLE AS st, length(array_to_string(w, ''))::DOUBLE AS wl FROM m)"
+_SCORE = f"""CASE WHEN {_BLANK} THEN 0.0 ELSE round(least(1.0, greatest(0.0, 0.35 * greatest(0.0, 1 - 10 * (bad / n::DOUBLE)) + 0.30 * CASE WHEN len(w) > 0 THEN least(1.0, (st / len(w)) / 0.15) ELSE 0.0 END
++ 0.20 * least(1.0, (ok / n::DOUBLE) / 0.7) + 0.15 * CASE WHEN len(w) = 0 THEN 0.0 WHEN wl / len(w) > 15 OR wl / len(w) < 2 THEN 0.2 WHEN wl / len(w) > 10 THEN 0.6 ELSE 1.0 END)), 3) END"""
+
+
+@query(f"{_M} SELECT doc_id, {_SCORE} AS score FROM k")
+def text_quality_score(spark, d):
+    return _docs(spark, d).select("doc_id", tx.score_text(F.col("text")).alias("score"))
+
+
+@query(f"{_M} SELECT doc_id, ({_BLANK} OR bad / n::DOUBLE > 0.05 OR (len(w) = 0 AND n > 100 AND ok / n::DOUBLE < 0.1) OR (len(w) > 100 AND st / len(w) < 0.02)) AS needs_ocr FROM k")
+def needs_ocr(spark, d):
+    return _docs(spark, d).select("doc_id", tx.needs_ocr(F.col("text")).alias("needs_ocr"))
+
+
+@query("SELECT collection, file_path, CASE WHEN page_count IS NULL OR page_count < 2 THEN false ELSE coalesce(total_text_chars, 0) / page_count::DOUBLE < 500 END AS dropout FROM file_verifications")
+def dropout_flag(spark, d):
+    return t(spark, d, "file_verifications").select("collection", "file_path", tx.looks_like_dropout(F.col("total_text_chars"), F.col("page_count")).alias("dropout"))
+
+
+@query(f"{_M} SELECT lang, round(avg(CASE WHEN NOT {_BLANK} THEN {_SCORE} END), 3) AS avg_quality_score, sum(n)::BIGINT AS total_chars, count(*) AS chunks, coalesce(round(avg(CASE WHEN NOT {_BLANK} THEN {_SCORE} END), 3) < 0.9, false) AS has_garbled_text FROM k GROUP BY lang")
+def collection_quality_report(spark, d):
+    return integrity.quality(_docs(spark, d), ["lang"], "text")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN instr(reverse(substring(text, 1, 200)), ' ') > 0 AND 200 - instr(reverse(substring(text, 1, 200)), ' ') > 160 THEN substring(text, 1, 200 - instr(reverse(substring(text, 1, 200)), ' ')) || '...' ELSE substring(text, 1, 200) || '...' END AS snippet FROM documents")
+def snippet(spark, d):
+    return _docs(spark, d).select("doc_id", tx.snippet(F.col("text")).alias("snippet"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g')) AS clean FROM documents")
+def sanitize(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(tx.sanitize(F.col("text"))).alias("clean"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(substring(text, 1, 300)), '[ \t\n\r\f\v_]+', '-', 'g'), '[^a-z0-9\-]', '', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)
+SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE regexp_replace(substring(regexp_replace(s, '-+', '-', 'g'), 1, 50), '-+$', '') END AS slug FROM a""")
+def slugify(spark, d):
+    """Of the first line or so, as titles are slugged."""
+    return _docs(spark, d).select("doc_id", tx.slugify(F.substring("text", 1, 300)).alias("slug"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[\t\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', ' ', 'g'), '\n{4,}', E'\n\n\n', 'g'), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')) AS text_hash FROM documents")
+def normalize_ws(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(tx.normalize_whitespace(F.col("text"))).alias("text_hash"))
+
+
+@query(r"SELECT id, CASE WHEN regexp_extract(content, '(?m)^#[ \t]+(\S[^\n\r]*)$', 1) <> '' THEN regexp_extract(content, '(?m)^#[ \t]+(\S[^\n\r]*)$', 1) ELSE filename END AS title, array_to_string(regexp_extract_all(content, '(?m)^#{1,6}[ \t]+(\S[^\n\r]*)$', 1), ' | ') AS headings FROM (SELECT DISTINCT id, content, filename FROM dual_documents WHERE document_type = 'md')")
+def title_headings(spark, d):
+    m = t(spark, d, "dual_documents").filter("document_type = 'md'").select("id", "content", "filename").distinct()
+    return m.select("id", tx.title(F.col("content"), F.col("filename")).alias("title"), tx.headings(F.col("content")).alias("headings"))
+
+
+@query("SELECT collection, file_path, CASE WHEN file_size < 1024 THEN printf('%.1f B', file_size::DOUBLE) WHEN file_size < 1048576 THEN printf('%.1f KB', file_size / 1024.0::DOUBLE) ELSE printf('%.1f MB', file_size / 1048576.0::DOUBLE) END AS size FROM (SELECT DISTINCT collection, file_path, file_size FROM file_manifests)")
+def format_size(spark, d):
+    m = t(spark, d, "file_manifests").select("collection", "file_path", "file_size").distinct()
+    return m.select("collection", "file_path", tx.format_size(F.col("file_size")).alias("size"))
+
+
+@query("""WITH s AS (SELECT DISTINCT n_chars AS n FROM documents) SELECT n, CASE WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN (n // 60) || 'm' || CASE WHEN n % 60 = 0 THEN '' ELSE ' ' || (n % 60) || 's' END
+ELSE (n // 3600) || 'h' || CASE WHEN (n % 3600) // 60 = 0 THEN '' ELSE ' ' || ((n % 3600) // 60) || 'm' END END AS duration FROM s""")
+def format_duration(spark, d):
+    return _docs(spark, d).select(F.col("n_chars").alias("n")).distinct().select("n", tx.format_duration(F.col("n")).alias("duration"))
+
+
+_LANG = "CASE lower(regexp_extract(file_path, '[^./]\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.LANGUAGE_OF_EXTENSION.items()) + " END"
+
+
+@query(f"SELECT {_LANG} AS language, count(DISTINCT file_path) AS files FROM code_chunks GROUP BY 1")
+def language_of_extension(spark, d):
+    return t(spark, d, "code_chunks").groupBy(paths.language_of(F.col("file_path")).alias("language")).agg(F.countDistinct("file_path").alias("files"))
+
+
+@query(r"SELECT DISTINCT id, substring(regexp_replace(concat_ws('_', substring(regexp_replace(git_project_identifier, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 100), substring(regexp_replace(file_path, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 200), substring(regexp_replace(filename, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 100), chunk_index::VARCHAR), '_+', '_', 'g'), 1, 511) AS doc_key FROM code_chunks")
+def document_ids(spark, d):
+    c = t(spark, d, "code_chunks")
+    return c.select("id", paths.document_id(F.col("git_project_identifier"), F.col("file_path"), F.col("filename"), F.col("chunk_index")).alias("doc_key")).distinct()
+
+
+@query("SELECT git_project_identifier, git_project_name || '#' || git_branch || '@' || CASE WHEN coalesce(git_commit_hash, '') = '' THEN 'unknown' ELSE substring(git_commit_hash, 1, 7) END AS version FROM git_projects")
+def version_ids(spark, d):
+    g = t(spark, d, "git_projects")
+    return g.select("git_project_identifier", paths.version_id(F.col("git_project_name"), F.col("git_branch"), F.col("git_commit_hash")).alias("version"))
+
+
+@query(r"""SELECT git_project_identifier, regexp_replace(git_remote_url, '^(https?://)[^/@]*@', '\1') AS url, CASE WHEN coalesce(regexp_extract(regexp_replace(git_remote_url, '\.git$', ''), '([^/:]*)$', 1), '') <> '' AND (contains(git_remote_url, '/') OR contains(git_remote_url, ':'))
+THEN regexp_extract(regexp_replace(git_remote_url, '\.git$', ''), '([^/:]*)$', 1) ELSE regexp_extract(git_project_root, '([^/]*)/*$', 1) END AS project FROM git_projects""")
+def project_from_url(spark, d):
+    g = t(spark, d, "git_projects")
+    return g.select("git_project_identifier", paths.strip_credentials(F.col("git_remote_url")).alias("url"), paths.project_of(F.col("git_remote_url"), F.col("git_project_root")).alias("project"))
+
+
+@query(r"SELECT DISTINCT file_path, CASE WHEN starts_with(file_path, '/srv/repos/') THEN substring(file_path, 12) ELSE file_path END AS relative, CASE WHEN starts_with(file_path, '/srv/repos/') THEN '/mnt/new/' || substring(file_path, 12) ELSE file_path END AS attached FROM dual_documents")
+def path_detach_attach(spark, d):
+    p = t(spark, d, "dual_documents").select("file_path").distinct()
+    rel = paths.detach(F.col("file_path"), F.lit("/srv/repos/"))
+    return p.select("file_path", rel.alias("relative"), paths.attach(rel, F.lit("/mnt/new")).alias("attached"))
+
+
+@query(r"SELECT DISTINCT file_path, CASE WHEN starts_with(file_path, '/srv/repos/orchard-index/') THEN '/data/oi' || substring(file_path, 25) WHEN starts_with(file_path, '/srv/repos/') THEN '/data/repos' || substring(file_path, 11) ELSE file_path END AS moved FROM code_chunks")
+def path_remap(spark, d):
+    p = t(spark, d, "code_chunks").select("file_path").distinct()
+    return p.select("file_path", paths.remap(F.col("file_path"), [("/srv/repos/orchard-index", "/data/oi"), ("/srv/repos", "/data/repos")]).alias("moved"))
+
+
+@query("SELECT CASE WHEN count(*) = 0 THEN NULL ELSE '/srv' END AS root FROM dual_documents WHERE starts_with(file_path, '/')")
+def path_root(spark, d):
+    return listings.common_root(t(spark, d, "dual_documents"))
+
+
+# --- counts and listings ----------------------------------------------------------------------------------------
+
+
+@query("SELECT sha256(text) AS content_hash, count(DISTINCT file_path) AS n_paths, min(file_path) AS first_path, max(file_path) AS last_path FROM documents GROUP BY 1 HAVING count(DISTINCT file_path) > 1")
+def content_hash_groups(spark, d):
+    return listings.paths_by_content(_docs(spark, d).withColumn("content_hash", paths.content_hash(F.col("text"))), "content_hash", "file_path")
+
+
+@query("SELECT collection, file_path, count(*) AS chunks, arg_min(filename, id || indexed_at) AS filename, arg_min(document_type, id || indexed_at) AS document_type FROM dual_documents GROUP BY 1, 2")
+def items_by_file(spark, d):
+    r = t(spark, d, "dual_documents")
+    return listings.items(r, ["collection", "file_path"], ["filename", "document_type"], "id")
+
+
+@query("SELECT git_project_identifier, min(git_commit_hash) AS commit, count(*) AS chunks, count(DISTINCT git_commit_hash) > 1 AS mixed_commits FROM code_chunks WHERE git_project_identifier IS NOT NULL GROUP BY 1")
+def indexed_projects(spark, d):
+    return listings.projects(t(spark, d, "code_chunks"), order="git_commit_hash")
+
+
+@query("SELECT collection, count(*) AS chunks, count(DISTINCT file_path) AS items FROM dual_documents GROUP BY 1")
+def distinct_items(spark, d):
+    return listings.distinct_items(t(spark, d, "dual_documents"), ["collection"])
+
+
+@query(r"WITH b AS (SELECT DISTINCT split_part(git_project_identifier, '#', 1) AS project, regexp_extract(git_project_identifier, '#(.*)$', 1) AS branch FROM code_chunks WHERE contains(git_project_identifier, '#')) SELECT project, count(*) AS n_branches, string_agg(branch, ',' ORDER BY branch) AS branches FROM b GROUP BY 1")
+def branch_list(spark, d):
+    return listings.branches(t(spark, d, "code_chunks"))
+
+
+@query("SELECT git_project_identifier, count(*) AS chunks FROM dual_documents WHERE git_project_identifier IS NOT NULL GROUP BY 1 HAVING count(*) < 5")
+def low_count_projects(spark, d):
+    return listings.low_counts(t(spark, d, "dual_documents"), "git_project_identifier")
+
+
+@query("SELECT CASE WHEN count(DISTINCT file_path) < 10000 THEN count(DISTINCT file_path) END AS distinct_values FROM dual_documents")
+def facet_count(spark, d):
+    return listings.facet(t(spark, d, "dual_documents"), "file_path")
+
+
+@query("SELECT collection, file_path, min(quick_hash) AS quick_hash, min(file_hash) AS file_hash, coalesce(max(chunk_count)::BIGINT, count(*)) AS chunk_count, max(file_size) AS file_size FROM dual_documents GROUP BY 1, 2")
+def manifest_build(spark, d):
+    return listings.manifests(t(spark, d, "dual_documents"), ["collection", "file_path"])
+
+
+_DUR = "CASE WHEN duration_ms >= 0 THEN duration_ms END"
+
+
+@query(f"""WITH o AS (SELECT entry_id, any_value(command_name) AS command_name, any_value(error_text) AS error_text, any_value(result_count) AS result_count, any_value(duration_ms) AS duration_ms FROM interaction_log GROUP BY 1)
+SELECT command_name, count(*) AS runs, count(error_text) AS failures, round(avg(result_count), 6) AS mean_results, quantile_disc({_DUR}, 0.5)::BIGINT AS p50_ms, quantile_disc({_DUR}, 0.95)::BIGINT AS p95_ms, max({_DUR}) AS max_ms FROM o GROUP BY 1""")
+def log_usage(spark, d):
+    return listings.log_usage(t(spark, d, "interaction_log"))
+
+
+@query("""WITH o AS (SELECT DISTINCT ON (entry_id) entry_id, logged_at, command_name, error_text FROM interaction_log ORDER BY entry_id)
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, logged_at::TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS window_start, command_name, count(*) AS runs, count(error_text) AS failures FROM o WHERE logged_at IS NOT NULL GROUP BY 1, 2""")
+def log_usage_windows(spark, d):
+    return ingest.usage(t(spark, d, "interaction_log")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def event_counts(spark, d):
+    return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# --- integrity --------------------------------------------------------------------------------------------------
+
+_FC = """WITH per AS (SELECT {k}, chunk_index, count(*) AS n, max(chunk_count) AS hi, min(chunk_count) AS lo FROM {t} WHERE chunk_index IS NOT NULL GROUP BY ALL),
+f AS (SELECT {k}, max(hi) AS expected_chunks, count(*) AS distinct_chunks, sum(n)::BIGINT AS actual_rows, sum(n - 1)::BIGINT AS duplicate_chunks, max(hi) <> min(lo) AS conflicting_counts, list_sort(list(chunk_index)) AS have FROM per GROUP BY {k}),
+g AS (SELECT *, list_filter(range(0, coalesce(expected_chunks, 0)), lambda x: NOT list_contains(have, x::INT)) AS miss, list_filter(have, lambda x: x < 0 OR x >= coalesce(expected_chunks, 0)) AS more FROM f),
+c AS (SELECT {k}, expected_chunks, distinct_chunks, actual_rows, duplicate_chunks, conflicting_counts, array_to_string(miss, ',') AS missing_indices, array_to_string(more, ',') AS unexpected_indices,
+len(miss) = 0 AND len(more) = 0 AND coalesce(NOT conflicting_counts, true) AND coalesce(expected_chunks > 0, false) AS is_complete FROM g)"""
+_FCD = _FC.format(k="collection, file_path", t="dual_documents")
+
+
+def _complete(spark, d):
+    return integrity.file_completeness(t(spark, d, "dual_documents"), ["collection", "file_path"])
+
+
+def _joined(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.array_join(F.col(c).cast("array<string>"), ","))
+    return df
+
+
+@query(f"{_FCD} SELECT * FROM c")
+def completeness_files(spark, d):
+    return _joined(_complete(spark, d), "missing_indices", "unexpected_indices")
+
+
+@query(f"{_FCD} SELECT collection, file_path, duplicate_chunks FROM c WHERE duplicate_chunks > 0")
+def duplicate_chunks(spark, d):
+    return _complete(spark, d).filter("duplicate_chunks > 0").select("collection", "file_path", "duplicate_chunks")
+
+
+@query(f"""{_FC.format(k="git_project_identifier, file_path", t="code_chunks")} SELECT git_project_identifier, count(*) AS files, count(*) FILTER (is_complete) AS complete_files, sum(expected_chunks)::BIGINT AS expected_chunks, sum(distinct_chunks)::BIGINT AS actual_chunks,
+CASE WHEN coalesce(sum(expected_chunks), 0) = 0 THEN 100.0 ELSE round(100.0::DOUBLE * sum(distinct_chunks) / sum(expected_chunks), 3) END AS completion FROM c GROUP BY 1""")
+def project_completeness(spark, d):
+    f = integrity.file_completeness(t(spark, d, "code_chunks"), ["git_project_identifier", "file_path"])
+    return integrity.project_completeness(f, "git_project_identifier")
+
+
+@query("SELECT l_orderkey, max(l_linenumber) AS expected, count(*) AS actual, max(l_linenumber) = count(*) AS is_complete FROM lineitem GROUP BY 1")
+def order_completeness(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("expected"), F.count("*").alias("actual"), (F.max("l_linenumber") == F.count("*")).alias("is_complete"))
+
+
+@query("""SELECT collection, count(*) AS files, count(*) FILTER (NOT coalesce(is_complete, true)) AS incomplete_files, count(*) FILTER (coalesce(has_garbled_text, false)) AS garbled_files, count(*) FILTER (coalesce(suspected_dropout, false)) AS dropout_files,
+count(*) FILTER (coalesce(has_duplicate_chunks, false)) AS duplicate_files, count(*) FILTER (NOT coalesce(is_complete, true) OR coalesce(has_garbled_text, false) OR coalesce(suspected_dropout, false) OR coalesce(has_duplicate_chunks, false)) = 0 AS is_healthy FROM file_verifications GROUP BY 1""")
+def collection_health(spark, d):
+    return integrity.health(t(spark, d, "file_verifications"))
+
+
+@query(f"{_FCD} SELECT coalesce(v.is_complete, false) AS reported, c.is_complete AS computed, count(*) AS files FROM c JOIN file_verifications v USING (collection, file_path) GROUP BY 1, 2")
+def verification_compare(spark, d):
+    v = t(spark, d, "file_verifications").select("collection", "file_path", F.coalesce("is_complete", F.lit(False)).alias("reported"))
+    return _complete(spark, d).join(v, ["collection", "file_path"]).groupBy("reported", F.col("is_complete").alias("computed")).agg(F.count("*").alias("files"))
+
+
+@query("""WITH p AS (SELECT DISTINCT collection, file_path, page_number, page_count, content FROM dual_documents WHERE document_type = 'pdf'),
+g AS (SELECT collection, file_path, max(page_count) AS page_count, list_sort(list(DISTINCT page_number) FILTER (page_number IS NOT NULL AND length(coalesce(content, '')) > 0)) AS cov, list_sort(list(DISTINCT page_number) FILTER (page_number IS NOT NULL AND length(coalesce(content, '')) BETWEEN 1 AND 199)) AS low FROM p GROUP BY 1, 2),
+h AS (SELECT *, list_filter(range(1, coalesce(page_count, 0) + 1), lambda x: NOT coalesce(list_contains(cov, x::INT), false)) AS miss FROM g)
+SELECT collection, file_path, page_count, coalesce(array_to_string(cov, ','), '') AS covered_pages, coalesce(array_to_string(low, ','), '') AS low_text_pages, array_to_string(miss, ',') AS empty_pages, concat_ws(',', CASE WHEN len(miss) > 0 THEN 'empty_pages' END, CASE WHEN coalesce(len(low), 0) > 0 THEN 'low_text_pages' END) AS quality_warnings FROM h""")
+def quality_manifest(spark, d):
+    p = t(spark, d, "dual_documents").filter("document_type = 'pdf'").select("collection", "file_path", "page_number", "page_count", "content")
+    return _joined(integrity.quality_manifest(p, ["collection", "file_path"], "page_number", "page_count", "content"), "covered_pages", "low_text_pages", "empty_pages")
+
+
+# --- change detection -------------------------------------------------------------------------------------------
+
+_FOUND = "SELECT DISTINCT file_path, quick_hash, file_hash FROM dual_documents"
+
+
+def _found(spark, d):
+    return t(spark, d, "dual_documents").select("file_path", "quick_hash", "file_hash").distinct()
+
+
+@query(f"WITH f AS ({_FOUND}) SELECT file_path, quick_hash, quick_hash IS NOT NULL AND EXISTS (SELECT 1 FROM file_manifests m WHERE m.file_path = f.file_path AND m.quick_hash = f.quick_hash) AS unchanged FROM (SELECT DISTINCT file_path, quick_hash FROM f) f")
+def change_detection_gate(spark, d):
+    f, m = _found(spark, d).select("file_path", "quick_hash").distinct(), t(spark, d, "file_manifests")
+    return sync.unchanged(f, m).withColumn("unchanged", F.lit(True)).unionByName(sync.changed(f, m).withColumn("unchanged", F.lit(False)))
+
+
+_BRANCHES = """main AS (SELECT DISTINCT file_path, source_hash FROM code_chunks WHERE git_branch = 'main'), other AS (SELECT DISTINCT file_path, source_hash FROM code_chunks WHERE git_branch <> 'main')"""
+
+
+def _branches(spark, d):
+    c = t(spark, d, "code_chunks")
+    return c.filter("git_branch = 'main'").select("file_path", "source_hash").distinct(), c.filter("git_branch <> 'main'").select("file_path", "source_hash").distinct()
+
+
+@query(f"""WITH {_BRANCHES}, f AS (SELECT file_path, max(source_hash) AS h FROM other GROUP BY 1), i AS (SELECT file_path, max(source_hash) AS h FROM main GROUP BY 1)
+SELECT file_path, CASE WHEN i.file_path IS NULL THEN 'new' WHEN f.file_path IS NULL THEN 'orphan' WHEN f.h IS NOT DISTINCT FROM i.h THEN 'unchanged' ELSE 'modified' END AS status FROM f FULL JOIN i USING (file_path)""")
+def classified_files(spark, d):
+    main, other = _branches(spark, d)
+    return sync.classified(other, main, content="source_hash")
+
+
+@query(f"""WITH {_BRANCHES}, n AS (SELECT source_hash, file_path AS new_path, row_number() OVER (PARTITION BY source_hash ORDER BY file_path) AS r FROM other WHERE source_hash IS NOT NULL AND file_path NOT IN (SELECT file_path FROM main)),
+g AS (SELECT source_hash, file_path AS old_path, row_number() OVER (PARTITION BY source_hash ORDER BY file_path) AS r FROM main WHERE source_hash IS NOT NULL AND file_path NOT IN (SELECT file_path FROM other)) SELECT old_path, new_path, source_hash FROM g JOIN n USING (source_hash, r)""")
+def rename_pairs(spark, d):
+    """Files of the other branches' worktrees as found, those of main as indexed."""
+    main, other = _branches(spark, d)
+    return sync.renames(other, main, content="source_hash")
+
+
+@query("SELECT DISTINCT file_path FROM file_manifests WHERE starts_with(file_path, '/srv/repos/') AND file_path NOT IN (SELECT file_path FROM dual_documents)")
+def stale_paths(spark, d):
+    return sync.stale(t(spark, d, "file_manifests"), t(spark, d, "dual_documents"), ["/srv/repos"])
+
+
+@query("SELECT DISTINCT file_path FROM file_manifests WHERE file_path NOT IN (SELECT file_path FROM dual_documents) AND file_path NOT IN (SELECT file_path FROM code_chunks)")
+def orphans(spark, d):
+    disk = t(spark, d, "dual_documents").select("file_path").unionByName(t(spark, d, "code_chunks").select("file_path"))
+    return sync.orphans(t(spark, d, "file_manifests"), disk)
+
+
+@query("SELECT DISTINCT file_path FROM file_manifests WHERE file_path IN (SELECT file_path FROM dual_documents) AND file_path NOT IN (SELECT file_path FROM file_verifications WHERE is_complete)")
+def uncovered(spark, d):
+    return sync.uncovered(t(spark, d, "file_manifests"), t(spark, d, "dual_documents"), t(spark, d, "file_verifications").filter("is_complete"))
+
+
+_PAR = """WITH a AS (SELECT file_path, count(*) AS l FROM (SELECT DISTINCT id, file_path FROM dual_documents) GROUP BY 1), b AS (SELECT file_path, max(chunk_count)::BIGINT AS r FROM file_manifests GROUP BY 1),
+p AS (SELECT file_path, coalesce(l, 0) AS left_count, coalesce(r, 0) AS right_count, CASE WHEN b.file_path IS NULL THEN 'left_only' WHEN a.file_path IS NULL THEN 'right_only' WHEN l = r THEN 'synced' ELSE 'mismatch' END AS status FROM a FULL JOIN b USING (file_path))"""
+
+
+def _parity(spark, d):
+    left = t(spark, d, "dual_documents").select("id", "file_path").distinct()
+    m = t(spark, d, "file_manifests").groupBy("file_path").agg(F.max("chunk_count").alias("n"))
+    right = m.select("file_path", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    return sync.parity(left, right, ["file_path"])
+
+
+@query(f"{_PAR} SELECT * FROM p")
+def parity_status(spark, d):
+    return _parity(spark, d)
+
+
+@query(f"{_PAR} SELECT status, count(*) AS files, sum(left_count)::BIGINT AS left_rows, sum(right_count)::BIGINT AS right_rows FROM p GROUP BY 1")
+def parity_summary(spark, d):
+    return _parity(spark, d).groupBy("status").agg(F.count("*").alias("files"), F.sum("left_count").alias("left_rows"), F.sum("right_count").alias("right_rows"))
+
+
+@query("""WITH h AS (SELECT file_path, arg_min(struct_pack(n := git_project_name, b := git_branch, c := git_commit_hash), id) AS m FROM (SELECT DISTINCT id, file_path, git_project_name, git_branch, git_commit_hash FROM code_chunks) WHERE git_project_name IS NOT NULL GROUP BY 1),
+l AS (SELECT DISTINCT id, file_path, git_project_name, git_branch, git_commit_hash FROM code_chunks WHERE git_project_name IS NULL OR git_branch IS NULL OR git_commit_hash IS NULL)
+SELECT id, coalesce(git_project_name, m.n) AS git_project_name, coalesce(git_project_name, m.n) || '#' || coalesce(git_branch, m.b) || '@' || substring(coalesce(git_commit_hash, m.c), 1, 7) AS version_identifier FROM l JOIN h USING (file_path)""")
+def metadata_repair(spark, d):
+    c = t(spark, d, "code_chunks").select("id", "file_path", "git_project_name", "git_branch", "git_commit_hash").distinct()
+    return sync.metadata_repair(c, c).select("id", "git_project_name", "version_identifier")
+
+
+@query("""WITH i AS (SELECT git_project_identifier, max(git_commit_hash) AS c FROM code_chunks WHERE git_project_identifier IS NOT NULL GROUP BY 1)
+SELECT p.git_project_identifier, CASE WHEN i.git_project_identifier IS NULL THEN 'index' WHEN p.git_commit_hash IS NOT DISTINCT FROM i.c THEN 'skip' ELSE 'update' END AS action FROM git_projects p LEFT JOIN i USING (git_project_identifier)""")
+def reindex_needed(spark, d):
+    return sync.reindex_needed(t(spark, d, "git_projects"), t(spark, d, "code_chunks"))
+
+
+@query("""WITH b AS (SELECT min(ts) + INTERVAL 5 DAY AS lo, max(ts) - INTERVAL 5 DAY AS hi FROM events), c AS (SELECT event_id, ts, CASE WHEN ts > hi THEN 'arrived' WHEN ts >= lo THEN 'covered' ELSE 'backlog' END AS phase FROM events, b),
+l AS (SELECT *, lag(phase) OVER (ORDER BY event_id) AS prev FROM c) SELECT event_id, phase, sum(CASE WHEN prev IS NOT NULL AND prev <> phase THEN 1 ELSE 0 END) OVER (ORDER BY event_id)::BIGINT AS segment FROM l""")
+def backlog_phases(spark, d):
+    e = t(spark, d, "events")
+    lo, hi = e.agg(F.expr("min(ts) + interval 5 days"), F.expr("max(ts) - interval 5 days")).first()
+    return sync.phases(e, F.lit(hi).cast(e.schema["ts"].dataType), F.lit(lo).cast(e.schema["ts"].dataType), "ts", "event_id").select("event_id", "phase", "segment")
+
+
+@query("""WITH p AS (SELECT DISTINCT id, collection, file_path, page_number, content FROM dual_documents WHERE document_type = 'pdf' AND page_number IS NOT NULL)
+SELECT id, coalesce(sum(length(content) + 1) OVER (PARTITION BY collection, file_path ORDER BY page_number, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM p""")
+def page_offsets(spark, d):
+    p = t(spark, d, "dual_documents").filter("document_type = 'pdf' and page_number is not null").select("id", "collection", "file_path", "page_number", "content").distinct()
+    w = Window.partitionBy("collection", "file_path").orderBy("page_number", "id").rowsBetween(Window.unboundedPreceding, -1)
+    return p.select("id", F.coalesce(F.sum(F.length("content") + 1).over(w), F.lit(0)).cast("long").alias("start_char"))
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(range(0, length(text), 1500)) AS start_char, length(text) AS n FROM documents WHERE length(text) > 0) SELECT doc_id, start_char, least(start_char // 1800 + 1, (n - 1) // 1800 + 1) AS page_number FROM c""")
+def page_lookup_range_join(spark, d):
+    """Chunks of 1,500 characters on pages of 1,800: each chunk's page by its first character."""
+    docs = _docs(spark, d).filter(F.length("text") > 0)
+    chunks = chunkers.fixed_windows(docs, "doc_id", "text", 1500, 0).select("doc_id", F.col("start_char").cast("long").alias("start_char"))
+    pages = docs.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1800).cast("int"))).alias("_i", "p")).select("doc_id", (F.col("p") * 1800).alias("a"), ((F.col("p") + 1) * 1800).alias("b"), (F.col("p") + 1).cast("long").alias("page_number"))
+    return chunks.join(pages, "doc_id").filter("start_char >= a and start_char < b").select("doc_id", "start_char", "page_number")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, file_path, doc_id) AS place FROM documents")
+def order_newest_nulls_last(spark, d):
+    """Places in the order newest first. A global rank needs one sorted sequence; only the narrow columns go to it."""
+    w = Window.orderBy(F.col("created_at").desc_nulls_last(), "file_path", "doc_id")
+    return _docs(spark, d).select("doc_id", "created_at", "file_path").select("doc_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+# --- chunkers ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 400)) AS s FROM documents) SELECT doc_id, (s // 400)::INT AS chunk_index, s::INT AS start_char, md5(substring(text, s::BIGINT + 1, 500)) AS chunk_hash FROM c""")
+def chunk_fixed_window(spark, d):
+    return chunkers.fixed_windows(_docs(spark, d), "doc_id", "text", 500, 100).select("doc_id", "chunk_index", "start_char", F.md5("chunk").alias("chunk_hash"))
+
+
+@query()
+def chunk_sentence_window(spark, d):
+    return chunkers.chunked(_docs(spark, d), "doc_id", "text", lambda s: [c for _, _, c in chunkers.sentence_windows(s)])
+
+
+@query()
+def chunk_line_based(spark, d):
+    return chunkers.chunked(t(spark, d, "code_chunks").select("id", "content").distinct(), "id", "content", chunkers.line_chunks)
+
+
+@query()
+def chunk_markdown(spark, d):
+    return chunkers.chunked(t(spark, d, "dual_documents").filter("document_type = 'md'").select("id", "content").distinct(), "id", "content", lambda s: [c for _, c in chunkers.markdown_chunks(s)])
+
+
+@query()
+def chunk_hard_split(spark, d):
+    return chunkers.chunked(_docs(spark, d), "doc_id", "text", lambda s: [c for _, _, c in chunkers.hard_windows(s, 1000)])
+
+
+@query()
+def extract_definitions(spark, d):
+    return chunkers.extract_definitions(t(spark, d, "code_chunks").select("file_path", "content").distinct(), "file_path", "content")
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, E'\n\n')) AS content, generate_subscripts(string_split(text, E'\n\n'), 1) AS page_number FROM documents) SELECT doc_id, page_number::BIGINT AS page_number, md5(content) AS content_hash FROM c WHERE trim(content) <> ''""")
+def page_documents(spark, d):
+    """Texts whose blocks stand for pages, one row per page that is not empty."""
+    docs = _docs(spark, d).withColumn("text", F.replace("text", F.lit("\n\n"), F.lit("\f")))
+    split = docs.select("doc_id", F.posexplode(F.split("text", "\f")).alias("_i", "content"))
+    return split.filter(F.trim("content") != "").select("doc_id", (F.col("_i") + 1).cast("long").alias("page_number"), F.md5("content").alias("content_hash"))
+
+
+@query()
+def batch_schedule(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"), tx.token_estimate(F.col("text")).alias("tokens")).filter("tokens is not null")
+    return chunkers.batches(docs, "part", "doc_id", "tokens", 8192, 32)
+
+
+@query()
+def embed_documents(spark, d):
+    """Vectors of the built-in hash model for each distinct text; copies are not embedded again."""
+    docs = _docs(spark, d).filter("text is not null").select("doc_id", "text", paths.content_hash(F.col("text")).alias("h"))
+    once = docs.groupBy("h").agg(F.any_value("text").alias("text")).select("h", embed.embedder()(F.col("text")).alias("embedding"))
+    return docs.select("doc_id", "h").join(once, "h").select("doc_id", "embedding")
+
+
+# --- changes ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, md5(text) AS text_hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang IS NULL) UNION ALL SELECT doc_id, 'unknown', md5(text) FROM documents WHERE lang IS NULL")
+def upsert_result(spark, d):
+    """Rows without language replaced by corrected ones."""
+    rows = _docs(spark, d).select("doc_id", "lang", F.md5("text").alias("text_hash"))
+    return dml.upsert(rows, rows.filter("lang is null").withColumn("lang", F.lit("unknown")), ["doc_id"])
+
+
+@query("SELECT id, file_path FROM dual_documents WHERE file_path NOT IN (SELECT file_path FROM file_verifications WHERE NOT is_complete)")
+def delete_by_path(spark, d):
+    bad = t(spark, d, "file_verifications").filter("not is_complete")
+    return dml.delete(t(spark, d, "dual_documents").select("id", "file_path"), bad, ["file_path"])
+
+
+@query("SELECT git_project_identifier, count(*) AS n FROM code_chunks WHERE NOT coalesce(git_project_identifier = 'tinder-vault#main', false) GROUP BY 1")
+def delete_project(spark, d):
+    return dml.delete_project(t(spark, d, "code_chunks"), "tinder-vault#main").groupBy("git_project_identifier").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, CASE WHEN document_type = 'md' THEN regexp_replace(file_path, '\\.md$', '.markdown') ELSE file_path END AS file_path, CASE WHEN document_type = 'md' THEN regexp_extract(regexp_replace(file_path, '\\.md$', '.markdown'), '([^/]*)$', 1) ELSE filename END AS filename FROM dual_documents")
+def rename_result(spark, d):
+    r = t(spark, d, "dual_documents").select("id", "file_path", "filename", "document_type")
+    moves = r.filter("document_type = 'md'").select(F.col("file_path").alias("old_path"), F.regexp_replace("file_path", r"\.md$", ".markdown").alias("new_path")).distinct()
+    return dml.rename(r.drop("document_type"), moves)
+
+
+@query("SELECT collection, file_path, quick_hash FROM file_manifests WHERE NOT (starts_with(file_path, '/srv/repos/') AND file_path NOT IN (SELECT file_path FROM dual_documents))")
+def prune_result(spark, d):
+    m = t(spark, d, "file_manifests").select("collection", "file_path", "quick_hash")
+    return dml.prune(m, t(spark, d, "dual_documents").select("file_path").distinct(), ["/srv/repos"])
+
+
+@query("SELECT id, strftime(max(indexed_at)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS indexed_at FROM code_chunks GROUP BY 1")
+def latest_rows(spark, d):
+    c = t(spark, d, "code_chunks").select("id", "indexed_at", "chunk_index")
+    return dml.exclusive(c, "id", "indexed_at").select("id", F.date_format("indexed_at", "yyyy-MM-dd HH:mm:ss").alias("indexed_at"))
+
+
+@query("""WITH o AS (SELECT collection, file_path, avg_quality_score AS s FROM file_verifications WHERE avg_quality_score IS NOT NULL), n AS (SELECT collection, file_path, 0.7::DOUBLE AS s FROM o)
+SELECT collection, file_path, greatest(o.s, n.s) AS s FROM o JOIN n USING (collection, file_path)""")
+def repair_better_only(spark, d):
+    o = t(spark, d, "file_verifications").filter("avg_quality_score is not null").select("collection", "file_path", F.col("avg_quality_score").alias("s"))
+    return dml.better_only(o, o.withColumn("s", F.lit(0.7)), ["collection", "file_path"], "s")
+
+
+@query("SELECT vec_id, label, len(embedding)::INT AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def export_import_roundtrip(spark, d):
+    """Rows as JSON lines and back."""
+    e = t(spark, d, "embeddings")
+    lines = e.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    back = lines.select(F.from_json("value", e.schema).alias("r")).select("r.*")
+    return back.select("vec_id", "label", F.size("embedding").alias("n"), F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
