@@ -89,3 +89,16 @@ def broadcast(spark, value):
         return pickle.loads(sent.value)
 
     return load
+
+
+def bounded_sample(df: DataFrame, key: str, columns: list[str], rows: int) -> list:
+    """At most ``rows`` rows, those of the least hashes of ``key``, for training.
+
+    The rows are counted first and only a share of about that many is kept by hash, so what is sent to the driver
+    does not grow with the number of tasks.
+    """
+    n = df.count()
+    h = F.xxhash64(key)
+    share = min(1.0, (1.2 * rows + 100) / max(1, n))
+    some = df.select(h.alias("_h"), *columns).filter(F.col("_h") < int(-(2**63) + share * (2**64 - 1))) if share < 1 else df.select(h.alias("_h"), *columns)
+    return some.orderBy("_h", *columns).limit(rows).collect()
