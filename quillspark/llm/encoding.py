@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast
+from .common import WORD, bounded_sample, broadcast
 
 BUCKETS = 1 << 14
 SOUND = "none"
@@ -216,8 +216,7 @@ class Repairer:
 
 def sound_sample(docs: DataFrame, text: str, key: str, rows: int) -> list[str]:
     """At most ``rows`` texts with characters outside ASCII, in the order of the keys' hashes, without those that a chain through UTF-8 or a rare character makes doubtful."""
-    some = docs.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.xxhash64(key).alias("h"), F.col(text).alias("t")).orderBy("h").limit(rows)
-    texts = [r["t"] for r in some.collect()]
+    texts = [r[text] for r in bounded_sample(docs.filter(F.col(text).rlike(r"[^\x00-\x7f]")), key, [text], rows)]
     multi = [c for c in CHAINS if c.startswith("utf-8") and "twice" not in c and "koi8" not in c and "cp437" not in c and "cp850" not in c]
     known: dict[str, bool] = {}
 
