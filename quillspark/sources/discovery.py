@@ -35,7 +35,7 @@ def kept(path: Column, base: str, names: list[str] = EXCLUDED_NAMES, folders: li
     inner = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     bad = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, folders)))
     for p in folder_prefixes:
-        bad = bad | F.exists(inner, lambda x, p=p: x.startswith(p))
+        bad = bad | F.arrays_overlap(F.transform(inner, lambda x: F.substring(x, 1, len(p))), F.array(F.lit(p)))
     for n in names:
         bad = bad | paths.filename(path).rlike(glob_regex(n))
     return ~bad
