@@ -98,6 +98,28 @@ def hard_windows(text: str, most: int, overlap: int = 50, ratio: float = PROSE)
     return out
 
 
+#: Where an oversized chunk is cut, best first: marks, and the least share of the room that must stand before.
+CUTS = ((("\n\n",), 0.5), (("\n",), 0.3), ((". ", "? ", "! "), 0.3), ((";\n", "},\n", "}\n", "; ", "}, ", "} "), 0.3))
+
+
+def resplit(text: str, most: int, overlap: float = 0.15) -> list[str]:
+    """Chunks of at most ``most`` characters, each after the first led by the end of what stands before it."""
+    if len(text) <= most:
+        return [text]
+    back, out, at = int(most * overlap), [], 0
+    while at < len(text):
+        lead = min(back, at)
+        room = most - lead
+        if at + room >= len(text):
+            out.append(text[at - lead :])
+            break
+        part = text[at : at + room]
+        ends = next((e for marks, share in CUTS if (e := max(part.rfind(m) + len(m) if part.rfind(m) > room * share else 0 for m in marks))), room)
+        out.append(text[at - lead : at + ends])
+        at += ends
+    return out
+
+
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import embed, paths, vectors
 from ..functions import text as tx
-from ..operators import chunkers, dml, filters, fulltext, integrity, listings, sync, vector_search
+from ..operators import chunkers, dml, extraction, filters, fulltext, integrity, listings, records, sync, vector_search
 from ..session import table as t
 from ..streaming import ingest
 
@@ -702,3 +702,97 @@ def export_import_roundtrip(spark, d):
     lines = e.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
     back = lines.select(F.from_json("value", e.schema).alias("r")).select("r.*")
     return back.select("vec_id", "label", F.size("embedding").alias("n"), F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+# --- records, extraction and catalogue rules --------------------------------------------------------------------
+
+
+@query("SELECT id, programming_language AS language, git_project_name AS project, git_branch AS branch, md5(content) AS content_hash FROM (SELECT DISTINCT id, programming_language, git_project_name, git_branch, content FROM code_chunks)")
+def text_document_view(spark, d):
+    v = records.text_documents(t(spark, d, "code_chunks").select("id", "programming_language", "git_project_name", "git_branch", "content", "chunk_count", "source_hash").distinct())
+    return v.select("id", "language", "project", "branch", F.md5("content").alias("content_hash"))
+
+
+@query()
+def vector_payload_view(spark, d):
+    """Payload objects without null fields (rows only: engines order and escape JSON differently)."""
+    c = t(spark, d, "code_chunks").drop("embedding", "content")
+    return c.select("id", records.payload(c).alias("payload"))
+
+
+@query("SELECT id, concat_ws(' | ', 'Language: ' || programming_language, 'Project: ' || git_project_name, CASE WHEN git_branch NOT IN ('main', 'master') THEN 'Branch: ' || git_branch END) AS line FROM (SELECT DISTINCT id, programming_language, git_project_name, git_branch FROM code_chunks)")
+def inline_metadata(spark, d):
+    c = t(spark, d, "code_chunks").select("id", "programming_language", "git_project_name", "git_branch").distinct()
+    return c.select("id", records.inline_metadata(F.col("programming_language"), F.col("git_project_name"), F.col("git_branch"), F.lit(None).cast("int"), verbose=True).alias("line"))
+
+
+@query("SELECT id, CASE WHEN schema_version IS NULL THEN 'legacy' WHEN schema_version < 1 THEN 'older' WHEN schema_version > 1 THEN 'newer' WHEN coalesce(chunking_version, '') = '' THEN 'no_app_version' ELSE 'ok' END AS state FROM (SELECT DISTINCT id, schema_version, chunking_version FROM dual_documents)")
+def schema_version_check(spark, d):
+    v = t(spark, d, "dual_documents").select("id", "schema_version", "chunking_version").distinct()
+    return v.select("id", records.schema_state(F.col("schema_version"), F.col("chunking_version")).alias("state"))
+
+
+@query("WITH n AS (SELECT git_project_identifier, count(*) AS c FROM code_chunks GROUP BY 1) SELECT p.git_project_identifier, coalesce(strftime(last_sync::TIMESTAMP, '%Y-%m-%d %H:%M:%S'), CASE WHEN coalesce(c, 0) > 0 THEN 'unknown' ELSE 'never synced' END) AS last_sync FROM git_projects p LEFT JOIN n USING (git_project_identifier)")
+def last_sync_listing(spark, d):
+    n = t(spark, d, "code_chunks").groupBy("git_project_identifier").agg(F.count("*").alias("c"))
+    return t(spark, d, "git_projects").join(n, "git_project_identifier", "left").select("git_project_identifier", records.last_sync(F.col("last_sync"), F.coalesce("c", F.lit(0))).alias("last_sync"))
+
+
+_P = _M.replace("doc_id, lang, text", "id, pages, text").replace("FROM documents)", "FROM (SELECT DISTINCT id, page_count AS pages, content AS text FROM dual_documents))")
+
+
+@query(f"""{_P} SELECT id, CASE WHEN coalesce(n, 0) < 100 OR {_BLANK} OR bad / n::DOUBLE > 0.05 OR (len(w) = 0 AND n > 100 AND ok / n::DOUBLE < 0.1) OR (len(w) > 100 AND st / len(w) < 0.02) OR ({_SCORE}) < 0.7 THEN 'ocr'
+WHEN pages >= 2 AND coalesce(n, 0) / pages::DOUBLE < 500 THEN 'plain' ELSE 'keep' END AS action FROM k""")
+def extraction_action(spark, d):
+    v = t(spark, d, "dual_documents").select("id", "page_count", "content").distinct()
+    return v.select("id", extraction.action(F.col("content"), F.col("page_count")).alias("action"))
+
+
+_B2 = _BLANK.replace("text", "content")
+
+
+@query(f"SELECT collection, file_path, count(*) AS pages, count(*) FILTER ({_B2}) AS empty_pages, count(*) FILTER (NOT {_B2} AND ocr_confidence < 60) AS low_confidence_pages, round(avg(CASE WHEN NOT {_B2} THEN ocr_confidence END), 6) AS mean_confidence FROM (SELECT DISTINCT id, collection, file_path, ocr_confidence, content FROM dual_documents WHERE ocr_language IS NOT NULL) GROUP BY 1, 2")
+def ocr_page_summary(spark, d):
+    v = t(spark, d, "dual_documents").filter("ocr_language is not null").select("id", "collection", "file_path", "ocr_confidence", "content").distinct()
+    return extraction.ocr_summary(v, ["collection", "file_path"], "ocr_confidence", "content", digits=6)
+
+
+@query("SELECT doc_id, floor(length(text) / 3.3::DOUBLE)::INT AS tokens, floor(length(text) / 3.3::DOUBLE) > 2000 AND floor(length(text) / 3.3::DOUBLE) < 8000 AS late FROM documents")
+def late_chunk_flag(spark, d):
+    n = tx.token_estimate(F.col("text"))
+    return _docs(spark, d).select("doc_id", n.alias("tokens"), extraction.late_chunking(n).alias("late"))
+
+
+@query("""WITH o AS (SELECT DISTINCT ON (entry_id) entry_id, command_name, duration_ms, result_count FROM interaction_log WHERE duration_ms >= 0 ORDER BY entry_id), g AS (SELECT command_name, sum(duration_ms)::BIGINT AS total, sum(result_count)::BIGINT AS items FROM o GROUP BY 1)
+SELECT command_name, total, round(100.0::DOUBLE * total / sum(total) OVER (), 3) AS percent, round(items / NULLIF(total, 0)::DOUBLE, 6) AS rate FROM g""")
+def stage_profile(spark, d):
+    o = t(spark, d, "interaction_log").filter("duration_ms >= 0").dropDuplicates(["entry_id"])
+    return records.stage_profile(o, "command_name", "duration_ms", "result_count")
+
+
+@query("""WITH o AS (SELECT DISTINCT ON (entry_id) entry_id, project, error_text FROM interaction_log ORDER BY entry_id) SELECT project, count(*) AS runs, round(count(error_text) / count(*)::DOUBLE, 6) AS error_rate FROM o GROUP BY 1""")
+def log_error_rate(spark, d):
+    o = t(spark, d, "interaction_log").dropDuplicates(["entry_id"])
+    return o.groupBy("project").agg(F.count("*").alias("runs"), F.round(F.count("error_text") / F.count("*"), 6).alias("error_rate"))
+
+
+@query("""WITH u AS (SELECT DISTINCT ON (id) id, git_project_identifier, file_path, list_transform(embedding, lambda x: coalesce(x, 0))::DOUBLE[] AS v, len(list_filter(embedding, lambda x: x IS NULL)) AS holes FROM code_chunks WHERE len(embedding) = 64 ORDER BY id),
+v AS (SELECT * FROM u WHERE holes = 0 AND list_inner_product(v, v) > 0), q AS (SELECT v AS e FROM v ORDER BY id LIMIT 1), s AS (SELECT git_project_identifier, file_path FROM v, q ORDER BY list_cosine_similarity(v, e) DESC, id LIMIT 200)
+SELECT DISTINCT s.git_project_identifier, s.file_path FROM s JOIN code_chunks c USING (git_project_identifier, file_path) WHERE contains(c.content, 'return')""")
+def cooperative_search(spark, d):
+    """Files among the 200 hits most similar to a chunk that also hold a word."""
+    c = t(spark, d, "code_chunks").select("id", "git_project_identifier", "file_path", "content", "embedding").dropDuplicates(["id"])
+    usable = vectors.fault(F.col("embedding"), 64).isNull()
+    q = [float(x) for x in c.filter(usable).orderBy("id").select("embedding").first()["embedding"]]
+    near = vector_search.search(c.filter(usable), q, "id", limit=200).select("git_project_identifier", "file_path")
+    return near.join(c.filter(F.col("content").contains("return")).select("git_project_identifier", "file_path"), ["git_project_identifier", "file_path"], "left_semi").distinct()
+
+
+@query()
+def chunk_resplit(spark, d):
+    return chunkers.chunked(_docs(spark, d), "doc_id", "text", lambda s: chunkers.resplit(s, 900))
+
+
+@query()
+def frontmatter(spark, d):
+    return extraction.frontmatter(t(spark, d, "dual_documents").filter("document_type = 'md'").select("id", "content").distinct(), "id", "content")

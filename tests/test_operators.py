@@ -204,3 +204,55 @@ def test_changes(spark):
     random.seed(0)
     rep = spark.createDataFrame([(1, 5, "old"), (1, 7, "new"), (2, None, "x")], "id int, at int, v string")
     assert {r["id"]: r["v"] for r in dml.exclusive(rep, "id", "at").collect()}[1] == "new"
+
+
+def test_records_and_extraction(spark):
+    from quillspark.operators import extraction, records
+
+    one = lambda e: spark.range(1).select(e.alias("x")).first()["x"]
+    lit = F.lit
+    states = [(None, "a"), ("x", "a"), ("0", "a"), ("2", "a"), ("1", ""), ("1", "a")]
+    assert [one(records.schema_state(lit(v).cast("string"), lit(a))) for v, a in states] == ["legacy", "invalid", "older", "newer", "no_app_version", "ok"]
+    assert [one(records.count_field(lit(v))) for v in ("12", "-1", "true", "1.5")] == [12, None, None, None]
+    assert [one(records.item_unit(lit(k))) for k in ("code", "pdf", "?")] == ["repositories", "documents", "unknown"]
+    assert one(extraction.merged_text(lit("a"), lit(" "))) == "a" and one(extraction.merged_text(lit(""), lit("o"))) == "o" and one(extraction.merged_text(lit("a"), lit("o"))) == "a" + extraction.SEPARATOR + "o"
+    b = spark.createDataFrame([("abc", [(1, 0, 3)], "xy", [(1, 0, 2)])], "e string, own array<struct<page_number:int,start_char:int,page_text_length:int>>, o string, theirs array<struct<page_number:int,start_char:int,page_text_length:int>>")
+    got = b.select(extraction.merged_boundaries(F.col("e"), F.col("own"), F.col("o"), F.col("theirs")).alias("b"), extraction.merged_text(F.col("e"), F.col("o")).alias("t")).first()
+    assert got["t"][got["b"][1]["start_char"] :] == "xy"
+    assert one(extraction.action(lit("short"), lit(1))) == "ocr" and one(extraction.action(lit("the text of this page is in it. " * 10), lit(9))) == "plain" and one(extraction.action(lit("the text of this page is in it. " * 40), lit(2))) == "keep"
+    assert one(extraction.recovered(lit("ab"), lit("abcde"))) == "dropout_recovered" and one(extraction.recovered(lit("ab"), lit("abcd"))) == "extraction_floor"
+    assert [one(extraction.confidence(lit(v))) for v in ("81.5", "-1", "x")] == [81.5, None, None]
+    docs = spark.createDataFrame([(1, "---\ntitle: T\ntags: a, b\ndate: 2024-01-02\nextra: 5\n---\nbody"), (2, "no head"), (3, "---\n: [bad\n---\n"), (4, None), (5, "---\ntags: [x, 1]\n---\n")], "id int, t string")
+    fm = {r["id"]: r for r in extraction.frontmatter(docs, "id", "t").collect()}
+    assert (fm[1]["title"], fm[1]["tags"], fm[1]["created_at"], fm[1]["custom"]) == ("T", ["a", "b"], "2024-01-02", '{"extra": 5}') and fm[5]["tags"] == ["x", "1"]
+    assert not any(fm[i]["has_frontmatter"] for i in (2, 3, 4))
+    models = spark.createDataFrame([("a", "fastembed", 384, None), ("b", "sentence-transformers", 1024, 1.5), ("c", "sentence-transformers", 768, 0.1)], "model string, backend string, dimensions int, params_billions double")
+    assert {r["model"]: (r["chunk_size"], r["chunk_overlap"]) for r in records.chunk_sizing(models).collect()} == {"a": (460, 69), "b": (768, 115), "c": (512, 69)}
+    tiers = records.model_tiers(models.withColumn("deprecated", lit(False)).withColumn("default_for", F.array().cast("array<string>")))
+    assert {r["model"]: (r["risk"], r["support"]) for r in tiers.collect()} == {"a": ("low", "stable"), "b": ("high", "gpu-opt-in"), "c": ("low", "opt-in")}
+    stored, named = spark.createDataFrame([("m1", "x", None), ("m2", None, None)], "model string, alias string, canonical string"), spark.createDataFrame([("x",), ("y",)], "vector string")
+    assert {tuple(r) for r in records.match_models(stored, named).collect()} == {("m1", "x"), ("m2", None), (None, "y")}
+    runs = lambda *r: spark.createDataFrame(list(r), "run string, model string, throughput double")
+    assert {r["run"]: (r["status"], r["speed_up"]) for r in records.compared_runs(runs(("a", "m", 10.0), ("b", "m", 10.0)), runs(("a", "m", 15.0), ("b", "n", 15.0)), ["model"]).collect()} == {"a": ("compared", 1.5), "b": ("different", None)}
+    view = records.stamped(spark.createDataFrame([(1, None), (2, "9")], "id int, app_version string"), "1.0")
+    assert {r["id"]: (r["schema_version"], r["app_version"]) for r in view.collect()} == {1: (1, "1.0"), 2: (1, "9")}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab. \n;}", max_size=1200), st.integers(40, 200))
+def test_resplit(text, most):
+    parts = chunkers.resplit(text, most)
+    assert all(len(p) <= most for p in parts)
+    back, whole = int(most * 0.15), parts[0]
+    for p in parts[1:]:
+        whole += p[min(back, len(whole)) :]
+    assert whole == text
+
+
+def test_notes(tmp_path):
+    from datetime import datetime
+
+    from quillspark.sources.memory import write_note
+
+    a, b = (write_note(str(tmp_path), "My Agent", "A: title!", "body", datetime(2025, 3, 4), tags=["x"]) for _ in range(2))
+    assert a.name == "20250304_my-agent_a-title.md" and b.name == "20250304_my-agent_a-title-2.md" and a.read_text().endswith("---\n\nbody\n")
