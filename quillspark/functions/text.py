@@ -25,46 +25,51 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return part / F.when(whole > 0, whole).cast("double")
+# The counts below are plain expressions outside any branch, so that generated code makes each of them once per row
+# however often it is named; try_divide is null for empty texts.
 
 
-def _replacement_share(text: Column) -> Column:
-    return _share(F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit(""))), F.length(text))
+def _n_words(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit("[a-z]+"))
 
 
-def _printable_share(text: Column) -> Column:
-    return _share(F.length(F.regexp_replace(text, r"[^\x20-\x7e\n\r\t]", "")), F.length(text))
+def _stop_share(text: Column) -> Column:
+    stop = F.regexp_count(F.lower(text), F.lit("(?<![a-z])(?:" + "|".join(QUALITY_STOP_WORDS) + ")(?![a-z])"))
+    return F.try_divide(stop.cast("double"), _n_words(text))
+
 
+def _mean_length(text: Column) -> Column:
+    return F.try_divide(F.length(F.regexp_replace(F.lower(text), "[^a-z]+", "")).cast("double"), _n_words(text))
 
-def _stop_share(w: Column) -> Column:
-    return _share(F.size(F.filter(w, lambda x: x.isin(*QUALITY_STOP_WORDS))), F.size(w))
+
+def _replacement_share(text: Column) -> Column:
+    return F.try_divide((F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))).cast("double"), F.length(text))
+
+
+def _printable_share(text: Column) -> Column:
+    return F.try_divide(F.length(F.regexp_replace(text, r"[^\x20-\x7e\n\r\t]+", "")).cast("double"), F.length(text))
 
 
 def score_text(text: Column) -> Column:
     """Readability from 0 to 1: replacement characters, stop words, printable characters, word length. Null counts as blank."""
-    w = words(text)
-    n = F.size(w)
-    mean = _share(F.length(F.array_join(w, "")), n)
+    n, mean = _n_words(text), _mean_length(text)
     length = F.when(n == 0, 0.0).when((mean > 15) | (mean < 2), 0.2).when(mean > 10, 0.6).otherwise(1.0)
     score = (
         0.35 * F.greatest(F.lit(0.0), 1 - 10 * _replacement_share(text))
-        + 0.30 * F.when(n > 0, F.least(F.lit(1.0), _stop_share(w) / 0.15)).otherwise(0.0)
+        + 0.30 * F.least(F.lit(1.0), F.coalesce(_stop_share(text) / 0.15, F.lit(0.0)))
         + 0.20 * F.least(F.lit(1.0), _printable_share(text) / 0.7)
         + 0.15 * length
     )
-    return F.when(is_blank(text), 0.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 3))
+    sound = 1 - is_blank(text).cast("int")
+    return F.coalesce(sound * F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 3), F.lit(0.0))
 
 
 def needs_ocr(text: Column) -> Column:
     """Whether the text looks garbled enough for another extraction."""
-    w = words(text)
-    return (
-        F.when(is_blank(text), True)
-        .when(_replacement_share(text) > 0.05, True)
-        .when((F.size(w) == 0) & (F.length(text) > 100) & (_printable_share(text) < 0.1), True)
-        .when((F.size(w) > 100) & (_stop_share(w) < 0.02), True)
-        .otherwise(False)
+    n = _n_words(text)
+    return F.coalesce(
+        is_blank(text) | (_replacement_share(text) > 0.05) | ((n == 0) & (F.length(text) > 100) & (_printable_share(text) < 0.1)) | ((n > 100) & (_stop_share(text) < 0.02)),
+        F.lit(False),
     )
 
 

@@ -54,20 +54,23 @@ def tokens(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str, attributes: list[str], stop_words: list[str] = ()) -> DataFrame:
-    """(key, term, attr, attr_rank, tf, positions). Stop words keep their places but get no rows.
+    """(key, term, attr, attr_rank, tf, positions), positions from 0. Stop words keep their places but get no rows.
 
-    All of one row's terms are grouped within the row, so building needs no shuffle.
+    A term's places in one row are collected before the shuffle, as a row lies in one task.
     """
-    parts = None
-    for rank, a in enumerate(attributes):
-        t = docs.select(F.col(key), F.lit(a).alias("attr"), F.lit(rank).alias("attr_rank"), tokens(F.col(a).cast("string") if dict(docs.dtypes)[a] != "array<string>" else F.array_join(a, " ")).alias("t"))
-        parts = t if parts is None else parts.unionByName(t)
-    spread = parts.select(key, "attr", "attr_rank", F.posexplode("t").alias("pos", "term"))
+    spread = occurrences(docs, key, attributes)
     if stop_words:
         spread = spread.filter(~F.col("term").isin(*stop_words))
     return spread.groupBy(key, "term", "attr", "attr_rank").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def occurrences(docs: DataFrame, key: str, attributes: list[str]) -> DataFrame:
+    """(key, attr, attr_rank, pos, term): every word of every attribute, in one pass over the rows."""
+    types = dict(docs.dtypes)
+    whole = [F.struct(F.lit(a).alias("attr"), F.lit(r).alias("attr_rank"), tokens(F.array_join(a, " ") if types[a] == "array<string>" else F.col(a).cast("string")).alias("t")) for r, a in enumerate(attributes)]
+    return docs.select(key, F.explode(F.array(*whole)).alias("_a")).select(key, "_a.attr", "_a.attr_rank", F.posexplode("_a.t").alias("pos", "term"))
+
+
 def query_terms(query: str, stop_words: list[str] = ()) -> tuple[list[str], list[list[str]]]:
     """(words, phrases) of a query; what stands in double quotes is a phrase."""
     word = re.compile(r"[^\W]+")
@@ -82,19 +85,19 @@ def has_phrase(text: Column, phrase: list[str]) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" ")).contains(f" {want} ")
 
 
-def expansions(vocabulary: DataFrame, words: list[str], one_typo: int = 5, two_typos: int = 9, prefix_last: bool = True) -> DataFrame:
-    """(word, term, typos, exact): the index terms each query word stands for."""
-    out = None
+def expansions(terms: DataFrame, words: list[str], one_typo: int = 5, two_typos: int = 9, prefix_last: bool = True) -> DataFrame:
+    """``terms`` rows with word, typos, exact: what each query word matches. A row that matches no word goes."""
+    found = []
     for i, w in enumerate(words):
         budget = 2 if len(w) >= two_typos else 1 if len(w) >= one_typo else 0
         d = F.when(F.col("term") == w, 0)
         if prefix_last and i == len(words) - 1:
             d = d.when(F.col("term").startswith(w), 0)
         if budget:
-            d = d.otherwise(F.when(F.abs(F.length("term") - len(w)) <= budget, F.levenshtein("term", F.lit(w), budget)))
-        v = vocabulary.select(F.lit(w).alias("word"), "term", d.alias("typos"), (F.col("term") == w).cast("int").alias("exact")).filter("typos >= 0")
-        out = v if out is None else out.unionByName(v)
-    return out
+            d = d.when(F.abs(F.length("term") - len(w)) <= budget, F.levenshtein("term", F.lit(w), budget))
+        found.append(F.struct(F.lit(w).alias("word"), F.coalesce(d, F.lit(-1)).alias("typos"), (F.col("term") == w).cast("int").alias("exact")))
+    hits = F.filter(F.array(*found), lambda m: m["typos"] >= 0)
+    return terms.withColumn("_m", F.explode(hits)).select(*terms.columns, "_m.word", "_m.typos", "_m.exact")
 
 
 def search(docs: DataFrame, key: str, query: str, settings: dict, where: Column | None = None, limit: int = 20, offset: int = 0, require_all: bool = True, index: DataFrame | None = None) -> DataFrame:
@@ -114,19 +117,23 @@ def search(docs: DataFrame, key: str, query: str, settings: dict, where: Column
     cap = min(settings["max_total_hits"], limit + offset)
     if not words:
         return base.orderBy(key).limit(cap).offset(offset)
-    attributes = [a for a in settings["searchable"] if a in docs.columns]
-    idx = index if index is not None else postings(docs, key, attributes, settings["stop_words"])
-    terms = expansions(idx.select("term").distinct(), words, settings["one_typo"], settings["two_typos"])
-    hits = idx.join(terms, "term").groupBy(key, "word").agg(
+    words = list(dict.fromkeys(words))
+    if index is None:  # a scan keeps only the words that match, before anything is shuffled
+        attributes = [a for a in settings["searchable"] if a in docs.columns]
+        matched = expansions(occurrences(base, key, attributes), words, settings["one_typo"], settings["two_typos"])
+    else:
+        terms = expansions(index.select("term").distinct(), words, settings["one_typo"], settings["two_typos"])
+        matched = index.join(terms, "term").withColumn("pos", F.element_at("positions", 1))
+    hits = matched.groupBy(key, "word").agg(
         F.min("typos").alias("typos"), F.max("exact").alias("exact"), F.min("attr_rank").alias("attr_rank"),
-        F.min_by(F.element_at("positions", 1), F.struct("attr_rank", "typos", "term")).alias("pos"),
+        F.min_by("pos", F.struct("attr_rank", "typos", "pos")).alias("pos"),
     )
     ranked = hits.groupBy(key).agg(
         F.count("*").alias("words_matched"), F.sum("typos").alias("typos"), F.min("attr_rank").alias("attr_rank"), F.sum("exact").alias("exact_words"),
         (F.max("pos") - F.min("pos")).alias("proximity"),
     )
     if require_all:
-        ranked = ranked.filter(F.col("words_matched") == len(dict.fromkeys(words)))
+        ranked = ranked.filter(F.col("words_matched") == len(words))
     order = [F.col("words_matched").desc(), F.col("typos"), F.col("proximity"), F.col("attr_rank"), F.col("exact_words").desc(), F.col(key)]
     return base.join(ranked, key).orderBy(*order).limit(cap).offset(offset)
 
