@@ -12,6 +12,20 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _grams(table: str, key: str, text: str, n: int, least: int) -> str:
+    """SQL for (key, g): the runs of n words of the texts of at least ``least`` words."""
+    w = f"SELECT DISTINCT {key}, {_WORDS.format(text)} AS w FROM {table}"
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {n - 2}), lambda k: array_to_string(w[k:k + {n - 1}], ' '))) AS g FROM ({w}) WHERE len(w) >= {least}"
+
+
+SQL["p8_found"] = f"WITH d AS ({_grams('documents', 'doc_id', 'text', 12, 12)}), i AS ({_grams('eval_items', 'item_id', 'text', 12, 12)}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"
+SQL["p3_found"] = f"""WITH s AS ({_grams('dual_documents', 'id', 'content', 3, 20)}), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM p JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE c >= 0.5 * (a.n + b.n - c)"""
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f

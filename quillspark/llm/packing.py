@@ -31,6 +31,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
+#: About so many rows of all queues lie in one range of hashes at most.
+PART_ROWS = 1_000_000
+
+
 def load_tokenizer(path: str):
     import tiktoken
 
@@ -113,7 +117,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     ``containers`` is the size of a window in containers; a container's number is unique in the whole result. Null
     and empty texts have no tokens and take no place, so they do not appear. A null source is a source of its own.
-    ``targets`` maps sources to shares; sources that it lacks come last. ``parts`` splits every queue; more than
+    ``targets`` maps sources to shares; sources that it lacks come last. ``parts`` splits every queue, at least; larger tables are split finer; more than
     ``sources`` different sources are put together by hash into that many queues. Repeated keys are packed each.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -126,6 +130,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     sizes = d.filter(F.length("_t") > 0).mapInPandas(sized, f"{key} {kind}, source string, tokens long")
     sizes = materialise(sizes.withColumn("_h", F.xxhash64(key, "source")), "sizes")
+    parts = max(parts, -(-sizes.count() // PART_ROWS))
     queue = F.coalesce("source", F.lit(""))
     n_sources = sizes.select(queue.alias("s")).distinct().count()
     if n_sources > sources:
