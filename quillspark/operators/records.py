@@ -142,6 +142,8 @@ def qualified(runs: DataFrame, speed_up: float = 1.2, agreement: float = 0.999,
 
 def stage_profile(stages: DataFrame, stage: str, seconds: str, items: str) -> DataFrame:
     """Time, share of all time and items per second of each stage."""
+    from pyspark.sql import Window
+
     g = stages.groupBy(stage).agg(F.sum(seconds).alias("total"), F.sum(items).alias("items"))
-    whole = g.agg(F.sum("total").alias("_all"))
-    return g.crossJoin(F.broadcast(whole)).select(stage, "total", F.round(100.0 * F.col("total") / F.col("_all"), 3).alias("percent"), F.round(F.when(F.col("total") > 0, F.col("items") / F.col("total")), 6).alias("rate"))
+    whole = F.sum("total").over(Window.partitionBy(F.lit(1)))  # of the few rows that are left
+    return g.select(stage, "total", F.round(100.0 * F.col("total") / whole, 3).alias("percent"), F.round(F.when(F.col("total") > 0, F.col("items") / F.col("total")), 6).alias("rate"))

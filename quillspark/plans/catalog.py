@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import embed, paths, vectors
 from ..functions import text as tx
-from ..operators import chunkers, dml, extraction, filters, fulltext, integrity, listings, records, sync, vector_search
+from ..operators import chunkers, dml, extraction, filters, fulltext, integrity, listings, ordering, records, sync, vector_search
 from ..session import table as t
 from ..streaming import ingest
 
@@ -588,9 +588,8 @@ def page_lookup_range_join(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, file_path, doc_id) AS place FROM documents")
 def order_newest_nulls_last(spark, d):
-    """Places in the order newest first. A global rank needs one sorted sequence; only the narrow columns go to it."""
-    w = Window.orderBy(F.col("created_at").desc_nulls_last(), "file_path", "doc_id")
-    return _docs(spark, d).select("doc_id", "created_at", "file_path").select("doc_id", F.row_number().over(w).cast("long").alias("place"))
+    df = _docs(spark, d).select("doc_id", "created_at", "file_path")
+    return ordering.numbered(df, [F.col("created_at").desc_nulls_last(), F.col("file_path"), F.col("doc_id")]).select("doc_id", "place")
 
 
 # --- chunkers ---------------------------------------------------------------------------------------------------

@@ -256,3 +256,15 @@ def test_notes(tmp_path):
 
     a, b = (write_note(str(tmp_path), "My Agent", "A: title!", "body", datetime(2025, 3, 4), tags=["x"]) for _ in range(2))
     assert a.name == "20250304_my-agent_a-title.md" and b.name == "20250304_my-agent_a-title-2.md" and a.read_text().endswith("---\n\nbody\n")
+
+
+def test_global_numbers(spark):
+    from quillspark.operators import ordering
+
+    r = random.Random(3)
+    rows = [(i, r.choice([None, 1, 2, 3])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    got = {x["k"]: x["place"] for x in ordering.numbered(df, [F.col("v").desc_nulls_last(), F.col("k")]).collect()}
+    want = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    assert got == {k: i + 1 for i, (k, _) in enumerate(want)}
+    assert ordering.numbered(df.limit(0), [F.col("k")]).count() == 0
