@@ -152,6 +152,38 @@ def pdf_text(files: DataFrame) -> DataFrame:
     return files.select("file_path", "content").mapInPandas(run, "file_path string, page_number int, text string, error string")
 
 
+def ocr_text(images: DataFrame, language: str = "eng") -> DataFrame:
+    """(file_path, page_number, text, confidence, error) of page images, by an OCR engine if the workers have one.
+
+    Words come in reading order; those of low confidence are kept, and the page's mean is reported.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            import io
+
+            import pytesseract  # an optional dependency
+            from PIL import Image
+        except ImportError:
+            pytesseract = None
+        for p in batches:
+            rows = []
+            for path, page, data in zip(p["file_path"], p["page_number"], p["content"], strict=True):
+                if pytesseract is None:
+                    rows.append((path, page, None, None, "no OCR engine"))
+                    continue
+                try:
+                    d = pytesseract.image_to_data(Image.open(io.BytesIO(data)).convert("L"), lang=language, output_type=pytesseract.Output.DICT)
+                    seen = sorted((b, r, ln, w, t, float(c)) for b, r, ln, w, t, c in zip(d["block_num"], d["par_num"], d["line_num"], d["word_num"], d["text"], d["conf"], strict=True) if str(t).strip())
+                    ok = [c for *_, c in seen if c >= 0]
+                    rows.append((path, page, " ".join(t for *_, t, _ in seen), sum(ok) / len(ok) if ok else None, None))
+                except Exception as e:  # noqa: BLE001 - the page is reported, not the job
+                    rows.append((path, page, None, None, str(e)[:200]))
+            yield pd.DataFrame(rows, columns=["file_path", "page_number", "text", "confidence", "error"])
+
+    return images.select("file_path", "page_number", "content").mapInPandas(run, "file_path string, page_number int, text string, confidence double, error string")
+
+
 LOG_SCHEMA = "timestamp string, command string, subcommand string, query string, result_count int, duration_ms long, context string, project string, cwd string, error string"
 
 
