@@ -139,7 +139,7 @@ def windows(batches: Iterator[pd.DataFrame], k: int, block: int) -> Iterator[pd.
         yield ended(prev)
 
 
-def nearest(df: DataFrame, key: str, vector: str, size: int = 64, k: int = 10, curves: int = 3, dims: int = 12, bits: int = 5, block: int = 512, seed: int = 2) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, size: int = 64, k: int = 10, curves: int = 4, dims: int = 12, bits: int = 5, block: int = 1536, seed: int = 2) -> DataFrame:
     """(key, neighbour, similarity): for each usable vector the k others most similar by cosine.
 
     A vector is usable if it has ``size`` numbers, none null or NaN or infinite, not all zero. ``key`` is expected to be
