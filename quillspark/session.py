@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,11 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        made = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        where = "file://" + made
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes what ``materialise`` has written in this process, once its results are no longer read."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back.
 
@@ -49,5 +65,6 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

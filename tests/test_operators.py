@@ -268,3 +268,12 @@ def test_global_numbers(spark):
     want = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
     assert got == {k: i + 1 for i, (k, _) in enumerate(want)}
     assert ordering.numbered(df.limit(0), [F.col("k")]).count() == 0
+
+
+def test_written_tables_can_be_cleaned(spark):
+    from quillspark import session
+
+    df = session.materialise(spark.range(5).toDF("k"), "x")
+    path = df.inputFiles()[0]
+    assert df.count() == 5 and session.clean(spark) >= 1
+    assert not spark._jvm.java.io.File(path.removeprefix("file:")).exists()
