@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
+PART_ROWS = 50_000
+
+
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     """The Hilbert index of each row of ``x`` (unsigned integers below 2**bits), by Skilling's transform."""
     x, one = x.astype(np.uint64).T.copy(), np.uint64(1)
@@ -151,7 +154,8 @@ def nearest(df: DataFrame, key: str, vector: str, size: int = 64, k: int = 10, c
     ok = (F.size(vector) == size) & F.expr(f"exists({vector}, x -> x <> 0)") & F.expr(f"forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
     d = df.filter(F.col(vector).isNotNull() & ok).select(F.col(key).cast("string").alias("id"), F.xxhash64(key).alias("row"), F.col(vector).cast("array<double>").alias("v"))
     plan = Curves(curves, size, dims, bits, seed)
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Partitions of about PART_ROWS rows, whatever the session's default: what one task reads does not grow.
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-d.count() * curves // PART_ROWS))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
