@@ -25,6 +25,8 @@ from ..session import materialise
 from .common import ROLL, WordHash, broadcast, grams, hashed_words, latest, permutations
 
 SKETCH_BITS = 512
+#: Band rows of one task, about.
+BAND_ROWS = 1_000_000
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -111,7 +113,7 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
 
     feats = materialise(d.mapInPandas(features, f"_k {kind}, node long, bands array<long>, sketch array<long>"), "features")
     keyed = feats.filter("bands is not null").select(F.explode("bands").alias("band"), "node")
-    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    parts = max(2, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-feats.count() * bands // BAND_ROWS))
     keyed = keyed.repartition(parts, "band").sortWithinPartitions("band", "node")
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,9 +244,10 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def groups(found: Pairs, key: str) -> DataFrame:
-    """One row per row that is similar to another: key, group (its least key) and links to other texts."""
-    comp = components(found.pairs)
-    links = found.pairs.select(F.col("a").alias("node")).unionByName(found.pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    """One row per row that is similar to another: key, group_id (its group's least key), n_links (to other texts), n_rows."""
+    pairs = materialise(found.pairs, "pairs")
+    comp = components(pairs)
+    links = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     rows = found.members.join(comp, "node", "left").join(links, "node", "left").select(key, F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     heads = rows.groupBy("root").agg(F.min(key).alias("group_id"), F.count("*").alias("n_rows")).filter("n_rows > 1")
     return rows.join(heads, "root").select(key, "group_id", "n_links", "n_rows")
