@@ -4,7 +4,7 @@ Vendored copies are found by content. Every distinct line of a file is hashed; f
 and comments aside) are one class. A class that stands in several projects is a shared one, whatever its paths
 say. An inverted index of rare lines then finds edited copies: classes that share rare lines with a shared class,
 or with a class of another project, become candidates, and the exact containment of one's lines in the other
-decides. Rules on the composition of a file's tokens (counters in names, literals, white space, notices) judge
+decides. Where a copy has many lines, a prefix of its least frequent ones finds its like at any frequency. Rules on the composition of a file's tokens (counters in names, literals, white space, notices) judge
 the remaining files. Branches of one project are one project.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -136,13 +136,70 @@ def line_hashes(code: str) -> np.ndarray:
     return np.sort(np.array([xxhash.xxh64_intdigest(x) for x in lines if len(x) >= 8], np.uint64).view(np.int64))
 
 
-def not_handwritten(files: DataFrame, least: int = 6, contained: float = 0.7, rare: int = 6, share: float = 0.01, few: int = 200_000) -> DataFrame:
+def alike(classes: DataFrame, least: int, contained: float, few: int, usual: int = 32, hold: int = 1_000) -> DataFrame:
+    """(node): classes that have ``contained`` of the smaller one's lines, ``least`` or more, in common with a class of another project.
+
+    classes: node, p1 (the project), shared (it stands in several), lines. A shared class may pair with any that is not.
+    Exact: if the smaller class has t lines in the larger one, one of its n - t + 1 least frequent lines is among them
+    (a prefix), so only these are joined with the lines of the others. Lines that no two projects hold come first
+    of all and need no join. ``usual`` is the number of classes from which a line counts as frequent: over such lines
+    each class is first compared with a few holders, so of a large group of copies nearly all are settled without its
+    pairs; the exact join then takes the others. Of a line that more than ``hold`` classes hold, they are salted.
+    """
+
+    def small(df: DataFrame) -> DataFrame:
+        """For a join against many rows: sent to all executors if it is small, as counted."""
+        df = materialise(df, "index")
+        return F.broadcast(df) if df.count() <= few else df
+
+    lines = classes.filter("shared is not null").select("node", "p1", "shared", F.size("lines").alias("n"), F.explode("lines").alias("line"))
+    held = lines.groupBy("line").agg(F.count("*").alias("df"), F.min("p1").alias("q1"), F.max("p1").alias("q2"), F.max("shared").alias("any")).filter("df > 1 and (q1 <> q2 or any)").select("line", "df")
+    w = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "line"))
+    need = F.greatest(F.lit(least), F.ceil(F.col("n") * contained - 1e-9))
+    entries = materialise(lines.join(small(held), "line").withColumn("at", place).withColumn("need", need).withColumn("first", F.expr("at <= n - need + 1")), "entries")
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.select("line", *[c for c in ("_s",) if c in df.columns], *[F.col(c).alias(f"{c}_{s}") for c in ("node", "p1", "shared", "n", "at", "need", "df")])
+
+    eligible = "node_a <> node_b and not (shared_a and shared_b) and (shared_a or shared_b or p1_a <> p1_b)"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        la = classes.select(F.col("node").alias("node_a"), F.col("lines").alias("la"))
+        lb = classes.select(F.col("node").alias("node_b"), F.col("lines").alias("lb"))
+        same = F.size(F.array_intersect("la", "lb"))
+        good = pairs.select("node_a", "node_b").distinct().join(la, "node_a").join(lb, "node_b").filter(same >= contained * F.least(F.size("la"), F.size("lb"))).filter(same >= least)
+        return good.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
+
+    # A few holders of each frequent line, of two projects where there are two.
+    hot = entries.filter(F.col("df") > usual)
+    whole = F.struct("p1", "n", "node", "shared", "at", "need", "df")
+    some = hot.groupBy("line", F.pmod(F.xxhash64("node"), F.lit(4)).alias("_s")).agg(F.min(whole).alias("x"), F.max(whole).alias("y")).select("line", F.explode(F.array("x", "y")).alias("r")).select("line", "r.*")
+    settled = materialise(verified(side(hot.filter("first"), "a").join(small(side(some, "b")), "line").filter(eligible)), "settled")
+
+    # All pairs in which one is not settled: the prefix of the smaller against the lines of the larger.
+    done = small(settled.select("node", F.lit(True).alias("done")))
+    entries = entries.join(done, "node", "left").withColumn("done", F.coalesce("done", "shared"))
+    ways = F.ceil(F.col("df") / hold).cast("int")
+    salted = entries.withColumn("_s", F.pmod(F.xxhash64("node"), ways).cast("int"))
+    copied = entries.filter("not done").withColumn("_s", F.explode(F.sequence(F.lit(0), ways - 1)))
+    larger = "(n_b > n_a or n_b = n_a and node_b > node_a) and n_b - at_b + 1 >= need_a"
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        return side(a, "a").join(side(b, "b"), ["line", "_s"]).filter(f"{eligible} and {larger}").select("node_a", "node_b")
+
+    pairs = met(copied.filter("first"), salted).unionByName(met(salted.filter("first and done"), copied))
+    return settled.unionByName(verified(pairs)).distinct()
+
+
+def not_handwritten(files: DataFrame, least: int = 6, contained: float = 0.7, rare: int = 6, share: float = 0.01, proof: int = 12, few: int = 200_000) -> DataFrame:
     """FILE and kind (generated, minified, vendored, data) of each file that is not hand-written.
 
     files: FILE, extension, content. ``least`` is the number of lines below which a copy proves nothing; ``contained``
     the share of a file's lines that another project's file must hold; ``rare`` the number of classes that may hold
     a line by which unshared classes are paired; ``share`` the part of all classes beyond which a line of a
-    shared class counts as common. Empty and nearly empty files are hand-written. No file is left out for skew:
+    shared class counts as common; ``proof`` the number of common lines that prove a copy however many classes hold
+    them (fewer may be idioms, and prove one by their rarity only). Empty and nearly empty files are hand-written. No file is left out for skew:
     copies collapse into classes, and no list of a line's files is ever collected beyond ``rare``.
     """
     project = F.split_part("git_project_identifier", F.lit("#"), F.lit(1))
@@ -198,7 +255,10 @@ def not_handwritten(files: DataFrame, least: int = 6, contained: float = 0.7, ra
     la = classes.select(F.col("node").alias("a"), F.col("lines").alias("la"))
     lb = classes.select(F.col("node").alias("b"), F.col("lines").alias("lb"))
     same = F.size(F.array_intersect("la", "lb"))
-    edited = maybe.join(la, "a").join(lb, "b").filter(same >= contained * F.least(F.size("la"), F.size("lb"))).filter(same >= least).select(F.col("a").alias("node")).distinct()
+    edited = maybe.join(la, "a").join(lb, "b").filter(same >= contained * F.least(F.size("la"), F.size("lb"))).filter(same >= least).select(F.col("a").alias("node"))
+
+    # Edited copies of each other that any number of classes hold.
+    edited = edited.unionByName(alike(classes.filter("not shared"), proof, contained, few))
     vendored = classes.filter("shared").select("node").unionByName(edited).distinct()
     copies = left.join(vendored, "node", "left_semi").select(*FILE, F.lit("vendored").alias("kind"))
     return feats.filter("kind is not null").select(*FILE, "kind").unionByName(copies)

@@ -111,3 +111,22 @@ def test_provenance(spark):
         "/p4/min.js": "minified", "/p4/data.json": "data", "/p4/rows.sql": "data", "/p4/table.py": "data",
     }
     assert provenance.not_handwritten(codefiles.files(chunks(spark, files).limit(0))).count() == 0
+
+
+def vendored(spark, files):
+    return {r["file_path"] for r in provenance.not_handwritten(codefiles.files(chunks(spark, files))).collect()}
+
+
+def changed(lib, k):
+    """A copy with a line of its own in place of one, and one more."""
+    lines = lib.strip().split("\n")
+    lines[k % len(lines)] = f"export const changed_in_{k} = own_value_{k};"
+    return "\n".join([*lines, f"export const added_in_{k} = {k};"]) + "\n"
+
+
+def test_copies_that_many_projects_edited(spark):
+    few, many = library(11), library(12)
+    files = [(f"a{k}#main", f"/a{k}/few.js", changed(few, k)) for k in range(8)] + [(f"b{k}#main", f"/b{k}/many.js", changed(many, k)) for k in range(40)]
+    part = "\n".join(many.split("\n")[:9]) + "\n" + library(13, 11)
+    files += [("c#main", "/c/part.js", part), ("d#main", "/d/own.js", library(14)), ("e#main", "/e/large.js", library(15, 90) + changed(few, 99))]
+    assert vendored(spark, files) == {p for _, p, _ in files} - {"/c/part.js", "/d/own.js"}
