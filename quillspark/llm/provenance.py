@@ -257,8 +257,8 @@ def not_handwritten(files: DataFrame, least: int = 6, contained: float = 0.7, ra
     same = F.size(F.array_intersect("la", "lb"))
     edited = maybe.join(la, "a").join(lb, "b").filter(same >= contained * F.least(F.size("la"), F.size("lb"))).filter(same >= least).select(F.col("a").alias("node"))
 
-    # Edited copies of each other that any number of classes hold.
-    edited = edited.unionByName(alike(classes.filter("not shared"), proof, contained, few))
+    # Edited copies, of shared classes or each other, that any number of classes hold.
+    edited = edited.unionByName(alike(classes, proof, contained, few))
     vendored = classes.filter("shared").select("node").unionByName(edited).distinct()
     copies = left.join(vendored, "node", "left_semi").select(*FILE, F.lit("vendored").alias("kind"))
     return feats.filter("kind is not null").select(*FILE, "kind").unionByName(copies)

@@ -130,3 +130,9 @@ def test_copies_that_many_projects_edited(spark):
     part = "\n".join(many.split("\n")[:9]) + "\n" + library(13, 11)
     files += [("c#main", "/c/part.js", part), ("d#main", "/d/own.js", library(14)), ("e#main", "/e/large.js", library(15, 90) + changed(few, 99))]
     assert vendored(spark, files) == {p for _, p, _ in files} - {"/c/part.js", "/d/own.js"}
+
+
+def test_copies_of_a_shared_file_that_many_projects_edited(spark):
+    lib = library(21)
+    files = [("p#main", "/p/lib.js", lib), ("q#main", "/q/lib.js", lib)] + [("p#main", f"/p/edited{k}.js", changed(lib, k)) for k in range(30)]
+    assert vendored(spark, [*files, ("r#main", "/r/own.js", library(22))]) == {p for _, p, _ in files}
