@@ -29,7 +29,7 @@ EDGE, FAN, LEVELS = 64, 64, 3
 COMMON = frozenset(
     """
     the of and in to a is at on for with by while because until as so that be or from this it are was not even if
-    le la les l de des du d et un une à au aux en dans pour par sur que qui est avec sans ce cette plus même si
+    le la les de des du et un une à au aux en dans pour par sur que qui est avec sans ce cette plus même si
     der die das den dem des ein eine und in im zu mit von auf für ist bei nach vor nicht aber aus
     el los las del y un una al con por para que es en se sin su cada antes más hasta
     """.split()
@@ -42,11 +42,11 @@ def _word_counts(t: str) -> tuple[int, int, int]:
     return len(found), sum(map(COMMON.__contains__, found)), sum(map(len, found))
 
 
-NO_VOWEL = re.compile(r"(?i)\b[bcdfghjklmnpqrstvwxz]{3,}\b")
-BROKEN = re.compile(r"\(cid:\d+\)|[�□\u200b]")
-HEX = re.compile(r"\b[0-9a-f]{2}\b")
+NO_VOWEL = re.compile(r"(?i)\b[bcdfghjklmnpqrstvwxz]{3,40}\b")
+BROKEN = re.compile(r"\(cid:\d{1,9}\)|[�□\u200b]")
+HEX = re.compile(r"(?<!\S)[0-9a-f]{2}(?!\S)")
 TIGHT_COMMA = re.compile(r",(?=\S)|,$")
-GAP = re.compile(r"\S {2,}(?=\S)")
+GAP = re.compile(r"\S  ")
 COUNTS = {
     "words": lambda t: _word_counts(t)[0],
     "common": lambda t: _word_counts(t)[1],
@@ -66,6 +66,8 @@ COUNTS = {
 BULLET = re.compile(r"\s*(?:[-*+•◦▪‣–·]\s|\[[ xX]\]\s|\(?\d{1,3}[.)]\s|\d+(?:\.\d+)+\.?\s|\(?[a-z][.)]\s|--?[a-z][\w-]*)")
 LEADER = re.compile(r"(?:\.{3,}|(?:\. ){3,}|…{2,}|_{3,})\s*\d+\s*$")
 RULE = re.compile(r"\s*[|+│┼├┤─═=:\- ]*(?:-{2,}|─{2,}|={3,})[|+│┼├┤─═=:\- ]*$")
+#: A first cell that looks like a mark of a list, far from what follows.
+CELL = re.compile(r"\s*(?:[-–]|\d+(?:\.\d+)+)( {2,})\S")
 SOLID_RUN = re.compile(r"\s*[A-Za-z0-9+/=_-]{40,}\s*$")
 KINDS = ("prose", "list", "table", "junk", "open")
 
@@ -116,7 +118,10 @@ def line_kind(p: Piece) -> str:
     words, solid, alnum = get("words"), get("solid"), get("alnum")
     if alnum * 4 < solid and RULE.match(head) and (p.n <= EDGE or RULE.match(p.tail)):
         return "table"
-    if get("bars") >= 2 or get("tabs") >= 1:
+    bars = get("bars")
+    if bars >= 2 and alnum * 2 < solid - bars and solid > 3 * bars + 4:
+        return "junk"  # symbols, of which bars are some
+    if bars >= 2 or get("tabs") >= 1:
         return "table"
     broken = get("broken")
     if words and broken * 6 > words or broken >= 3 and broken * 8 > solid:
@@ -131,11 +136,15 @@ def line_kind(p: Piece) -> str:
         return "junk"
     if words >= 3 and get("common") * 12 < words and get("no_vowel") * 2 > words:
         return "junk"
+    gaps = get("gaps") - p.tail.endswith("  ")  # the blanks at the end are no gap
+    cell = CELL.match(head)
+    if cell and (gaps >= 2 or len(cell[1]) >= 4):
+        return "table"
     if BULLET.match(head):
         return "list"
     if get("enders"):
         return "prose"
-    if (get("semis") >= 2 and get("semis") * 6 > words) or (get("commas") >= 2 and get("commas") * 5 > words) or (get("gaps") >= 1 and words < 12 * (get("gaps") + 1)):
+    if (get("semis") >= 2 and get("semis") * 6 > words) or (get("commas") >= 2 and get("commas") * 5 > words) or (gaps >= 1 and words < 12 * (gaps + 1)):
         return "table"
     if words >= 20 and get("common") * 20 < words and not get("any_commas"):
         return "junk"
@@ -145,12 +154,15 @@ def line_kind(p: Piece) -> str:
 
 
 class State:
-    """Counts of the whole lines of a piece of text, and its first and last line, which may be parts."""
+    """Counts of the whole lines of a piece of text, and its first and last line, which may be parts.
+
+    Line breaks are single line feeds: texts are brought to that before they are cut, so that no break is cut in two.
+    """
 
     __slots__ = ("body", "first", "last", "whole")
 
     def __init__(self, text: str):
-        lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        lines = text.split("\n")
         self.first = Piece(lines[0])
         self.last = Piece(lines[-1]) if len(lines) > 1 else None
         self.body = {}
@@ -224,7 +236,7 @@ class State:
 
 def statistics(text: str | None, chunk: int | None = None) -> tuple:
     """The statistics of one text; with ``chunk``, by way of merged chunks (the result is the same)."""
-    text = text or ""
+    text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
     if not chunk or len(text) <= chunk:
         return derive(State(text).finish())
     parts = [State(text[i : i + chunk]).close() for i in range(0, len(text), chunk)]
@@ -269,9 +281,9 @@ NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = 16_384) -> DataFrame:
     """One row of statistics per row of ``docs``, with ``kind`` prose, list, table or junk.
 
-    A null or blank text has zero counts and the kind prose. Rows are not merged unless a text is longer than
-    ``chunk`` characters; the chunks of such a text are found by ``key``, which must then be unique (of repeated
-    keys with long texts one row is kept). Other columns are ignored.
+    A null or blank text has zero counts and the kind prose. Rows are not merged, whatever their keys: the chunks of
+    a text longer than ``chunk`` characters are found by its key and hash, and rows that repeat both are counted, so
+    each comes out. Other columns are ignored.
     """
     k = docs.schema[key].dataType.simpleString()
     d = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
@@ -285,25 +297,29 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.DataFrame({"_k": p["_k"], "_i": p["_i"], "_s": [State(t).dump() for t in p["_t"]]})
+            yield pd.DataFrame({"_k": p["_k"], "_h": p["_h"], "_i": p["_i"], "_m": 1, "_s": [State(t).dump() for t in p["_t"]]})
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.drop_duplicates("_i").sort_values("_i")
+        p = p.sort_values("_i")
+        rows = int((p["_i"] == p["_i"].iloc[0]).mul(p["_m"]).sum())  # so many rows have this key and text
+        p = p.drop_duplicates("_i")
         states = [State.load(s) for s in p["_s"]]
         out = states[0]
         for s in states[1:]:
             out = out.join(s)
-        return pd.DataFrame({"_k": p["_k"].iloc[:1], "_i": p["_i"].iloc[:1] // FAN, "_s": [out.dump()]})
+        return pd.DataFrame({"_k": p["_k"].iloc[:1], "_h": p["_h"].iloc[:1], "_i": p["_i"].iloc[:1] // FAN, "_m": rows, "_s": [out.dump()]})
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             out = pd.DataFrame([derive(State.load(s).finish()) for s in p["_s"]], columns=NAMES)
             out.insert(0, "_k", p["_k"].to_numpy())
-            yield out
+            yield out.loc[out.index.repeat(p["_m"].to_numpy())]
 
     short = d.filter(n <= chunk).mapInPandas(whole, f"_k {k}, {FIELDS}")
-    pieces = d.filter(n > chunk).select("_k", F.posexplode(F.expr(f"transform(sequence(0, cast((length(_t) - 1) div {chunk} as int)), i -> substring(_t, i * {chunk} + 1, {chunk}))")).alias("_i", "_t"))
-    states = pieces.repartition("_k", "_i").mapInPandas(part, f"_k {k}, _i int, _s binary")
+    long = d.filter(n > chunk).select("_k", F.xxhash64("_t").alias("_h"), F.regexp_replace("_t", "\r\n?", "\n").alias("_t"))
+    pieces = long.select("_k", "_h", F.posexplode(F.expr(f"transform(sequence(0, cast((length(_t) - 1) div {chunk} as int)), i -> substring(_t, i * {chunk} + 1, {chunk}))")).alias("_i", "_t"))
+    piece = f"_k {k}, _h long, _i int, _m long, _s binary"
+    states = pieces.repartition("_k", "_h", "_i").mapInPandas(part, piece)
     for _ in range(LEVELS):
-        states = states.groupBy("_k", F.expr(f"_i div {FAN}").alias("_g")).applyInPandas(merge, f"_k {k}, _i int, _s binary")
+        states = states.groupBy("_k", "_h", F.expr(f"_i div {FAN}").alias("_g")).applyInPandas(merge, piece)
     return short.unionByName(states.mapInPandas(finish, f"_k {k}, {FIELDS}")).withColumnRenamed("_k", key)
