@@ -93,13 +93,13 @@ def _files(spark, d):
 
 @query
 def p6_found(spark, d):
-    return syntax.checked(_files(spark, d)).filter("verdict <> 'valid'").select(*codefiles.FILE)
+    return syntax.invalid(syntax.checked(_files(spark, d))).select(*codefiles.FILE)
 
 
 @query
 def p6_files(spark, d):
     """Every invalid file with what is wrong with it."""
-    return syntax.checked(_files(spark, d)).filter("verdict <> 'valid'")
+    return syntax.invalid(syntax.checked(_files(spark, d)))
 
 
 @query

@@ -7,22 +7,34 @@ different sequence of kinds and remembered, since code repeats its shapes far mo
 
 from __future__ import annotations
 
+import copy
 import json
 import re
+import sys
 import warnings
+from collections import Counter
 
 try:
     import yaml
-except ImportError:  # then YAML is checked by its indentation and quotes alone
+except ImportError:  # then files of YAML stay undecided
     yaml = None
 
-EXTENSIONS = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "json": "json", "yaml": "yaml", "yml": "yaml", "sql": "sql"}
+EXTENSIONS = {
+    "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript",
+    "go": "go", "java": "java", "json": "json", "yaml": "yaml", "yml": "yaml", "sql": "sql",
+}
+#: Frames of the recognisers. They recurse in the interpreter's heap, not on the C stack; what is nested deeper is undecided.
+FRAMES = 60_000
 
 
 class Bad(Exception):
     """Not a sentence of the grammar."""
 
 
+class Undecided(Exception):
+    """The grammar at hand cannot tell: it is missing, or the text is nested deeper than it can follow."""
+
+
 # --- lexers ---------------------------------------------------------------------------------------------------
 
 _C_COMMENT = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
@@ -135,8 +147,8 @@ class Tokens:
         adj += [False] * 3
         self.off, self.text = None, None
 
-    def template(self, code: str, at: int, language: str) -> int:
-        """The end of the template literal that begins at ``at``; its expressions are kept to be parsed."""
+    def template(self, code: str, at: int, language: str, keep: bool = True) -> int:
+        """The end of the template literal that begins at ``at``; its expressions are kept to be parsed, with what is in them."""
         i, n = at + 1, len(code)
         while i < n:
             c = code[i]
@@ -149,7 +161,7 @@ class Tokens:
                 while j < n and depth:
                     c = code[j]
                     if c == "`":
-                        j = self.template(code, j, language)
+                        j = self.template(code, j, language, False)
                         continue
                     if c in "\"'":
                         q = j + 1
@@ -160,7 +172,8 @@ class Tokens:
                     j += 1
                 if depth:
                     break
-                self.inner.append(code[i + 2 : j - 1])
+                if keep:
+                    self.inner.append(code[i + 2 : j - 1])
                 i = j
             else:
                 i += 1
@@ -180,7 +193,7 @@ class Tokens:
 
 
 _GO_ENDS = frozenset(["a", "0", '"', "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"])
-_VALUE_ENDS = frozenset(["a", "0", '"', ")", "]", "}", "this", "super", "null", "true", "false", "++", "--", "get", "set", "of", "async", "static", "as", "from", "type", "is"])
+_VALUE_ENDS = frozenset(["a", "0", '"', ")", "]", "}", "this", "super", "null", "true", "false", "++", "--", "get", "set", "of", "async", "static", "as", "from", "type", "is"]) | (_TS_WORDS - _JS_WORDS)
 
 
 class Parser:
@@ -190,7 +203,6 @@ class Parser:
 
     def __init__(self, tokens: Tokens, memory: dict):
         self.t, self.k, self.nl, self.i, self.memory = tokens, tokens.k, tokens.nl, 0, memory
-        self.depth = 0
 
     def at(self, *kinds: str) -> bool:
         return self.k[self.i] in kinds
@@ -231,15 +243,11 @@ class Parser:
         key = what + self.t.shape(a, b)
         known = self.memory.get(key)
         if known is None:
-            self.depth += 1
-            if self.depth > 60:
-                raise Bad("too deep")
             try:
                 f()
                 known = self.i == b + 1
             except Bad:
                 known = False
-            self.depth -= 1
             if len(self.memory) < self.MEMORY:
                 self.memory[key] = known
         if not known:
@@ -2614,7 +2622,7 @@ def _python(code: str, memory: dict) -> None:
         except (SyntaxError, ValueError) as e:
             raise Bad(str(e)) from None
         except (RecursionError, MemoryError):
-            raise Bad("too deep") from None
+            raise Undecided("too deep") from None
 
 
 def _no_constant(name: str):
@@ -2624,43 +2632,74 @@ def _no_constant(name: str):
 def _json(code: str, memory: dict) -> None:
     try:
         json.loads(code, parse_constant=_no_constant)
-    except (ValueError, RecursionError) as e:
+    except ValueError as e:
         raise Bad(str(e)) from None
 
 
 def _yaml(code: str, memory: dict) -> None:
-    if yaml is not None:
+    if yaml is None:
+        raise Undecided("no parser of YAML")
+    try:
+        for _ in yaml.parse(code, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+            pass
+    except yaml.YAMLError as e:
+        raise Bad(str(e)) from None
+
+
+def one_scalar(code: str) -> bool:
+    """Whether a text that is YAML is so only as one plain scalar, as nearly any words are."""
+    events = yaml.parse(code, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    return all(isinstance(e, (yaml.StreamStartEvent, yaml.DocumentStartEvent, yaml.DocumentEndEvent, yaml.StreamEndEvent)) or isinstance(e, yaml.ScalarEvent) and not e.style for e in events)
+
+
+def script_tokens(code: str, typed: bool, memory: dict) -> Tokens:
+    """The tokens of a script. Its two languages differ in their words only, so a text is read once for both."""
+    known = memory.get("script")
+    if known is None or known[0] != code:
         try:
-            for _ in yaml.parse(code, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
-                pass
-        except (yaml.YAMLError, RecursionError) as e:
-            raise Bad(str(e)) from None
-        return
-    for line in code.split("\n"):
-        s = line.strip()
-        if re.match(r" *\t", line) or re.match(r"(<{7}|>{7}|={7})", line):
-            raise Bad("a tab or a conflict mark")
-        if s and not s.startswith("#") and s.count('"') % 2 and "'" not in s and not s.endswith(("|", ">")):
-            raise Bad("an open quote")
+            known = (code, Tokens(code, "typescript"))
+        except Bad as e:
+            known = (code, e)
+        memory["script"] = known
+    t = known[1]
+    if isinstance(t, Bad):
+        raise t
+    if typed:
+        return t
+    plain = copy.copy(t)
+    plain.k, plain.off, plain.text = ["a" if k in _TS_ONLY else k for k in t.k], None, None
+    return plain
+
+
+_TS_ONLY = _TS_WORDS - _WORDS["javascript"]
 
 
 def _script(typed: bool):
     name = "typescript" if typed else "javascript"
 
-    def check(code: str, memory: dict, depth: int = 0) -> None:
-        t = Tokens(code, name)
+    def check(code: str, memory: dict) -> None:
+        t = script_tokens(code, typed, memory)
         Script(t, memory.setdefault(name, {}), typed).program()
-        for part in t.inner if depth < 20 else ():
-            check("(" + part + ")", memory, depth + 1)
+        for part in t.inner:
+            check("(" + part + ")", memory)
 
     return check
 
 
+#: What a file begins with, comments aside.
+_BEGIN = re.compile(rf"(?:\s|{_C_COMMENT})*+(@|[^\W\d]\w*|.)?", re.S)
+_JAVA_BEGIN = frozenset("package import class interface enum record public private protected static abstract final strictfp sealed non open module @ ;".split()) | {None}
+
+
 def _go(code: str, memory: dict) -> None:
+    if _BEGIN.match(code)[1] != "package":
+        raise Bad("no package clause")
     Go(Tokens(code, "go"), memory.setdefault("go", {})).program()
 
 
 def _java(code: str, memory: dict) -> None:
+    if _BEGIN.match(code)[1] not in _JAVA_BEGIN:
+        raise Bad("no declaration at the beginning")
     Java(Tokens(code, "java"), memory.setdefault("java", {})).program()
 
 
@@ -2680,33 +2719,43 @@ _SQL_WORDS = _SQL_STARTS | _SQL_STOP | _SQL_BINARY | frozenset(
 
 CHECKS = {"python": _python, "javascript": _script(False), "typescript": _script(True), "go": _go, "java": _java, "json": _json, "yaml": _yaml, "sql": _sql}
 
-#: Words and marks that speak for a language, for the order in which foreign grammars are tried.
+#: Tokens that speak for a language, for the order in which the grammars are tried.
 _SIGNS = {
-    "python": r"^\s*(?:def|class|from|import|elif|with|@\w+)\b.*|:\s*$|\bself\b|\bNone\b",
-    "javascript": r"\b(?:const|let|function|export|=>|require)\b|;\s*$|===",
-    "typescript": r"\b(?:interface|readonly|type|private)\b|:\s*(?:string|number|boolean)\b",
-    "go": r"^package\s+\w+\s*$|\bfunc\b|:=|\bnil\b",
-    "java": r"^package\s+[\w.]+;|\b(?:public|private|static|final|void)\b|@Override",
-    "json": r'^\s*"[^"]*"\s*:|^[{\[\]}],?$',
-    "yaml": r"^\s*[\w-]+:(?:\s|$)|^\s*-\s",
-    "sql": r"(?i)\b(?:select|insert into|create table|where|values|group by)\b",
+    "python": "def class from import elif with self None True False not pass except ): @ #",
+    "javascript": "const let function export require => ; === null undefined }); );",
+    "typescript": "interface readonly type private string number boolean const let export => ; ?: }); );",
+    "go": "package func := nil range chan defer struct err * }",
+    "java": "package public private static final void @ import new String int ; ); {",
+    "json": '": ", "},{" }, ], ": { ": [',
+    "yaml": ": - # name version",
+    "sql": "select insert into create table where values group by SELECT INSERT INTO CREATE TABLE WHERE VALUES GROUP BY FROM NOT NULL --",
 }
-_SIGNS = {k: re.compile(v, re.M) for k, v in _SIGNS.items()}
+_SPEAKS: dict[str, list[str]] = {}
+for _language, _tokens in _SIGNS.items():
+    for _token in _tokens.split():
+        _SPEAKS.setdefault(_token, []).append(_language)
+_SIGN = re.compile(r"[A-Za-z_]+|[^\w\s]+")
 
 
 def ranked(code: str) -> list[str]:
     """The languages in the order of what the file's tokens speak for."""
-    return sorted(CHECKS, key=lambda k: (-len(_SIGNS[k].findall(code)), k))
+    votes = dict.fromkeys(CHECKS, 0)
+    for token, n in Counter(_SIGN.findall(code)).items():
+        for language in _SPEAKS.get(token, ()):
+            votes[language] += n
+    return sorted(CHECKS, key=lambda k: (-votes[k], k))
 
 
 def error_of(code: str, language: str, memory: dict) -> str | None:
-    """Why a text is no program of the language; None if it is one."""
+    """Why a text is no program of the language; None if it is one. Undecided where that cannot be told."""
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
     try:
         CHECKS[language](code.removeprefix("﻿"), memory)
     except Bad as e:
         return str(e)[:200]
     except RecursionError:
-        return "too deep"
+        raise Undecided("too deep") from None
     except (IndexError, KeyError):
         return "unfinished"
     return None

@@ -62,6 +62,17 @@ def test_verdicts():
     assert syntax.verdict("x = 1\n<<<<<<< HEAD\ny = 2\n=======\nz = (\n", "python", {})[0] == "conflict"
     assert syntax.verdict("def f(x):\n    return (x", "python", {})[0] == "corrupt"
     assert syntax.verdict("[" * 3000, "json", {})[0] == "corrupt"
+    assert syntax.verdict("package a\n\nfunc f() {\n\treturn\n}\n", "yaml", {})[:2] == ("wrong_extension", "go")
+    assert syntax.verdict("a: 1\nb: [x, y]\n", "yaml", {})[0] == syntax.verdict("just a few plain words\n", "yaml", {})[0] == "valid"
+    assert syntax.verdict(py, None, {}) == ("unsupported", "python", None)
+
+
+def test_deep_nesting_is_no_error():
+    for n in (50, 400):
+        assert error_of("function f() " + "{ if (a) " * n + "{ b(); }" + "}" * n, "javascript", {}) is None
+        assert error_of("package a\n\nfunc f() {\n" + "if a {\n" * n + "b()\n" + "}\n" * n + "}\n", "go", {}) is None
+        assert error_of("x = `" + "${`" * n + "a" + "`}" * n + "`;", "javascript", {}) is None
+    assert syntax.verdict("[" * 200_000 + "]" * 200_000, "json", {})[0] == "undecided"
 
 
 CHUNK = "id string, indexed_at timestamp, chunk_index int, content string, file_size long, git_project_identifier string, file_path string, lines int, node string"
@@ -82,9 +93,10 @@ def chunks(spark, files):
 def test_files_are_joined_and_checked(spark):
     f = codefiles.files(chunks(spark, [("a#main", "/x/a.py", "def f():\n    return 1\n"), ("a#main", "/x/b.PY", "def f(:\n"), ("a#main", "/x/c.json", None), ("a#main", "/x/d.bin", "x"), (None, "/x/e.go", "package a\n")]))
     got = {r["file_path"]: r["verdict"] for r in syntax.checked(f).collect()}
-    assert got == {"/x/a.py": "valid", "/x/b.PY": "corrupt", "/x/c.json": "corrupt", "/x/e.go": "valid"}
+    assert got == {"/x/a.py": "valid", "/x/b.PY": "corrupt", "/x/c.json": "corrupt", "/x/d.bin": "unsupported", "/x/e.go": "valid"}
+    assert {r["file_path"] for r in syntax.invalid(syntax.checked(f)).collect()} == {"/x/b.PY", "/x/c.json"}
     rates = {(r["git_project_identifier"], r["language"]): r["invalid_rate"] for r in syntax.rates(syntax.checked(f)).collect()}
-    assert rates[("a#main", "python")] == 0.5
+    assert rates[("a#main", "python")] == 0.5 and rates[("a#main", None)] is None
     assert syntax.checked(codefiles.files(chunks(spark, [("a#main", "/x/a.py", "")]).limit(0))).count() == 0
 
 
