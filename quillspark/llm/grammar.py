@@ -13,6 +13,7 @@ import re
 import sys
 import warnings
 from collections import Counter
+from itertools import accumulate
 
 try:
     import yaml
@@ -2639,6 +2640,8 @@ def _json(code: str, memory: dict) -> None:
 def _yaml(code: str, memory: dict) -> None:
     if yaml is None:
         raise Undecided("no parser of YAML")
+    if code.count("[") + code.count("{") > 10_000 and max(accumulate((c in "[{") - (c in "]}") for c in code if c in "[]{}")) > 10_000:
+        raise Undecided("too deep")  # the parser's time grows with the square of the depth
     try:
         for _ in yaml.parse(code, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
             pass
