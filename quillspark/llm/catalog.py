@@ -87,6 +87,22 @@ def p7_packed(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
 
+#: A mixture as a training run may want it: manuals and handbooks up, chat down, the rest of the sources after them.
+MIXTURE = {"field-manual": 3.0, "handbook": 3.0, "manual-page": 2.0, "wiki-export": 2.0, "support-desk": 1.0, "chat-session": 0.5}
+
+
+@query
+def p7_mixed(spark, d):
+    """The documents packed to target shares."""
+    return packing.pack(table(spark, d, "documents"), targets=MIXTURE)
+
+
+@query
+def p7_shares(spark, d):
+    """Tokens of each source in each window of the mixture, with its share and target."""
+    return packing.mixture(packing.pack(table(spark, d, "documents"), containers=32, targets=MIXTURE), MIXTURE)
+
+
 def _files(spark, d):
     return codefiles.files(table(spark, d, "code_chunks"))
 

@@ -2,11 +2,12 @@
 
 Mixture-controlled packing. Every source is a queue in the order of its keys' hashes. Deficit round-robin gives
 each source, in every window, as many tokens as its target share; what a queue could not place exactly is
-carried to the next window. Because a source's deficit after any window is its tokens so far modulo its share of
-a window, the window of a document follows from the running total of its queue alone: the totals of all parts
-of all queues are summed first, and each part then goes on where the parts before it end, so deficits carry
-across windows and partitions without one task ever reading a whole queue. A queue that ends early leaves its
-share to the others from then on.
+carried to the next window. After any number of rounds a queue of share s has given s tokens a round, to within one
+document, so a document that has c tokens of its queue before it falls into round c / s; and the tokens of all queues
+up to a round, a sum of one term for each queue, tell the window. So the window of a document follows from
+the running total of its queue alone: the totals of all parts of all queues are summed first, and each part then
+goes on where the parts before it end, so deficits carry across windows and partitions without one task ever reading
+a whole queue. A queue that ends early leaves its share to the others from then on.
 
 Within a window, documents (and the pieces of documents longer than a container) are packed best fit, longest
 first. Tokens are those of a public tokenizer, whose file is a parameter.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .common import broadcast
 
 #: A byte-level BPE vocabulary in rank format, and the pre-tokenization pattern of its family.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,10 +37,12 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 PART_ROWS = 1_000_000
 
 
-def load_tokenizer(path: str):
+def load_tokenizer(data: str | bytes):
+    """The tokenizer of a file, or of what it contains."""
     import tiktoken
 
-    lines = (line.split() for line in Path(path).read_bytes().splitlines() if line)
+    data = data if isinstance(data, bytes) else Path(data).read_bytes()
+    lines = (line.split() for line in data.splitlines() if line)
     ranks = {base64.b64decode(a): int(b) for a, b in lines}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -87,75 +91,88 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def schedule(totals: dict[str, int], targets: dict[str, float] | None, window: int) -> list[tuple[int, dict[str, tuple[int, float]]]]:
-    """Phases: (first window, source -> (tokens placed before, tokens per window)).
+class Rounds:
+    """Which share of all tokens stands before a round, where every queue gives tokens by its target share.
 
-    Without targets each source's share is its share of all tokens, so there is one phase.
+    totals: tokens of each queue of ``targets``; ``rest``: tokens of all other queues, which come last.
     """
-    left = {s: n for s, n in totals.items() if n > 0}
-    want = {s: (targets or totals).get(s, 0) or 1e-9 for s in left}
-    done, at, out = dict.fromkeys(left, 0), 0, []
-    while left:
-        whole = sum(want[s] for s in left)
-        rate = {s: window * want[s] / whole for s in left}
-        out.append((at, {s: (done[s], rate[s]) for s in left}))
-        steps = max(1, int(min(left[s] / rate[s] for s in left) + 0.999999))
-        if len(out) >= len(totals):
-            break
-        at += steps
-        for s in list(left):
-            placed = min(left[s], int(steps * rate[s]))
-            done[s] += placed
-            left[s] -= placed
-            if left[s] <= 0:
-                del left[s]
-    return out
+
+    def __init__(self, totals: dict[str, int], targets: dict[str, float], rest: int):
+        self.ends = {q: n / targets[q] for q, n in totals.items() if n > 0}
+        order = sorted(self.ends.items(), key=lambda x: x[1])
+        at, placed, rate = [0.0], [0.0], sum(targets[q] for q in self.ends)
+        for q, end in order:
+            placed.append(placed[-1] + (end - at[-1]) * rate)
+            at.append(end)
+            rate -= targets[q]
+        self.last = at[-1]
+        self.at, self.placed = np.array([*at, self.last + 1]), np.array([*placed, placed[-1] + rest])
+
+    def tokens_before(self, rounds: np.ndarray) -> np.ndarray:
+        return np.interp(rounds, self.at, self.placed)
+
+
+#: A tokenizer file is sent to the workers; a larger one is an error.
+TOKENIZER_BYTES = 64 << 20
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 2048, containers: int = 256, targets: dict[str, float] | None = None, tokenizer: str = TOKENIZER, parts: int = 64, sources: int = 10_000) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 2048, containers: int = 256, targets: dict[str, float] | None = None, tokenizer: str = TOKENIZER, parts: int = 64) -> DataFrame:
     """(key, piece, start_token, n_tokens, source, window, container), one row per document or piece of a longer one.
 
     ``containers`` is the size of a window in containers; a container's number is unique in the whole result. Null
-    and empty texts have no tokens and take no place, so they do not appear. A null source is a source of its own.
-    ``targets`` maps sources to shares; sources that it lacks come last. ``parts`` splits every queue, at least; larger tables are split finer; more than
-    ``sources`` different sources are put together by hash into that many queues. Repeated keys are packed each.
+    and empty texts have no tokens and take no place, so they do not appear. A null source is a source of its own,
+    and so is an empty one. Without ``targets`` each source's share is its share of all tokens. ``targets`` maps
+    sources to shares above zero; all other sources come after these, mixed by their own shares. Any number of sources
+    will do: only those of ``targets`` are summed up on the driver. ``parts`` splits every queue, at least; larger tables
+    are split finer. Repeated keys are packed each. ``tokenizer`` is a file of the driver's machine.
     """
     kind = docs.schema[key].dataType.simpleString()
+    spark, vocabulary = docs.sparkSession, Path(tokenizer).read_bytes()
+    if len(vocabulary) > TOKENIZER_BYTES:
+        raise ValueError(f"the tokenizer file has more than {TOKENIZER_BYTES} bytes")
+    load = broadcast(spark, vocabulary)
     d = docs.select(F.col(key).alias(key), F.col(source).cast("string").alias("source"), F.col(text).alias("_t"))
 
     def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = load_tokenizer(tokenizer)
+        encoding = load_tokenizer(load())
         for p in batches:
             yield pd.DataFrame({key: p[key], "source": p["source"], "tokens": [count_tokens(encoding, t) for t in p["_t"]]})
 
     sizes = d.filter(F.length("_t") > 0).mapInPandas(sized, f"{key} {kind}, source string, tokens long")
     sizes = materialise(sizes.withColumn("_h", F.xxhash64(key, "source")), "sizes")
     parts = max(parts, -(-sizes.count() // PART_ROWS))
-    queue = F.coalesce("source", F.lit(""))
-    n_sources = sizes.select(queue.alias("s")).distinct().count()
-    if n_sources > sources:
-        queue = F.concat(F.lit("#"), F.pmod(F.xxhash64(queue), F.lit(sources)).cast("string"))
+    queue = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+    if targets is not None:
+        targets = {f"={s}" if s is not None else "null": float(x) for s, x in targets.items() if x > 0}
+        queue = F.when(queue.isin(*targets), queue).otherwise("rest")
     # Parts are ranges of the hash, so that a queue's order is that of its parts.
     part = F.least(F.floor((F.col("_h").cast("double") + 2.0**63) / 2.0**64 * parts), F.lit(parts - 1)).cast("int")
     items = sizes.withColumn("_q", queue).withColumn("_p", part)
     totals = items.groupBy("_q", "_p").agg(F.sum("tokens").alias("n"))
+    totals = materialise(totals, "totals")
     before = totals.withColumn("_before", F.sum("n").over(Window.partitionBy("_q").orderBy("_p")) - F.col("n")).select("_q", "_p", "_before")
-    per_queue = {r["_q"]: r["n"] for r in totals.groupBy("_q").agg(F.sum("n").alias("n")).collect()}  # at most ``sources`` rows
-    if targets is not None and len(per_queue) > 300:
-        raise ValueError("target shares are for at most 300 sources")
+    queues = totals.groupBy("_q").agg(F.sum("n").alias("_n"))
+    whole = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     window = capacity * containers
-    phases = schedule(per_queue, targets, window)
-    plan = docs.sparkSession.createDataFrame([(q, at, int(done), float(rate)) for at, shares in phases for q, (done, rate) in shares.items()] or [("", 0, 0, 1.0)], "_q string, _at long, _done long, _rate double")
-
     run = Window.partitionBy("_q", "_p").orderBy("_h", key)
-    placed = items.join(F.broadcast(before) if n_sources * parts <= 100_000 else before, ["_q", "_p"]).withColumn("_sum", F.col("_before") + F.sum("tokens").over(run) - F.col("tokens"))
-    phase = plan.groupBy("_q").agg(F.sort_array(F.collect_list(F.struct("_done", "_at", "_rate"))).alias("_phases"))
-    placed = placed.join(F.broadcast(phase), "_q").withColumn("_now", F.expr("element_at(filter(_phases, x -> x._done <= _sum), -1)"))
-    placed = placed.withColumn("window", (F.col("_now._at") + F.floor((F.col("_sum") - F.col("_now._done")) / F.col("_now._rate"))).cast("long"))
-    whole = sum(per_queue.values())
-    last = max(0, -(-whole // window) - 1)
+    few = totals.count() <= 100_000
+    placed = items.join(F.broadcast(before) if few else before, ["_q", "_p"]).withColumn("_sum", F.col("_before") + F.sum("tokens").over(run) - F.col("tokens"))
     if targets is None:
-        placed = placed.withColumn("window", F.least("window", F.lit(last).cast("long")))
+        placed = placed.join(F.broadcast(queues) if few else queues, "_q").withColumn("_tokens", F.col("_sum") / F.col("_n") * F.lit(float(whole)))
+    else:
+        sums = {r["_q"]: r["_n"] for r in queues.collect()}  # the queues of ``targets`` and one more
+        rest = sums.pop("rest", 0)
+        rounds = Rounds(sums, targets, rest)
+
+        @F.pandas_udf("double")
+        def tokens_before(x: pd.Series) -> pd.Series:
+            return pd.Series(rounds.tokens_before(x.to_numpy()))
+
+        share = F.coalesce(F.create_map(*[F.lit(x) for q in sums for x in (q, targets[q])])[F.col("_q")], F.lit(1.0)) if sums else F.lit(1.0)
+        at = F.when(F.col("_q") == "rest", F.lit(rounds.last) + F.col("_sum") / F.lit(float(max(1, rest)))).otherwise(F.col("_sum") / share)
+        placed = placed.withColumn("_tokens", tokens_before(at))
+    last = max(0, -(-whole // window) - 1)
+    placed = placed.withColumn("window", F.least(F.floor(F.col("_tokens") / window).cast("long"), F.lit(last).cast("long")))
 
     def fill(p: pd.DataFrame) -> pd.DataFrame:
         tokens = p["tokens"].to_numpy()
@@ -172,3 +189,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     cols = f"{key} {kind}, piece int, start_token long, n_tokens long, source string, window long, container long"
     return placed.select(key, "source", "tokens", "_h", "window").groupBy("window").applyInPandas(fill, cols)
+
+
+def mixture(packed: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """(window, source, n_tokens, share, target): what each source has of each window, beside its target share (null if it has none)."""
+    w = Window.partitionBy("window")
+    whole = sum(x for x in (targets or {}).values() if x > 0)
+    target = F.create_map(*[F.lit(v) for s, x in targets.items() if x > 0 for v in (s, x / whole)])[F.col("source")] if whole else F.lit(None).cast("double")
+    rows = packed.groupBy("window", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+    return rows.select("window", "source", "n_tokens", F.round(F.col("n_tokens") / F.sum("n_tokens").over(w), 6).alias("share"), F.round(target, 6).alias("target"))

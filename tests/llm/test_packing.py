@@ -54,6 +54,41 @@ def test_target_shares_and_empty_table(spark):
     assert pk.pack(df.limit(0)).count() == 0
 
 
+def test_shares_hold_in_every_window_until_a_source_ends(spark):
+    r = random.Random(1)
+    rows = [(i, "alpha beta " * r.randrange(5, 60), {0: "a", 1: "b", 2: "c", 3: None, 4: ""}[i % 5]) for i in range(6000)]
+    targets = {"a": 5, "b": 3, None: 1, "lacking": 4, "zero": 0}
+    p = pk.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), containers=2, parts=5, targets=targets)
+    assert p.count() == 6000
+    m = pk.mixture(p, {"a": 5, "b": 3}).toPandas()
+    assert set(m[m.source.isin(["a"])].target) == {0.625} and m[m.source.isna()].target.isna().all()
+    got = p.toPandas()
+    name = got.source.map(lambda s: "null" if s is None else s)
+    t = got.assign(s=name).pivot_table(index="window", columns="s", values="n_tokens", aggfunc="sum").fillna(0)
+    # By brute force: round after round, each queue gives its share while it lasts; then c and the empty source.
+    left, want = {"a": t["a"].sum(), "b": t["b"].sum(), "null": t["null"].sum()}, {"a": 5, "b": 3, "null": 1}
+    for w in range(len(t) - 1):
+        room = 2 * 2048.0
+        give = dict.fromkeys(left, 0.0)
+        while room > 1e-6 and any(x > 1e-6 for x in left.values()):
+            live = [s for s in left if left[s] > 1e-6]
+            step = min(min(left[s] / want[s] for s in live), room / sum(want[s] for s in live))
+            for s in live:
+                left[s] -= step * want[s]
+                give[s] += step * want[s]
+                room -= step * want[s]
+        assert all(abs(t[s][w] - give[s]) < 200 for s in give), w
+    assert (t[["c", ""]].sum(axis=1) > 0).idxmax() >= len(t) * 0.55
+
+
+def test_any_number_of_sources(spark):
+    rows = [(i, "alpha beta gamma " * 5, f"s{i}") for i in range(3000)]
+    p = pk.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), containers=2, parts=2)
+    assert p.select("doc_id").distinct().count() == 3000
+    q = pk.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), containers=2, parts=2, targets={f"s{i}": 1 for i in range(1000)}).toPandas()
+    assert len(q) == 3000 and q[q.source.isin([f"s{i}" for i in range(1000)])].window.max() <= q[q.source == "s2000"].window.max()
+
+
 def test_a_long_text_counts_as_whole():
     e = pk.load_tokenizer(pk.TOKENIZER)
     t = "The index keeps rows, and the crawl reads 12 pages. " * 6000
