@@ -2655,6 +2655,13 @@ def one_scalar(code: str) -> bool:
     return all(isinstance(e, (yaml.StreamStartEvent, yaml.DocumentStartEvent, yaml.DocumentEndEvent, yaml.StreamEndEvent)) or isinstance(e, yaml.ScalarEvent) and not e.style for e in events)
 
 
+#: What a file begins with, comments aside.
+_BEGIN = re.compile(rf"(?:\s|{_C_COMMENT})*+(@|[^\W\d]\w*|.)?", re.S)
+_JAVA_BEGIN = frozenset("package import class interface enum record public private protected static abstract final strictfp sealed non open module @ ;".split()) | {None}
+_GO_BEGIN = re.compile(rf"(?:\s|{_C_COMMENT})*+package\b(?:[ \t]|/\*(?:[^*]|\*(?!/))*\*/)*[^\W\d]\w*[ \t\r]*(?:[;\n]|/[/*]|\Z)")
+_SQL_BEGIN = re.compile(r"(?:\s|;|--[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*+([^\W\d]\w*|.)?", re.S)
+
+
 def script_tokens(code: str, typed: bool, memory: dict) -> Tokens:
     """The tokens of a script. Its two languages differ in their words only, so a text is read once for both."""
     known = memory.get("script")
@@ -2681,6 +2688,8 @@ def _script(typed: bool):
     name = "typescript" if typed else "javascript"
 
     def check(code: str, memory: dict) -> None:
+        if _BEGIN.match(code)[1] == "package":
+            raise Bad("package is a reserved word")
         t = script_tokens(code, typed, memory)
         Script(t, memory.setdefault(name, {}), typed).program()
         for part in t.inner:
@@ -2689,13 +2698,8 @@ def _script(typed: bool):
     return check
 
 
-#: What a file begins with, comments aside.
-_BEGIN = re.compile(rf"(?:\s|{_C_COMMENT})*+(@|[^\W\d]\w*|.)?", re.S)
-_JAVA_BEGIN = frozenset("package import class interface enum record public private protected static abstract final strictfp sealed non open module @ ;".split()) | {None}
-
-
 def _go(code: str, memory: dict) -> None:
-    if _BEGIN.match(code)[1] != "package":
+    if not _GO_BEGIN.match(code):
         raise Bad("no package clause")
     Go(Tokens(code, "go"), memory.setdefault("go", {})).program()
 
@@ -2707,6 +2711,9 @@ def _java(code: str, memory: dict) -> None:
 
 
 def _sql(code: str, memory: dict) -> None:
+    first = _SQL_BEGIN.match(code)[1]
+    if first is not None and first != "(" and first.lower() not in _SQL_STARTS:
+        raise Bad(f"{first} begins no statement")
     t, words = Tokens(code, "sql"), []
     lex = _LEX["sql"]
     for m in lex.finditer(code):
