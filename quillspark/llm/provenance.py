@@ -2,10 +2,10 @@
 
 Vendored copies are found by content. Every distinct line of a file is hashed; files with the same lines (headers
 and comments aside) are one class. A class that stands in several projects is a shared one, whatever its paths
-say. An inverted index of rare lines then finds edited copies: classes that share rare lines with a shared class,
-or with a class of another project, become candidates, and the exact containment of one's lines in the other
-decides. Where a copy has many lines, a prefix of its least frequent ones finds its like at any frequency. Rules on the composition of a file's tokens (counters in names, literals, white space, notices) judge
-the remaining files. Branches of one project are one project.
+say. An inverted index of each class's rarest lines then finds edited copies: classes of different projects that meet
+there become candidates, at any frequency of the lines, and the exact containment of one's lines in the other decides.
+Rules on the composition of a file's tokens (counters in names, literals, white space, notices) judge the files that
+the index leaves. Branches of one project are one project.
 """
 
 from __future__ import annotations
@@ -60,8 +60,17 @@ def counted(code: str) -> bool:
     return False
 
 
+#: A text block that is a value.
+TEXT_BLOCK = re.compile(r"[=(,\[:]\s*[A-Za-z]?(\"\"\"|\'\'\'|`)([\s\S]*?)\1")
+#: What is encoded has no blanks for longer than words and names do.
+ENCODED = re.compile(r"\S{40,}")
+
+
 def blob(code: str) -> bool:
     """Few names about much literal data."""
+    solid = len(re.sub(r"\s+", "", code))
+    if solid >= 200 and sum(len(x) for m in TEXT_BLOCK.finditer(code) for x in ENCODED.findall(m[2])) > 0.6 * solid:
+        return True
     bare = re.sub(r"\"\"\"[\s\S]*?\"\"\"|/\*[\s\S]*?\*/|(?m:^\s*(?://|#|--).*$)", "", code)
     solid = len(re.sub(r"\s+", "", bare))
     if solid < 200:
@@ -130,15 +139,25 @@ def composition(code: str, extension: str) -> str | None:
     return None
 
 
+#: The lowest bits of a line's hash hold its length, up to this.
+LENGTH = 255
+
+
 def line_hashes(code: str) -> np.ndarray:
     """Hashes of the distinct lines that say something; comments aside, so that other headers make no difference."""
     lines = {" ".join(x.split()) for x in code.split("\n") if not LINE_COMMENT.match(x)}
-    return np.sort(np.array([xxhash.xxh64_intdigest(x) for x in lines if len(x) >= 8], np.uint64).view(np.int64))
+    return np.sort(np.array([xxhash.xxh64_intdigest(x) & ~LENGTH | min(len(x), LENGTH) for x in lines if len(x) >= 8], np.uint64).view(np.int64))
+
+
+def characters(lines: str):
+    """The length of all lines of an array of their hashes."""
+    return F.expr(f"aggregate({lines}, 0L, (n, x) -> n + (x & {LENGTH}))")
 
 
-def alike(classes: DataFrame, least: int, contained: float, few: int, usual: int = 32, hold: int = 1_000) -> DataFrame:
+def alike(classes: DataFrame, least: int, contained: float, proof: int, proof_chars: int, few: int, usual: int = 32, hold: int = 1_000) -> DataFrame:
     """(node): classes that have ``contained`` of the smaller one's lines, ``least`` or more, in common with a class of another project.
 
+    The common lines prove a copy if they are ``proof`` or have ``proof_chars`` characters; fewer may be idioms.
     classes: node, p1 (the project), shared (it stands in several), lines. A shared class may pair with any that is not.
     Exact: if the smaller class has t lines in the larger one, one of its n - t + 1 least frequent lines is among them
     (a prefix), so only these are joined with the lines of the others. Lines that no two projects hold come first
@@ -146,6 +165,7 @@ def alike(classes: DataFrame, least: int, contained: float, few: int, usual: int
     each class is first compared with a few holders, so of a large group of copies nearly all are settled without its
     pairs; the exact join then takes the others. Of a line that more than ``hold`` classes hold, they are salted.
     """
+    classes = classes.filter((F.size("lines") >= proof) | (F.size("lines") >= least) & (characters("lines") >= proof_chars))
 
     def small(df: DataFrame) -> DataFrame:
         """For a join against many rows: sent to all executors if it is small, as counted."""
@@ -167,8 +187,9 @@ def alike(classes: DataFrame, least: int, contained: float, few: int, usual: int
     def verified(pairs: DataFrame) -> DataFrame:
         la = classes.select(F.col("node").alias("node_a"), F.col("lines").alias("la"))
         lb = classes.select(F.col("node").alias("node_b"), F.col("lines").alias("lb"))
-        same = F.size(F.array_intersect("la", "lb"))
-        good = pairs.select("node_a", "node_b").distinct().join(la, "node_a").join(lb, "node_b").filter(same >= contained * F.least(F.size("la"), F.size("lb"))).filter(same >= least)
+        good = pairs.select("node_a", "node_b").distinct().join(la, "node_a").join(lb, "node_b").withColumn("same", F.array_intersect("la", "lb"))
+        same = F.size("same")
+        good = good.filter((same >= contained * F.least(F.size("la"), F.size("lb"))) & (same >= least) & ((same >= proof) | (characters("same") >= proof_chars)))
         return good.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
 
     # A few holders of each frequent line, of two projects where there are two.
@@ -192,15 +213,14 @@ def alike(classes: DataFrame, least: int, contained: float, few: int, usual: int
     return settled.unionByName(verified(pairs)).distinct()
 
 
-def not_handwritten(files: DataFrame, least: int = 6, contained: float = 0.7, rare: int = 6, share: float = 0.01, proof: int = 12, few: int = 200_000) -> DataFrame:
-    """FILE and kind (generated, minified, vendored, data) of each file that is not hand-written.
+def not_handwritten(files: DataFrame, least: int = 6, contained: float = 0.7, proof: int = 12, proof_chars: int = 400, few: int = 200_000) -> DataFrame:
+    """FILE and kind (vendored, generated, minified, data) of each file that is not hand-written; one row per file.
 
     files: FILE, extension, content. ``least`` is the number of lines below which a copy proves nothing; ``contained``
-    the share of a file's lines that another project's file must hold; ``rare`` the number of classes that may hold
-    a line by which unshared classes are paired; ``share`` the part of all classes beyond which a line of a
-    shared class counts as common; ``proof`` the number of common lines that prove a copy however many classes hold
-    them (fewer may be idioms, and prove one by their rarity only). Empty and nearly empty files are hand-written. No file is left out for skew:
-    copies collapse into classes, and no list of a line's files is ever collected beyond ``rare``.
+    the share of a file's lines that another project's file must hold; ``proof`` and ``proof_chars`` the number of
+    common lines or of their characters that prove a copy, however many classes hold them (fewer may be idioms).
+    Empty and nearly empty files are hand-written. No file is left out for skew: copies collapse into classes, and
+    no list of a line's files is ever collected.
     """
     project = F.split_part("git_project_identifier", F.lit("#"), F.lit(1))
 
@@ -209,7 +229,7 @@ def not_handwritten(files: DataFrame, least: int = 6, contained: float = 0.7, ra
             rows = []
             for code, ext in zip(p["content"], p["extension"], strict=True):
                 kind = composition(code or "", ext)
-                lines = line_hashes(code or "") if kind is None else np.empty(0, np.int64)
+                lines = line_hashes(code or "")
                 if len(lines) < least:
                     lines = lines[:0]
                 node = int(np.uint64(xxhash.xxh64_intdigest(lines.tobytes())).view(np.int64)) if len(lines) else None
@@ -225,40 +245,6 @@ def not_handwritten(files: DataFrame, least: int = 6, contained: float = 0.7, ra
     left = feats.filter("node is not null")
     classes = left.groupBy("node").agg(F.min("project").alias("p1"), F.max("project").alias("p2"), F.any_value("lines").alias("lines"))
     classes = materialise(classes.withColumn("shared", F.col("p1") != F.col("p2")), "classes")
-    n_classes = classes.count()
-
-    def small(df: DataFrame) -> DataFrame:
-        """For a join against many rows: sent to all executors if it is small, as counted."""
-        df = materialise(df, "index")
-        return F.broadcast(df) if df.count() <= few else df
-
-    lines = classes.select("node", "p1", "shared", F.size("lines").alias("n"), F.explode("lines").alias("line"))
-    index = lines.filter("shared").select("line", F.col("node").alias("of"), F.col("n").alias("of_n"))
-    open_lines = lines.filter("not shared").select("line", "node", "n", "p1")
-
-    # Edited copies of shared classes: over the lines that are not common to all code.
-    index = materialise(index, "index")
-    held = small(index.select("line").distinct())
-    df = open_lines.join(held, "line", "left_semi").groupBy("line").agg(F.count("*").alias("df"))
-    scarce = index.join(df, "line", "left").filter(F.coalesce("df", F.lit(0)) <= max(20, int(share * n_classes))).select("line", "of", "of_n")
-    scarce = small(scarce)
-    matched = open_lines.join(scarce, "line").groupBy("node", "of").agg(F.count("*").alias("hits"), F.any_value("n").alias("n"), F.any_value("of_n").alias("of_n"))
-    maybe = matched.filter(F.col("hits") >= F.greatest(F.lit(4), F.least("n", "of_n") * 0.3)).select(F.col("node").alias("a"), F.col("of").alias("b"))
-
-    # Edited copies of each other: over lines that very few classes hold.
-    held_by = open_lines.groupBy("line").agg(F.count("*").alias("df"), F.min("p1").alias("q1"), F.max("p1").alias("q2")).filter(F.col("df").between(2, rare) & (F.col("q1") != F.col("q2"))).select("line")
-    some = materialise(open_lines.join(held_by, "line", "left_semi"), "rare")
-    x, y = some.select("line", F.col("node").alias("a"), F.col("p1").alias("pa"), F.col("n").alias("na")), some.select("line", F.col("node").alias("b"), F.col("p1").alias("pb"), F.col("n").alias("nb"))
-    pairs = x.join(y, "line").filter("a <> b and pa <> pb").groupBy("a", "b").agg(F.count("*").alias("hits"), F.any_value("na").alias("na"), F.any_value("nb").alias("nb"))
-    maybe = maybe.unionByName(pairs.filter(F.col("hits") >= F.greatest(F.lit(4), F.least("na", "nb") * 0.3)).select("a", "b")).distinct()
-
-    la = classes.select(F.col("node").alias("a"), F.col("lines").alias("la"))
-    lb = classes.select(F.col("node").alias("b"), F.col("lines").alias("lb"))
-    same = F.size(F.array_intersect("la", "lb"))
-    edited = maybe.join(la, "a").join(lb, "b").filter(same >= contained * F.least(F.size("la"), F.size("lb"))).filter(same >= least).select(F.col("a").alias("node"))
-
-    # Edited copies, of shared classes or each other, that any number of classes hold.
-    edited = edited.unionByName(alike(classes, proof, contained, few))
-    vendored = classes.filter("shared").select("node").unionByName(edited).distinct()
-    copies = left.join(vendored, "node", "left_semi").select(*FILE, F.lit("vendored").alias("kind"))
-    return feats.filter("kind is not null").select(*FILE, "kind").unionByName(copies)
+    vendored = classes.filter("shared").select("node").unionByName(alike(classes, least, contained, proof, proof_chars, few)).distinct().withColumn("copied", F.lit(True))
+    kind = F.when(F.col("copied"), "vendored").otherwise(F.col("kind"))
+    return feats.join(vendored, "node", "left").select(*FILE, kind.alias("kind")).filter("kind is not null")

@@ -144,6 +144,22 @@ def test_copies_that_many_projects_edited(spark):
     assert vendored(spark, files) == {p for _, p, _ in files} - {"/c/part.js", "/d/own.js"}
 
 
+@pytest.mark.parametrize("n", [3, 7, 50, 500])
+def test_differently_edited_copies_in_any_number(spark, n):
+    lib, short = library(40, 40), "\n".join(f"export const short_library_value_{i * i} = compute_the_value_of({i * 31}, 'of a long line that is no idiom {i}');" for i in range(9)) + "\n"
+    files = [(f"m{k}#main", f"/m{k}/lib.js", changed(lib, k)) for k in range(n)]
+    files += [(f"m{k}#main", f"/m{k}/short.js", short.replace(f"value_{(k % 9) ** 2} ", f"renamed_{k} ")) for k in range(min(n, 50))]
+    idioms = ["import json", "from pathlib import Path", "    seen = {}", "    return seen", "    total = 0", "    return total", "    for x in rows:"]
+    own = [(f"o{k}#main", f"/o{k}/own.py", "\n".join([*idioms, f"def own_{k}(rows):", f"    own_total_{k} = {k}"])) for k in range(20)]
+    assert vendored(spark, files + own) == {p for _, p, _ in files}
+
+
+def test_encoded_text_is_data():
+    block = "\n".join("xJ`Ea`v4SE2?xwD<4QK^l9qSIZ#?tpPKiIZD(lp$f`#<LFbshM95q<|jZMu_cSAuYo" for _ in range(9))
+    assert provenance.composition(f'PAYLOAD = """\n{block}\n"""\n', "py") == "data"
+    assert provenance.composition('"""' + "A docstring of many plain words about the code. " * 9 + '"""\nHELP = """\n' + "usage: tool [options] file, and more words\n" * 9 + '"""\n', "py") is None
+
+
 def test_copies_of_a_shared_file_that_many_projects_edited(spark):
     lib = library(21)
     files = [("p#main", "/p/lib.js", lib), ("q#main", "/q/lib.js", lib)] + [("p#main", f"/p/edited{k}.js", changed(lib, k)) for k in range(30)]
