@@ -16,9 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import WORD, bounded_sample, broadcast
 
 BUCKETS = 1 << 14
@@ -113,7 +115,6 @@ class Classifier:
         self.names = [SOUND, *CHAINS]
         counts = np.zeros((len(self.names), BUCKETS), np.float32)
         words = Counter(w for t in sound for w in TOKEN.findall(t) if OTHER.search(w))
-        self.known = {k for w in words for k in WORD.findall(w.lower()) if OTHER.search(k) and len(k) > 2}
         for w, n in words.items():
             for c, name in enumerate(self.names):
                 g = w if c == 0 else garble(w, name)
@@ -127,13 +128,38 @@ class Classifier:
         return self.log[:, bigrams(text)].sum(axis=1)
 
 
+def foreign_words(text: str) -> list[str]:
+    """The words, in lower case, that have letters outside ASCII."""
+    return [k for k in WORD.findall(text.lower()) if len(k) > 2 and not k.isascii()]
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
+class Lexicon:
+    """In how many rows each word with letters outside ASCII stands."""
+
+    def __init__(self, words: np.ndarray, rows: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.rows = words[order], rows[order]
+
+    def count(self, word: str) -> int:
+        h = word_hash(word)
+        at = int(np.searchsorted(self.words, h))
+        return int(self.rows[at]) if at < len(self.words) and self.words[at] == h else 0
+
+
 class Repairer:
-    """Judges rows; remembers the scores of words, of which most repeat."""
+    """Judges rows; remembers the scores of words, of which most repeat.
+
+    Without a lexicon a row that only its restored words can prove is left open: these words are what it waits for.
+    """
 
     LIMIT = 200_000
 
-    def __init__(self, model: Classifier, margin: float = 4.0, least: float = 14.0):
-        self.model, self.margin, self.least = model, margin, least
+    def __init__(self, model: Classifier, margin: float = 4.0, least: float = 14.0, lexicon: Lexicon | None = None):
+        self.model, self.margin, self.least, self.lexicon = model, margin, least, lexicon
         self.seen: dict[str, np.ndarray | None] = {}
 
     def suspicion(self, word: str) -> np.ndarray | None:
@@ -161,9 +187,9 @@ class Repairer:
             return SOUND, odd
         names = self.model.names[1:]
         order = np.argsort(-total)
-        # Of the likeliest chains the first that can be inverted on most of the words.
-        for c in order[:6].tolist():
-            if sum(self.restores(w, names[c]) is not None for w in odd) * 2 > len(odd):
+        # Of the chains that explain the words, likeliest first, the first that can be inverted on most of them.
+        for c in order.tolist():
+            if total[c] > self.margin and sum(self.restores(w, names[c]) is not None for w in odd) * 2 > len(odd):
                 return names[c], odd
         return names[int(order[0])], odd
 
@@ -171,9 +197,11 @@ class Repairer:
         """A chain through UTF-8 has an inverse here, which hardly any sound sequence has."""
         return any(self.restores(word, c) is not None for c in CHAINS if c.startswith("utf-8"))
 
-    def telling(self, word: str, back: str) -> bool:
-        """Of a chain between single-byte encodings, which inverts on anything: the result is a word of sound text, or the word mixed scripts."""
-        return any(k in self.model.known for k in WORD.findall(back.lower())) or bool(MIXED.search(word))
+    @staticmethod
+    def evidence(word: str, back: str) -> list[tuple[str, str]]:
+        """(restored, as it stood): a chain between single-byte encodings inverts on anything, so a word that it restores counts if it stands in no fewer rows than what it is restored from."""
+        was = foreign_words(word)
+        return [(k, was[0] if was else "") for k in foreign_words(back)]
 
     def restores(self, word: str, chain: str) -> str | None:
         back = invert(word, chain)
@@ -186,32 +214,64 @@ class Repairer:
 
     def judge(self, text: str | None) -> tuple[bool, str, bool, str | None]:
         """(affected, chain, fully restored, text after repair)."""
+        *out, waits = self.judged(text)
+        if waits is not None and not any(0 < self.lexicon.count(k) >= (self.lexicon.count(w) if w else 0) for k, w in waits):
+            return self.unproven(text)
+        return tuple(out)
+
+    @staticmethod
+    def unproven(text: str) -> tuple[bool, str, bool, str]:
+        lost = "�" in QUOTED.sub(" ", text)
+        return lost, "lossy" if lost else SOUND, False, text
+
+    def judged(self, text: str | None) -> tuple[bool, str, bool, str | None, list[tuple[str, str]] | None]:
+        """As ``judge``, and the words (restored, as they stood) of which one must be known for it to hold; None if none need be."""
         if not text or text.isascii():
-            return False, SOUND, False, text
+            return False, SOUND, False, text, None
         lost = "�" in QUOTED.sub(" ", text)
         chain, odd = self.chain_of(text)
         if chain == SOUND:
-            return lost, "lossy" if lost else SOUND, False, text
+            return *self.unproven(text), None
         fixed = {}
         for w in set(odd):
             back = self.restores(w, chain)
             if back is None:  # some parts of a row may have taken another way
                 gain = self.suspicion(w)
-                back = next((b for c in np.argsort(-gain)[:6].tolist() if gain[c] > self.margin and (b := self.restores(w, self.model.names[1 + c])) is not None), None)
+                back = next((b for c in np.argsort(-gain).tolist() if gain[c] > self.margin and (b := self.restores(w, self.model.names[1 + c])) is not None), None)
             if back is not None:
                 fixed[w] = back
-        if fixed and not any(self.multibyte(w) for w in fixed) and not any(self.telling(w, b) for w, b in fixed.items()):
-            return lost, "lossy" if lost else SOUND, False, text
+        waits = None
+        if fixed and not any(self.multibyte(w) for w in fixed) and not any(MIXED.search(w) for w in fixed):
+            waits = list(dict.fromkeys(x for w, b in fixed.items() for x in self.evidence(w, b)))
+            if not waits:
+                return *self.unproven(text), None
         if not fixed:
             sure = any(float(self.suspicion(w).max()) > 4 * self.margin and self.multibyte(w) for w in odd)
-            return lost or sure, chain if sure else "lossy" if lost else SOUND, False, text
+            return lost or sure, chain if sure else "lossy" if lost else SOUND, False, text, None
         if len(fixed) == len(set(odd)) and not QUOTED.search(text):
             # All suspicious words took one chain: so did the words that look sound by chance, if all of them can be inverted.
             rest = {w: invert(w, chain) for w in set(TOKEN.findall(text)) if OTHER.search(w) and w not in fixed}
             if rest and all(rest.values()) and all(fixed[w] == invert(w, chain) for w in fixed):
                 fixed |= rest
         out = TOKEN.sub(lambda m: fixed.get(m[0], m[0]), text)
-        return True, chain, not lost and set(odd) <= set(fixed), out
+        return True, chain, not lost and set(odd) <= set(fixed), out, waits
+
+
+def lexicon(docs: DataFrame, text: str) -> DataFrame:
+    """(word, rows): in how many rows each word with letters outside ASCII stands, over all rows; words by their hashes."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c: Counter = Counter()
+        for p in batches:
+            for t in p["_t"]:
+                c.update(set(foreign_words(t)))
+            if len(c) > 300_000:
+                yield pd.DataFrame({"word": [word_hash(w) for w in c], "rows": list(c.values())})
+                c = Counter()
+        yield pd.DataFrame({"word": [word_hash(w) for w in c], "rows": list(c.values())})
+
+    some = docs.select(F.col(text).alias("_t")).filter(F.col("_t").rlike(r"[^\x00-\x7f]"))
+    return some.mapInPandas(count, "word long, rows long").groupBy("word").agg(F.sum("rows").alias("rows"))
 
 
 def sound_sample(docs: DataFrame, text: str, key: str, rows: int) -> list[str]:
@@ -232,22 +292,54 @@ def sound_sample(docs: DataFrame, text: str, key: str, rows: int) -> list[str]:
     return [t for t in kept if all(ch <= "\x7f" or ch in usual for ch in t)]
 
 
-def repaired(docs: DataFrame, key: str = "id", text: str = "content", sample: int = 4_000, margin: float = 4.0) -> DataFrame:
+def repaired(docs: DataFrame, key: str = "id", text: str = "content", sample: int = 4_000, margin: float = 4.0, words: int = 4_000_000) -> DataFrame:
     """(key, affected, chain, restored, text) for every row.
 
     ``restored`` tells that every affected word could be inverted; ``text`` is the row's text with the words that
     could. Null, empty and pure ASCII texts are unaffected. ``sample`` bounds the rows that train the classifier;
-    every row is judged. Repeated keys give repeated rows.
+    every row is judged, and the lexicon is of all rows. Up to ``words`` words (16 bytes each) it is sent to the
+    executors; a larger one is joined with the words that open rows wait for. Repeated keys give repeated rows.
     """
     kind = docs.schema[key].dataType.simpleString()
-    d = docs.select(F.col(key).alias(key), F.col(text).alias("_t"))
-    load = broadcast(docs.sparkSession, Classifier(sound_sample(docs, text, key, sample)))
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark, d = docs.sparkSession, docs.select(F.col(key).alias(key), F.col(text).alias("_t"))
+    load = broadcast(spark, Classifier(sound_sample(docs, text, key, sample)))
+    known = materialise(lexicon(docs, text), "lexicon")
+    columns = ["affected", "chain", "restored", "text"]
+    out = f"{key} {kind}, affected boolean, chain string, restored boolean, text string"
+
+    if known.count() <= words:
+        rows = known.toPandas()
+        load_words = broadcast(spark, Lexicon(rows["word"].to_numpy(np.int64), rows["rows"].to_numpy(np.int64)))
+
+        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            r = Repairer(load(), margin, lexicon=load_words())
+            for p in batches:
+                made = pd.DataFrame([r.judge(t) for t in p["_t"]], columns=columns)
+                made.insert(0, key, p[key].to_numpy())
+                yield made
+
+        return d.mapInPandas(judge, out)
+
+    def judge_open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = Repairer(load(), margin)
         for p in batches:
-            out = pd.DataFrame([r.judge(t) for t in p["_t"]], columns=["affected", "chain", "restored", "text"])
-            out.insert(0, key, p[key].to_numpy())
-            yield out
-
-    return d.mapInPandas(judge, f"{key} {kind}, affected boolean, chain string, restored boolean, text string")
+            rows = []
+            for t in p["_t"]:
+                *made, waits = r.judged(t)
+                hashed = None if waits is None else [(word_hash(k), word_hash(w) if w else None) for k, w in waits]
+                rows.append((*made, hashed, *((None, None) if waits is None else (t, r.unproven(t)[0]))))
+            made = pd.DataFrame(rows, columns=[*columns, "waits", "was", "lost"])
+            made.insert(0, key, p[key].to_numpy())
+            yield made
+
+    made = materialise(d.mapInPandas(judge_open, out + ", waits array<struct<k:long,w:long>>, was string, lost boolean"), "judged")
+    waiting = made.filter("waits is not null").withColumn("_row", F.xxhash64(key, "was"))
+    asked = waiting.select("_row", F.explode("waits").alias("x")).select("_row", "x.k", "x.w").distinct()
+    asked = asked.join(known.select(F.col("word").alias("k"), F.col("rows").alias("nk")), "k").join(known.select(F.col("word").alias("w"), F.col("rows").alias("nw")), "w", "left")
+    proven = asked.filter(F.col("nk") >= F.coalesce("nw", F.lit(0))).select("_row").distinct().withColumn("_proven", F.lit(True))
+    lost = F.col("lost")
+    settled = waiting.join(proven, "_row", "left").select(
+        key, (F.coalesce("_proven", F.lit(False)) | lost).alias("affected"), F.when(F.col("_proven"), F.col("chain")).when(lost, "lossy").otherwise(SOUND).alias("chain"),
+        (F.coalesce("_proven", F.lit(False)) & F.col("restored")).alias("restored"), F.when(F.col("_proven"), F.col("text")).otherwise(F.col("was")).alias("text"),
+    )
+    return made.filter("waits is null").select(key, *columns).unionByName(settled)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quillspark.llm import encoding as en
@@ -19,7 +20,8 @@ def sample(n=240, seed=0):
 
 @pytest.fixture(scope="module")
 def repairer():
-    return en.Repairer(en.Classifier(sample()))
+    words = {w for t in SOUND for w in en.foreign_words(t)}
+    return en.Repairer(en.Classifier(sample()), lexicon=en.Lexicon(np.array([en.word_hash(w) for w in words]), np.ones(len(words), np.int64)))
 
 
 @pytest.mark.parametrize("chain", ["utf-8>cp1252", "utf-8>latin-1", "utf-8>mac_roman", "utf-8>cp437", "utf-8>cp850", "utf-8>cp1251", "utf-8>cp1252 twice", "cp1252>cp850", "cp1252>cp1251"])
@@ -47,3 +49,14 @@ def test_rows(spark):
     assert {r["id"] for r in out if r["affected"]} == {"g1", "g2"} and len(out) == len(rows)
     assert next(r for r in out if r["id"] == "g1")["text"] == SOUND[0]
     assert en.repaired(df.limit(0)).count() == 0
+
+
+def test_rare_words_are_known_by_other_rows_alone(spark):
+    """A row garbled between single-byte encodings whose only words outside ASCII stand in one other row."""
+    rows = [(f"s{i}", t) for i, t in enumerate(sample(300))]
+    name = "Der Name ist Jörgküß, und Bävölü kennt Zöblän."
+    rows += [("name", name), ("bad", en.garble(name, "cp1252>cp850")), ("own", "Die Åkjæröy und Ñuñöa Çağlä sind Orte.")]
+    df = spark.createDataFrame(rows, "id string, content string")
+    for limit in (4_000_000, 0):  # sent to the executors, or joined
+        out = {r["id"]: r for r in en.repaired(df, sample=300, words=limit).collect()}
+        assert [i for i, r in out.items() if r["affected"]] == ["bad"] and out["bad"]["text"] == name and len(out) == len(rows)
