@@ -27,6 +27,8 @@ from .common import ROLL, WordHash, broadcast, grams, hashed_words, latest, perm
 SKETCH_BITS = 512
 #: Band rows of one task, about.
 BAND_ROWS = 1_000_000
+#: Sketches of one block of a large bucket.
+BLOCK = 8_192
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -82,7 +84,7 @@ class Pairs:
         self.pairs, self.members = pairs, members
 
 
-def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold: float = 0.8, least: int = 0, rows: int = 4, bands: int = 40, hot: int = 1000, margin: float = 0.2, verify_broadcast: int = 1_000_000, seed: int = 3) -> Pairs:
+def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold: float = 0.8, least: int = 0, rows: int = 4, bands: int = 40, hot: int = 1000, block: int = BLOCK, margin: float = 0.2, verify_broadcast: int = 1_000_000, seed: int = 3) -> Pairs:
     """pairs(a, b): nodes of similarity >= threshold; members(node, key). One row per key is expected.
 
     A text is left out if it has fewer than ``least`` words, or fewer than ``n``; so are null and empty texts.
@@ -139,10 +141,10 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
                     held.append(v)
                     count += 1
                     if count == hot + 1:
-                        out += [(x, 0 if i < hot else 1, k) for i, x in enumerate(held)]
+                        out += [(x, i // block, k) for i, x in enumerate(held)]
                         held = held[-1:]
                     elif count > hot:
-                        out.append((v, (count - 1) // hot, k))
+                        out.append((v, (count - 1) // block, k))
                         held = [v]
             yield pd.DataFrame(out, columns=["a", "b", "band"]).astype({"band": "Int64"})
         last = rows_of()
@@ -199,10 +201,10 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
-                out.append((node, np.sort((s >> np.uint64(32)).astype(np.uint32).view(np.int32))))
+                out.append((node, s.view(np.int64)))
             yield pd.DataFrame(out, columns=["node", "set"])
 
-    sets = d.mapInPandas(shingled, "node long, set array<int>")
+    sets = d.mapInPandas(shingled, "node long, set array<long>")
     if not few:
         sets = sets.join(nodes, "node", "left_semi")
     sets = sets.dropDuplicates(["node"])
@@ -213,12 +215,12 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
 
 
 def similar_pairs(found: Pairs, key: str) -> DataFrame:
-    """(<key>_a, <key>_b), a < b: every two rows above the threshold, copies included."""
+    """(<key>_a, <key>_b), a < b: every two rows above the threshold, copies included; distinct, as keys are."""
     m = found.members
     x, y = m.select(F.col("node").alias("a"), F.col(key).alias("ka")), m.select(F.col("node").alias("b"), F.col(key).alias("kb"))
     across = found.pairs.join(x, "a").join(y, "b").select("ka", "kb")
     within = x.join(y, (F.col("a") == F.col("b")) & (F.col("ka") < F.col("kb"))).select("ka", "kb")
-    return across.unionByName(within).select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).distinct()
+    return across.unionByName(within).select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 Shifted space-filling curves. Each curve turns the unit vectors by a rotation of its own, keeps ``dims``
 coordinates, shifts them and puts them in the order of their Hilbert index. Spark range-partitions the rows by
 (curve, index); each partition is read in blocks, and every block is compared with itself and the next, so that
-a vector meets the 1 to 2 blocks on either side of it. The lists of all curves are merged per vector. A last
+a vector meets the 1 to 2 blocks on either side of it. Blocks are multiplied in single precision, and what comes near
+the k-th place is computed again in double precision. The lists of all curves are merged per vector. A last
 round orders the vectors by the least hash in their own neighbour lists, so that members of one neighbourhood
 whom the curves kept apart meet, and merges again.
 
@@ -19,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..session import materialise
 
@@ -67,6 +69,34 @@ class Curves:
         return hilbert(np.clip(y, 0, (1 << self.bits) - 1), self.bits)
 
 
+#: So many places beyond the k-th are computed again in double precision.
+SPARE = 6
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; the largest number first, for very small or large ones."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def nearest_of(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line of ``sims`` (the products of own and other, in single precision) the k best rows of other, in double precision."""
+    (x, rows), (y, others) = own, other
+    sims[rows[:, None] == others] = -np.inf
+    near, at = best(sims, np.arange(len(others)), k + SPARE)
+    s = np.where(np.isfinite(near), np.einsum("id,ijd->ij", x, y[at]), -np.inf)
+    if s.shape[1] == k + SPARE:
+        order = np.sort(near, axis=1)
+        with np.errstate(invalid="ignore"):
+            close = np.flatnonzero(order[:, SPARE] - order[:, 0] < 1e-6)  # single precision cannot tell what belongs here
+        if len(close):
+            whole = np.where(np.isfinite(sims[close]), x[close] @ y.T, -np.inf)
+            s[close], at[close] = best(whole, np.arange(len(others)), k + SPARE)
+    s, place = best(s, np.arange(s.shape[1]), k)
+    return s, others[np.take_along_axis(at, place, 1)]
+
+
 def best(sims: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest of each line of ``sims`` with their rows."""
     if sims.shape[1] > k:
@@ -92,17 +122,17 @@ def merged(owner: np.ndarray, rows: np.ndarray, sims: np.ndarray, k: int) -> tup
     return owner[keep], rows[keep], sims[keep]
 
 
-def windows(batches: Iterator[pd.DataFrame], k: int, block: int) -> Iterator[pd.DataFrame]:
+def windows(batches: Iterator[pd.DataFrame], k: int, block: int, number: type) -> Iterator[pd.DataFrame]:
     """Compares sorted rows (curve, row, vec, id) block by block; lists of (row, neighbours, similarities)."""
 
     def vectors(p: pd.DataFrame) -> np.ndarray:
-        return np.frombuffer(b"".join(p["vec"]), np.float32).reshape(len(p), -1)
+        return unit(np.frombuffer(b"".join(p["vec"]), number).reshape(len(p), -1))
 
     def ended(prev: dict) -> pd.DataFrame:
         s, r = np.concatenate(prev["s"], axis=1), np.concatenate(prev["r"], axis=1)
         s, at = best(s, np.arange(s.shape[1]), k)
         r = np.take_along_axis(r, at, 1)
-        out = {"row": prev["rows"], "near": [x.tobytes() for x in np.ascontiguousarray(r)], "sims": [x.astype(np.float32).tobytes() for x in s]}
+        out = {"row": prev["rows"], "near": [x.tobytes() for x in np.ascontiguousarray(r)], "sims": [x.tobytes() for x in np.ascontiguousarray(s)]}
         first = prev["curve"] == 0
         return pd.DataFrame(out | {"vec": prev["vec"] if first else None, "id": prev["id"] if first else None})
 
@@ -124,17 +154,15 @@ def windows(batches: Iterator[pd.DataFrame], k: int, block: int) -> Iterator[pd.
     prev = None
     for p in blocks():
         x, rows, curve = vectors(p), p["row"].to_numpy(), int(p["curve"].iloc[0])
-        own = x @ x.T
-        own[rows[:, None] == rows] = -np.inf
-        s, r = best(own, rows, k)
-        now = {"x": x, "rows": rows, "curve": curve, "s": [s], "r": [r], "vec": p["vec"].to_numpy(), "id": p["id"].to_numpy()}
+        low, me = x.astype(np.float32), (x, rows)
+        s, r = nearest_of(me, me, low @ low.T, k)
+        now = {"me": me, "low": low, "rows": rows, "curve": curve, "s": [s], "r": [r], "vec": p["vec"].to_numpy(), "id": p["id"].to_numpy()}
         if prev is not None:
             if prev["curve"] == curve:
-                cross = prev["x"] @ x.T
-                cross[prev["rows"][:, None] == rows] = -np.inf
-                s, r = best(cross, rows, k)
+                cross = prev["low"] @ low.T
+                s, r = nearest_of(prev["me"], me, cross, k)
                 prev["s"].append(s), prev["r"].append(r)
-                s, r = best(cross.T, prev["rows"], k)
+                s, r = nearest_of(me, prev["me"], cross.T, k)
                 now["s"].append(s), now["r"].append(r)
             yield ended(prev)
         prev = now
@@ -153,6 +181,7 @@ def nearest(df: DataFrame, key: str, vector: str, size: int = 64, k: int = 10, c
     spark = df.sparkSession
     ok = (F.size(vector) == size) & F.expr(f"exists({vector}, x -> x <> 0)") & F.expr(f"forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
     d = df.filter(F.col(vector).isNotNull() & ok).select(F.col(key).cast("string").alias("id"), F.xxhash64(key).alias("row"), F.col(vector).cast("array<double>").alias("v"))
+    number = np.float32 if isinstance(df.schema[vector].dataType.elementType, FloatType) else np.float64  # as the vectors come
     plan = Curves(curves, size, dims, bits, seed)
     # Partitions of about PART_ROWS rows, whatever the session's default: what one task reads does not grow.
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-d.count() * curves // PART_ROWS))
@@ -162,14 +191,13 @@ def nearest(df: DataFrame, key: str, vector: str, size: int = 64, k: int = 10, c
             if not len(p):
                 continue
             x = np.stack(p["v"].to_numpy())
-            x = x / np.abs(x).max(axis=1, keepdims=True)  # very small or large numbers
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            vec = [r.tobytes() for r in x]
+            vec = [r.tobytes() for r in x.astype(number)]
+            x = unit(x).astype(np.float32)
             for c in range(curves):
                 yield pd.DataFrame({"curve": c, "key": plan.keys(x, c), "row": p["row"], "vec": vec, "id": p["id"] if c == 0 else None})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return windows(batches, k, block)
+        return windows(batches, k, block, number)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -183,7 +211,7 @@ def nearest(df: DataFrame, key: str, vector: str, size: int = 64, k: int = 10, c
             yield merge_rows(rest)
 
     def merge_rows(p: pd.DataFrame) -> pd.DataFrame:
-        near, sims = np.frombuffer(b"".join(p["near"]), np.int64), np.frombuffer(b"".join(p["sims"]), np.float32)
+        near, sims = np.frombuffer(b"".join(p["near"]), np.int64), np.frombuffer(b"".join(p["sims"]), np.float64)
         owner = np.repeat(p["row"].to_numpy(), [len(x) // 8 for x in p["near"]])
         owner, near, sims = merged(owner, near, sims, k)
         first = p[p["id"].notna()].drop_duplicates("row")
@@ -206,7 +234,7 @@ def nearest(df: DataFrame, key: str, vector: str, size: int = 64, k: int = 10, c
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             n = [len(x) // 8 for x in p["near"]]
-            yield pd.DataFrame({"id": np.repeat(p["id"].to_numpy(), n), "near": np.frombuffer(b"".join(p["near"]), np.int64), "similarity": np.frombuffer(b"".join(p["sims"]), np.float32).astype(float)})
+            yield pd.DataFrame({"id": np.repeat(p["id"].to_numpy(), n), "near": np.frombuffer(b"".join(p["near"]), np.int64), "similarity": np.frombuffer(b"".join(p["sims"]), np.float64)})
 
     pairs = last.select("id", "near", "sims").mapInPandas(spread, "id string, near long, similarity double")
     names = first.select(F.col("row").alias("near"), F.col("id").alias("neighbour_id"))

@@ -47,7 +47,7 @@ def test_pairs_equal_brute_force(spark):
 def test_hot_buckets_lose_nothing(spark):
     """With buckets of three at most, everything goes through the compared blocks; the pairs are the same."""
     rows = corpus(3, 3, 9)
-    got = pairs(find(spark, rows, hot=3))
+    got = pairs(find(spark, rows, hot=3, block=4))
     assert got == pairs(find(spark, rows)) and set(exact(rows, 0.58)) <= set(got)
 
 

@@ -23,6 +23,20 @@ def test_recall_against_brute_force(spark):
     assert np.mean([len(out[i] & true[i]) / 10 for i in out]) > 0.9
 
 
+def test_similarities_are_double(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=64)
+    x = (base + 1e-4 * r.normal(size=(60, 64))).astype(np.float32).astype(float)  # so near that single precision cannot tell them apart
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(f"{i:02d}", v.tolist()) for i, v in enumerate(x)], f"id string, embedding array<{kind}>")
+        got: dict[int, set] = {}
+        for a, b, s in nb.nearest(df, "id", "embedding").collect():
+            got.setdefault(int(a), set()).add(int(b))
+            u, v = x[int(a)], x[int(b)]
+            assert abs(s - u @ v / np.linalg.norm(u) / np.linalg.norm(v)) < 1e-14
+        assert np.mean([len(got[i] & t) / 10 for i, t in enumerate(exact(x))]) > 0.95
+
+
 def test_unusable_vectors_and_ties(spark):
     one = [1.0] * 64
     rows = [("a", one), ("b", [2.0] * 64), ("c", [0.5] * 64), ("zero", [0.0] * 64), ("short", [1.0] * 3), ("none", None), ("nan", [float("nan")] + one[1:]), ("hole", [None] + one[1:])]
