@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..session import materialise
 
 
 def unchanged(found: DataFrame, indexed: DataFrame, path: str = "file_path", stamp: str = "quick_hash") -> DataFrame:
@@ -26,14 +27,15 @@ def classified(found: DataFrame, indexed: DataFrame, path: str = "file_path", co
     return f.join(i, path, "full_outer").select(path, s.alias("status"))
 
 
-def renames(found: DataFrame, indexed: DataFrame, path: str = "file_path", content: str = "file_hash") -> DataFrame:
+def renames(found: DataFrame, indexed: DataFrame, path: str = "file_path", content: str = "file_hash", present: DataFrame | None = None) -> DataFrame:
     """(old_path, new_path, content): new paths whose content is that of indexed paths now gone, paired in order of path.
 
     Equal contents pair by rank, so n new and m gone paths of one hash make min(n, m) renames. Null hashes pair never.
+    ``present`` has all paths that are there, if ``found`` has only some of them.
     """
     f, i = found.select(path, content).filter(F.col(content).isNotNull()).distinct(), indexed.select(path, content).filter(F.col(content).isNotNull()).distinct()
     new = f.join(indexed.select(path).distinct(), path, "left_anti")
-    gone = i.join(found.select(path).distinct(), path, "left_anti")
+    gone = i.join((found if present is None else present).select(path).distinct(), path, "left_anti")
     w = Window.partitionBy(content).orderBy(path)
     a = new.select(content, F.col(path).alias("new_path"), F.row_number().over(w).alias("_r"))
     b = gone.select(content, F.col(path).alias("old_path"), F.row_number().over(w).alias("_r"))
@@ -89,13 +91,23 @@ def reindex_needed(projects: DataFrame, indexed: DataFrame, identifier: str = "g
 def phases(pending: DataFrame, newest: Column, oldest: Column, at: str, key: str) -> DataFrame:
     """Pending rows with phase (arrived, covered, backlog) and the number of their run of one phase, in the given order.
 
-    A null time belongs to the run in progress. The order is over all rows, so one task sorts the narrow columns;
-    pass only the pending files of one sync.
+    A null time belongs to the run in progress. The rows are range-partitioned by the key; of each range only its first
+    and last phase and its number of changes are put in one order, and told to the ranges after it.
     """
     phase = F.when(F.col(at).isNull(), None).when(newest.isNull() | (F.col(at) > newest), "arrived").when(F.col(at) >= oldest, "covered").otherwise("backlog")
-    w = Window.orderBy(key)
-    df = pending.select(key, at, phase.alias("_p"))
-    first = F.first("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = df.withColumn("phase", F.coalesce(F.last("_p", ignorenulls=True).over(w), first, F.lit("arrived")))
-    df = df.withColumn("_new", (F.lag("phase").over(w) != F.col("phase")).cast("int"))
-    return df.select(key, at, "phase", F.sum(F.coalesce("_new", F.lit(0))).over(w).alias("segment"))
+    parts = int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = pending.select(key, at, phase.alias("_p")).repartitionByRange(parts, key)
+    df = materialise(df.withColumn("_part", F.spark_partition_id()), "phases")
+    w = Window.partitionBy("_part").orderBy(key)
+    seen = F.last("_p", ignorenulls=True).over(w)
+    df = df.withColumn("_own", seen).withColumn("_change", F.coalesce((F.lag("_own").over(w) != F.col("_own")).cast("long"), F.lit(0)))
+    ranges = df.groupBy("_part").agg(F.min_by("_own", F.when(F.col("_own").isNotNull(), F.col(key))).alias("_first"), F.max_by("_own", key).alias("_last"), F.sum("_change").alias("_n"))
+    line = Window.orderBy("_part")  # one row a range
+    ranges = ranges.withColumn("_in", F.last("_last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    ranges = ranges.withColumn("_turn", F.coalesce((F.col("_in") != F.col("_first")).cast("long"), F.lit(0)))
+    ranges = ranges.withColumn("_before", F.sum(F.col("_n") + F.col("_turn")).over(line) - F.col("_n") - F.col("_turn"))
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = ranges.withColumn("_start", F.coalesce("_in", F.first("_first", ignorenulls=True).over(whole), F.lit("arrived"))).select("_part", "_start", "_before", "_turn")
+    df = df.join(F.broadcast(ranges), "_part")
+    turned = F.when(F.col("_own").isNotNull(), F.col("_turn")).otherwise(0)
+    return df.select(key, at, F.coalesce("_own", "_start").alias("phase"), (F.col("_before") + turned + F.sum("_change").over(w)).alias("segment"))

@@ -38,9 +38,10 @@ def search_corpora(points: DataFrame, query: list[float], key: str, corpus: str,
         where = where & options["where"]
     vector = options.get("vector", "embedding")
     df = scored(points, query, options.get("metric", "cosine"), vector, options.get("threshold"), where).drop(vector)
-    w = Window.partitionBy(corpus).orderBy(F.col("score").desc(), key)
+    order = F.col("score").asc() if METRICS[options.get("metric", "cosine")][1] else F.col("score").desc()
+    w = Window.partitionBy(corpus).orderBy(order, key)
     df = df.withColumn("corpus_rank", F.row_number().over(w)).filter(F.col("corpus_rank") <= limit + offset)
-    df = df.orderBy(F.col("score").desc(), F.array_position(F.array(*map(F.lit, corpora)), F.col(corpus)), "corpus_rank", key)
+    df = df.orderBy(order, F.array_position(F.array(*map(F.lit, corpora)), F.col(corpus)), "corpus_rank", key)
     return (df.offset(offset) if offset else df).limit(limit)
 
 

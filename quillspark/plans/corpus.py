@@ -1,8 +1,8 @@
 """A corpus: its tables in a store, and what is done with it from day to day.
 
-``chunks`` has a row per chunk with its vector, ``manifests`` one per file, ``collections`` one per corpus. A sync
-works on whole tables at once: it writes the chunks' new version first and the manifests' last, so that a file counts
-as indexed only once its chunks are there.
+``chunks`` has a row per chunk with its vector, ``manifests`` one per file, both in buckets by the hash of the path;
+``collections`` has a row per corpus. A change reads and writes only the buckets of the files it touches. The chunks' new
+version is written first and the manifests' last, so that a file counts as indexed only once its chunks are there.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import embed, paths
 from ..operators import chunkers, dml, filters, fulltext, integrity, listings, sync, vector_search
+from ..session import materialise
 from ..sources.store import Store
 
 CHUNKS = "point_id string, collection string, file_path string, filename string, chunk_index int, chunk_count int, content string, file_hash string, embedding array<float>"
 MANIFESTS = "collection string, file_path string, quick_hash string, file_hash string, chunk_count long"
-COLLECTIONS = "name string, kind string, model string, size int, description string, created_at timestamp, last_sync timestamp"
+BUCKETS = 64  # of a new corpus; about one for each few hundred MB is right
+COLLECTIONS = "name string, kind string, model string, size int, buckets int, description string, created_at timestamp, last_sync timestamp"
 CHUNKERS: dict[str, Callable[[str], list[str]]] = {
     "pdf": lambda s: [c for *_, c in chunkers.sentence_windows(s)],
     "markdown": lambda s: [c for _, c in chunkers.markdown_chunks(s)],
@@ -35,16 +37,16 @@ class Corpus:
     def all(store: Store) -> DataFrame:
         return store.read("collections") if store.exists("collections") else store.spark.createDataFrame([], COLLECTIONS)
 
-    def create(self, kind: str, model: str = "hash", size: int = 64, description: str = "") -> None:
+    def create(self, kind: str, model: str = "hash", size: int = 64, description: str = "", buckets: int = BUCKETS) -> None:
         """Both tables, empty; an existing corpus is an error."""
         if kind not in CHUNKERS:
             raise ValueError(f"unknown kind {kind}; known are {', '.join(CHUNKERS)}")
         have = self.all(self.store)
         if have.filter(F.col("name") == self.name).take(1):
             raise FileExistsError(f"there is a corpus {self.name} already")
-        row = self.spark.range(1).select(F.lit(self.name).alias("name"), F.lit(kind).alias("kind"), F.lit(model).alias("model"), F.lit(size).alias("size"), F.lit(description).alias("description"), F.current_timestamp().alias("created_at"), F.lit(None).cast("timestamp").alias("last_sync"))
-        self.store.write(f"{self.name}.chunks", self.spark.createDataFrame([], CHUNKS))
-        self.store.write(f"{self.name}.manifests", self.spark.createDataFrame([], MANIFESTS))
+        row = self.spark.range(1).select(F.lit(self.name).alias("name"), F.lit(kind).alias("kind"), F.lit(model).alias("model"), F.lit(size).alias("size"), F.lit(buckets).alias("buckets"), F.lit(description).alias("description"), F.current_timestamp().alias("created_at"), F.lit(None).cast("timestamp").alias("last_sync"))
+        self.store.write_buckets(f"{self.name}.chunks", self.spark.createDataFrame([], CHUNKS), "file_path", buckets)
+        self.store.write_buckets(f"{self.name}.manifests", self.spark.createDataFrame([], MANIFESTS), "file_path", buckets)
         self.store.write("collections", have.unionByName(row).coalesce(1))
 
     def info(self) -> dict:
@@ -88,39 +90,66 @@ class Corpus:
             paths.filename(F.col("file_path")).alias("filename"), "chunk_index", "chunk_count", "content", "file_hash", "embedding",
         )
 
+    def _change(self, about: dict, touched: list[int], change) -> None:
+        """Rewrites the touched buckets: ``change`` gives their new chunks from the old, and (path, stamps) of their manifests from the old ones."""
+        n, c, m = about["buckets"], f"{self.name}.chunks", f"{self.name}.manifests"
+        chunks, stamps = change(self.store.read(c, touched), self.store.read(m, touched))
+        self.store.write_buckets(c, chunks, "file_path", n, touched)
+        made = self.store.read(c, touched).groupBy("file_path").agg(F.count("*").alias("chunk_count"))
+        rows = stamps.join(made, "file_path", "left").select(F.lit(self.name).alias("collection"), "file_path", "quick_hash", "file_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+        self.store.write_buckets(m, rows, "file_path", n, touched)
+
     def sync(self, found: DataFrame, folders: list[str] = (), force: bool = False) -> dict[str, int]:
         """Brings the corpus to the state of ``found`` (file_path, text, quick_hash); counts of what was done.
 
-        Unchanged files (path and stamp) are not read further. A new path with the content of a path that is gone is
-        renamed, its chunks kept. Paths in ``folders`` that were not found are pruned. Blank files have no chunks
-        but a manifest.
+        Unchanged files (path and stamp) are not read: only what is new or stamped anew is hashed. A new path with the
+        content of a path that is gone is renamed, its chunks kept. Paths in ``folders`` that were not found are pruned.
+        Blank files have no chunks but a manifest.
         """
-        old_m = self.manifests
-        f = found.select("file_path", "text", "quick_hash").withColumn("file_hash", paths.content_hash(F.coalesce("text", F.lit(""))))
-        todo = (f if force else sync.changed(f, old_m)).select("file_path", "text", "quick_hash", "file_hash")
-        moves = sync.renames(f, old_m).select("old_path", "new_path")
-        gone = sync.stale(old_m, f, list(folders)) if folders else old_m.select("file_path").limit(0)
+        about, old_m = self.info(), self.manifests
+        paths_found = found.select("file_path")
+        todo = (found if force else sync.changed(found, old_m)).select("file_path", "text", "quick_hash").withColumn("file_hash", paths.content_hash(F.coalesce("text", F.lit(""))))
+        todo = materialise(todo, "todo")
+        moves = sync.renames(todo, old_m, present=paths_found).select("old_path", "new_path")
+        gone = sync.stale(old_m, paths_found, list(folders)) if folders else old_m.select("file_path").limit(0)
         gone = gone.join(moves.select(F.col("old_path").alias("file_path")), "file_path", "left_anti")
-        work = todo.join(moves.select(F.col("new_path").alias("file_path")), "file_path", "left_anti")
-        counts = {"renamed": moves.count(), "pruned": gone.count(), "indexed": work.count(), "found": f.count()}
-        chunks = dml.rename(dml.delete(self.chunks, gone, ["file_path"]), moves)
-        chunks = chunks.withColumn("point_id", paths.row_id(F.lit(self.name), F.col("file_path"), F.col("chunk_index")))
-        chunks = dml.delete(chunks, work, ["file_path"]).unionByName(self.indexed(work))
-        made = chunks.groupBy("file_path").agg(F.count("*").alias("chunk_count"))
-        stamps = f.select("file_path", "quick_hash", "file_hash")
-        kept = dml.delete(dml.rename(dml.delete(old_m, gone, ["file_path"]), moves, name=None), stamps, ["file_path"]).select("file_path", "quick_hash", "file_hash")
-        manifests = kept.unionByName(stamps).join(made, "file_path", "left").select(F.lit(self.name).alias("collection"), "file_path", "quick_hash", "file_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-        self.store.write(f"{self.name}.chunks", chunks)
-        self.store.write(f"{self.name}.manifests", manifests)
+        indexed = todo.select("file_path").join(moves.select(F.col("new_path").alias("file_path")), "file_path", "left_anti")
+        none = F.lit(None).cast("string").alias("old_path")
+        plan = moves.select(F.lit("renamed").alias("what"), F.col("new_path").alias("file_path"), "old_path").unionByName(gone.select(F.lit("pruned").alias("what"), "file_path", none)).unionByName(indexed.select(F.lit("indexed").alias("what"), "file_path", none))
+        plan = materialise(plan, "plan")
+        counts = {"renamed": 0, "pruned": 0, "indexed": 0} | {r["what"]: r["count"] for r in plan.groupBy("what").count().collect()} | {"found": paths_found.count()}
+        moves = plan.filter("what = 'renamed'").select("old_path", F.col("file_path").alias("new_path"))
+        gone = plan.filter("what = 'pruned'").select("file_path")
+        work = todo.join(plan.filter("what = 'indexed'").select("file_path"), "file_path", "left_semi")
+        touched = self.store.touched(plan.select("file_path").union(moves.select("old_path")), "file_path", about["buckets"])
+
+        def change(chunks: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
+            chunks = dml.rename(dml.delete(chunks, gone, ["file_path"]), moves)
+            chunks = chunks.withColumn("point_id", paths.row_id(F.lit(self.name), F.col("file_path"), F.col("chunk_index")))
+            chunks = dml.delete(chunks, work, ["file_path"]).unionByName(self.indexed(work))
+            stamps = todo.select("file_path", "quick_hash", "file_hash")
+            kept = dml.delete(dml.rename(dml.delete(manifests, gone, ["file_path"]), moves, name=None), stamps, ["file_path"])
+            return chunks, kept.select("file_path", "quick_hash", "file_hash").unionByName(stamps)
+
+        if touched:
+            self._change(about, touched, change)
         self.update(last_sync=F.current_timestamp())
         return counts
 
     def inject(self, key: str, text: str) -> int:
-        """One text under a key, in place of what had its content; the number of chunks."""
+        """One text under a key, in place of what had its content; the number of chunks. Reads and writes the buckets of these alone."""
+        about = self.info()
         row = self.spark.createDataFrame([(key, text)], "file_path string, text string").withColumn("file_hash", paths.content_hash(F.col("text")))
-        new = self.indexed(row)
-        self.store.write(f"{self.name}.chunks", dml.delete(dml.delete(self.chunks, row, ["file_hash"]), row, ["file_path"]).unionByName(new))
-        return self.chunks.filter(F.col("file_path") == key).count()
+        same = materialise(self.manifests.join(row.select("file_hash"), "file_hash", "left_semi").select("file_path").union(row.select("file_path")), "same")
+        touched = self.store.touched(same, "file_path", about["buckets"])
+
+        def change(chunks: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
+            stamp = row.select("file_path", F.lit(None).cast("string").alias("quick_hash"), "file_hash")
+            kept = dml.delete(manifests, same, ["file_path"]).select("file_path", "quick_hash", "file_hash")
+            return dml.delete(chunks, same, ["file_path"]).unionByName(self.indexed(row)), kept.unionByName(stamp)
+
+        self._change(about, touched, change)
+        return self.store.read(f"{self.name}.chunks", self.store.touched(row, "file_path", about["buckets"])).filter(F.col("file_path") == key).count()
 
     # queries
     def semantic(self, query: str, limit: int = 10, offset: int = 0, where: str | None = None, threshold: float | None = None) -> DataFrame:

@@ -77,7 +77,7 @@ def backup(store: Store, tables: list[str], to: str) -> DataFrame:
     spark, seen = store.spark, []
     for t in tables:
         v = store.version(t)
-        df = spark.read.parquet(f"{store.root}/{t}/{v}")
+        df = store.read(t)
         df.write.parquet(f"{to}/{t}")
         seen.append((t, v, spark.read.parquet(f"{to}/{t}").count()))
     manifest = spark.createDataFrame(seen, "table string, version string, n_rows long")
