@@ -58,5 +58,5 @@ def better_only(old: DataFrame, new: DataFrame, keys: list[str], score: str) ->
 
 
 def exclusive(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """The latest row of each key, by aggregation (no sort): for tables whose rows repeat."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), at).alias("_r")).select("_r.*")
+    """The latest row of each key, by aggregation (no sort): for tables whose rows repeat. A null time is the earliest."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(at)).alias("_r")).select("_r.*")

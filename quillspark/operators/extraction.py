@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -108,3 +108,21 @@ def frontmatter(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield out
 
     return docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInPandas(run, f"{key} {kind}, {FRONTMATTER}")
+
+
+def page_offsets(pages: DataFrame, keys: list[str], order: list[str], content: str) -> DataFrame:
+    """``pages`` with start_char and end_char: where each page stands in the file's text, pages joined by one character.
+
+    ``order`` should end in a key. A null content has no characters.
+    """
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.coalesce(F.length(content), F.lit(0)).cast("long")
+    start = F.coalesce(F.sum(n + 1).over(before), F.lit(0)).cast("long")
+    return pages.withColumn("start_char", start).withColumn("end_char", F.col("start_char") + n + 1)
+
+
+def page_of(chunks: DataFrame, pages: DataFrame, keys: list[str], at: str = "start_char") -> DataFrame:
+    """``chunks`` with the number of the page their first character is on; null if it is on none. pages: of ``page_offsets``."""
+    p = pages.select(*keys, "page_number", F.col("start_char").alias("_a"), F.col("end_char").alias("_b"))
+    on = [chunks[k].eqNullSafe(p[k]) for k in keys] + [chunks[at] >= p["_a"], chunks[at] < p["_b"]]
+    return chunks.join(p, on, "left").select(*[chunks[c] for c in chunks.columns], "page_number")

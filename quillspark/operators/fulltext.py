@@ -1,8 +1,9 @@
 """Keyword, phrase, prefix and typo-tolerant search over an inverted index.
 
-``postings`` is the index: one row per (document, attribute, term) with its positions. A query is expanded against
-the terms, joined to the postings, and ranked by documented columns in this order: words matched, typos, proximity,
-attribute, exactness, key.
+``postings`` is the index: one row per (document, attribute, term) with its positions; ``Index`` keeps it on files in the
+order of the terms. A query is expanded against the terms, reads the postings of these alone, ranks keys, and only then
+fetches the rows of its page. The rank, in this order: words matched, typos, proximity (the least span of places in one
+attribute that holds every matched word), attribute, exactness, key.
 """
 
 from __future__ import annotations
@@ -100,42 +101,143 @@ def expansions(terms: DataFrame, words: list[str], one_typo: int = 5, two_typos:
     return terms.withColumn("_m", F.explode(hits)).select(*terms.columns, "_m.word", "_m.typos", "_m.exact")
 
 
-def search(docs: DataFrame, key: str, query: str, settings: dict, where: Column | None = None, limit: int = 20, offset: int = 0, require_all: bool = True, index: DataFrame | None = None) -> DataFrame:
-    """``docs`` rows that match, with the ranking columns, best first.
+#: So many matching terms are looked up in the index by name; more are joined.
+FEW_TERMS = 1_000
+#: A page of at most so many rows is sent to the executors to fetch its rows.
+PAGE_ROWS = 10_000
 
-    Without words and phrases the query is a filter-only scan in the order of the key. The hit cap of the settings
-    holds before the offset. ``index`` may be postings built before.
+
+class Index:
+    """Postings on files, sorted by term, and the dictionary of terms beside them."""
+
+    def __init__(self, spark, at: str, key: str):
+        self.spark, self.at, self.key = spark, at, key
+        self.postings, self.terms = spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/terms")
+
+    @staticmethod
+    def build(docs: DataFrame, key: str, attributes: list[str], stop_words: list[str], at: str) -> Index:
+        """Written range by range of the terms, so that a query reads few row groups. Terms of any frequency are split over ranges by key."""
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        p = postings(docs, key, attributes, stop_words)
+        p.repartitionByRange(parts, "term", key).sortWithinPartitions("term", key).write.option("compression", "zstd").parquet(f"{at}/postings")
+        terms = docs.sparkSession.read.parquet(f"{at}/postings").groupBy("term").agg(F.countDistinct(key).alias("docs"), F.sum("tf").alias("tf"))
+        terms.write.parquet(f"{at}/terms")
+        return Index(docs.sparkSession, at, key)
+
+    def lookup(self, terms: DataFrame) -> DataFrame:
+        """The postings of some terms, with the other columns of ``terms``."""
+        few = terms.select("term").distinct().limit(FEW_TERMS + 1).collect()
+        if len(few) > FEW_TERMS:
+            return self.postings.join(terms, "term")
+        return self.postings.filter(F.col("term").isin([r["term"] for r in few])).join(F.broadcast(terms), "term")
+
+
+def phrase_places(index: Index, phrase: list[str], stop_words: list[str]) -> DataFrame:
+    """(key): rows in which the words of a phrase that are no stop words stand at their distances in one attribute."""
+    want = [(w, i) for i, w in enumerate(phrase) if w not in stop_words]
+    terms = index.spark.createDataFrame(want, "term string, _i int")
+    at = index.lookup(terms).select(index.key, "attr_rank", "_i", F.explode("positions").alias("_p")).withColumn("_p", F.col("_p") - F.col("_i"))
+    return at.groupBy(index.key, "attr_rank", "_p").agg(F.count("*").alias("_n")).filter(F.col("_n") == len(want)).select(index.key).distinct()
+
+
+def least_span(matches: Column, n_words: int, attribute: int) -> Column:
+    """The least span of places in an attribute that holds all ``n_words`` words; null if it does not hold all.
+
+    matches: structs of pos, w (the word's number) and attr_rank. One pass over the places in order: the last place of
+    each word so far is kept.
     """
+    here = F.sort_array(F.transform(F.filter(matches, lambda m: m["attr_rank"] == attribute), lambda m: F.struct(m["pos"].alias("pos"), m["w"].alias("w"))))
+    start = F.struct(F.array_repeat(F.lit(-1), n_words).alias("last"), F.lit(None).cast("int").alias("best"))
+
+    def step(state, m):
+        last = F.transform(state["last"], lambda v, i: F.when(i == m["w"], m["pos"]).otherwise(v))
+        span = F.when(F.array_min(last) >= 0, m["pos"] - F.array_min(last))
+        return F.struct(last.alias("last"), F.least(state["best"], span).alias("best"))
+
+    return F.aggregate(here, start, step, lambda state: state["best"])
+
+
+def ranked(docs: DataFrame, key: str, query: str, settings: dict, where: Column | None = None, require_all: bool = True, index: Index | None = None) -> tuple[DataFrame, list[Column]]:
+    """(keys of all matches with their ranking columns, the order). A query without words has the key's order alone."""
     base = docs.filter(where) if where is not None else docs
     words, phrases = query_terms(query, settings["stop_words"])
+    words = list(dict.fromkeys(words))
+    stop = settings["stop_words"]
+    attributes = [a for a in settings["searchable"] if a in docs.columns]
+    kept = base.select(key) if where is not None else None
     for p in phrases:
-        hit = F.lit(False)
-        for a in settings["searchable"]:
-            if a in docs.columns:
-                hit = hit | F.coalesce(has_phrase(F.col(a).cast("string"), p), F.lit(False))
-        base = base.filter(hit)
-    cap = min(settings["max_total_hits"], limit + offset)
+        if index is not None and any(w not in stop for w in p):
+            hit = phrase_places(index, p, stop)
+            if any(w in stop for w in p):  # stop words have no postings: the texts of what is left tell
+                hit = base.join(hit, key, "left_semi").filter(_has_phrase(docs, attributes, p)).select(key)
+        else:
+            hit = base.filter(_has_phrase(docs, attributes, p)).select(key)
+        kept = hit if kept is None else kept.join(hit, key, "left_semi")
     if not words:
-        return base.orderBy(key).limit(cap).offset(offset)
-    words = list(dict.fromkeys(words))
+        return (kept if kept is not None else base.select(key)), [F.col(key)]
     if index is None:  # a scan keeps only the words that match, before anything is shuffled
-        attributes = [a for a in settings["searchable"] if a in docs.columns]
-        matched = expansions(occurrences(base, key, attributes), words, settings["one_typo"], settings["two_typos"])
+        rows = base.join(kept, key, "left_semi") if phrases else base
+        matched = expansions(occurrences(rows, key, attributes), words, settings["one_typo"], settings["two_typos"])
     else:
-        terms = expansions(index.select("term").distinct(), words, settings["one_typo"], settings["two_typos"])
-        matched = index.join(terms, "term").withColumn("pos", F.element_at("positions", 1))
-    hits = matched.groupBy(key, "word").agg(
-        F.min("typos").alias("typos"), F.max("exact").alias("exact"), F.min("attr_rank").alias("attr_rank"),
-        F.min_by("pos", F.struct("attr_rank", "typos", "pos")).alias("pos"),
-    )
-    ranked = hits.groupBy(key).agg(
-        F.count("*").alias("words_matched"), F.sum("typos").alias("typos"), F.min("attr_rank").alias("attr_rank"), F.sum("exact").alias("exact_words"),
-        (F.max("pos") - F.min("pos")).alias("proximity"),
+        terms = expansions(index.terms.select("term"), words, settings["one_typo"], settings["two_typos"])
+        matched = index.lookup(terms)
+        matched = matched.withColumn("pos", F.explode("positions")) if len(words) > 1 else matched.withColumn("pos", F.element_at("positions", 1))
+        matched = matched.join(kept, key, "left_semi") if kept is not None else matched
+    number = F.array_position(F.array(*map(F.lit, words)), F.col("word")).cast("int") - 1
+    found = matched.groupBy(key).agg(F.collect_list(F.struct(number.alias("w"), "typos", "exact", "attr_rank", F.col("pos").cast("int").alias("pos"))).alias("_m"))
+
+    def of(i: int, field: str) -> Column:
+        return F.transform(F.filter("_m", lambda m: m["w"] == i), lambda m: m[field])
+
+    total = lambda xs: sum((F.coalesce(x, F.lit(0)) for x in xs[1:]), F.coalesce(xs[0], F.lit(0)))
+    spans = [least_span(F.col("_m"), len(words), a) for a in range(len(attributes))] if len(words) > 1 else []
+    near = F.least(*spans) if len(spans) > 1 else spans[0] if spans else F.lit(0)
+    hits = found.select(
+        key, F.size(F.array_distinct(F.transform("_m", lambda m: m["w"]))).cast("long").alias("words_matched"), total([F.array_min(of(i, "typos")) for i in range(len(words))]).cast("long").alias("typos"),
+        near.alias("proximity"), F.array_min(F.transform("_m", lambda m: m["attr_rank"])).alias("attr_rank"), total([F.array_max(of(i, "exact")) for i in range(len(words))]).cast("long").alias("exact_words"),
     )
     if require_all:
-        ranked = ranked.filter(F.col("words_matched") == len(words))
-    order = [F.col("words_matched").desc(), F.col("typos"), F.col("proximity"), F.col("attr_rank"), F.col("exact_words").desc(), F.col(key)]
-    return base.join(ranked, key).orderBy(*order).limit(cap).offset(offset)
+        hits = hits.filter(F.col("words_matched") == len(words))
+    return hits, [F.col("words_matched").desc(), F.col("typos"), F.col("proximity").asc_nulls_last(), F.col("attr_rank"), F.col("exact_words").desc(), F.col(key)]
+
+
+def _has_phrase(docs: DataFrame, attributes: list[str], phrase: list[str]) -> Column:
+    hit = F.lit(False)
+    for a in attributes:
+        hit = hit | F.coalesce(has_phrase(F.col(a).cast("string"), phrase), F.lit(False))
+    return hit
+
+
+def search(docs: DataFrame, key: str, query: str, settings: dict, where: Column | None = None, limit: int = 20, offset: int = 0, require_all: bool = True, index: Index | None = None) -> DataFrame:
+    """``docs`` rows that match, with the ranking columns, best first.
+
+    Without words and phrases the query is a filter-only scan in the order of the key. The hit cap of the settings
+    holds before the offset. With an ``index`` no text is read but that of the page's rows.
+    """
+    cap = min(settings["max_total_hits"], limit + offset)
+    words, phrases = query_terms(query, settings["stop_words"])
+    if not words and not phrases:
+        return (docs.filter(where) if where is not None else docs).orderBy(key).limit(cap).offset(offset)
+    hits, order = ranked(docs, key, query, settings, where, require_all, index)
+    if cap > PAGE_ROWS:
+        return docs.join(hits, key).orderBy(*order).limit(cap).offset(offset)
+    page = hits.orderBy(*order).limit(cap).offset(offset)
+    return docs.join(F.broadcast(page), key).orderBy(*order)
+
+
+def estimated_total(docs: DataFrame, key: str, query: str, settings: dict, where: Column | None = None, index: Index | None = None) -> DataFrame:
+    """(estimated_total, capped): the number of hits before any page, and whether the settings' cap hides some."""
+    hits, _ = ranked(docs, key, query, settings, where, True, index)
+    n = F.count("*")
+    return hits.agg(F.least(n, F.lit(settings["max_total_hits"]).cast("long")).alias("estimated_total"), (n > settings["max_total_hits"]).alias("capped"))
+
+
+def filterable(settings: dict, attributes: list[str]) -> list[str]:
+    """The attributes, if an index can filter by all of them; else an error that names the others."""
+    bad = [a for a in attributes if a not in settings["filterable"]]
+    if bad:
+        raise ValueError(f"not filterable: {', '.join(bad)}; filterable are {', '.join(settings['filterable'])}")
+    return list(attributes)
 
 
 def highlight(text: Column, words: list[str], before: str = "<em>", after: str = "</em>") -> Column:

@@ -74,3 +74,15 @@ def log_usage(log: DataFrame) -> DataFrame:
         F.expr("percentile_disc(0.5) within group (order by case when duration_ms >= 0 then duration_ms end)").cast("long").alias("p50_ms"),
         F.expr("percentile_disc(0.95) within group (order by case when duration_ms >= 0 then duration_ms end)").cast("long").alias("p95_ms"), F.max(ok).alias("max_ms"),
     )
+
+
+def page_of_items(rows: DataFrame, keys: list[str], limit: int, offset: int = 0, name: str = "filename") -> DataFrame:
+    """A page of items by name (where null, by their keys): offset and limit both count items, not rows."""
+    g = rows.groupBy(*keys).agg(F.count("*").alias("chunks"), F.min(name).alias(name))
+    return g.orderBy(F.coalesce(F.col(name), F.concat_ws("/", *keys)), *keys).offset(offset).limit(limit)
+
+
+def latencies(log: DataFrame, keys: list[str], duration: str = "duration_ms", shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Order statistics of the durations per group, at ceil(share * n); null and negative durations are left out."""
+    ok = log.filter(F.col(duration) >= 0)
+    return ok.groupBy(*keys).agg(F.count("*").alias("n"), *[F.expr(f"percentile_disc({x}) within group (order by {duration})").cast("long").alias(f"p{round(x * 100)}_ms") for x in shares])

@@ -22,3 +22,8 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
     sizes = s.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
     return s.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_i") + 1).drop("_p", "_i", "_b")
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0) -> list[Column]:
+    """A random order that a seed repeats, whatever the partitions: by the key's hash with the seed, then the key."""
+    return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]

@@ -111,3 +111,41 @@ def phases(pending: DataFrame, newest: Column, oldest: Column, at: str, key: str
     df = df.join(F.broadcast(ranges), "_part")
     turned = F.when(F.col("_own").isNotNull(), F.col("_turn")).otherwise(0)
     return df.select(key, at, F.coalesce("_own", "_start").alias("phase"), (F.col("_before") + turned + F.sum("_change").over(w)).alias("segment"))
+
+
+def back_fill(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of the source's files that the target lacks, or has with another number of rows; the target's rows of these files are to be replaced."""
+    status = parity(source, target, keys).filter("status in ('left_only', 'mismatch')").select(*keys)
+    on = [source[k].eqNullSafe(status[k]) for k in keys]
+    return source.join(status, on, "left_semi")
+
+
+def filled(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """The target after the back-fill; files that only the target has stay."""
+    rows = back_fill(source, target, keys).select(*target.columns)
+    doomed = rows.select(*keys).distinct()
+    return target.join(doomed, [target[k].eqNullSafe(doomed[k]) for k in keys], "left_anti").unionByName(rows)
+
+
+def parity_by_corpus(left: DataFrame, right: DataFrame, corpus: str, path: str) -> DataFrame:
+    """(corpus, synced, mismatch, left_only, right_only, state) over all corpora at once; the state tells which side lacks the corpus."""
+    p = parity(left, right, [corpus, path])
+    n = [F.count_if(F.col("status") == s).alias(s) for s in ("synced", "mismatch", "left_only", "right_only")]
+    state = F.when(F.sum("right_count") == 0, "right missing").when(F.sum("left_count") == 0, "left missing").when(F.count_if(F.col("status") != "synced") == 0, "in parity").otherwise("out of parity")
+    return p.groupBy(corpus).agg(*n, state.alias("state"))
+
+
+def fast_path(projects: DataFrame, heads: DataFrame, identifier: str = "git_project_identifier", commit: str = "git_commit_hash") -> DataFrame:
+    """(identifier, skip): a project is passed over whole if its commit is the one of its last sync and its tracked files are clean.
+
+    projects: identifier, commit, clean (null counts as not clean). heads: identifier and commit of the last syncs.
+    """
+    h = heads.groupBy(identifier).agg(F.max(commit).alias("_head"))
+    return projects.join(h, identifier, "left").select(identifier, (F.coalesce(F.col("clean"), F.lit(False)) & F.coalesce(F.col(commit) == F.col("_head"), F.lit(False))).alias("skip"))
+
+
+def page_counts(files: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``files`` with page_count filled from facts about the files themselves where it is null."""
+    f = facts.groupBy(*keys).agg(F.max("page_count").alias("_pages"))
+    on = [files[k].eqNullSafe(f[k]) for k in keys]
+    return files.join(f, on, "left").select(*[F.coalesce(files[c], f["_pages"]).alias(c) if c == "page_count" else files[c] for c in files.columns])

@@ -70,11 +70,13 @@ def validity(points: DataFrame, key: str, vector: str = "embedding", size: int =
     return points.select(key, vectors.fault(F.col(vector), size).alias("fault"), F.round(vectors.norm(F.col(vector)), 6).alias("norm"))
 
 
-def similar_pairs_exact(points: DataFrame, key: str, threshold: float, vector: str = "embedding", blocks: int = 16) -> DataFrame:
+def similar_pairs_exact(points: DataFrame, key: str, threshold: float, vector: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(a, b, score) of all pairs above a cosine threshold, in blocks: for small corpora and for tests of indexes.
 
-    The rows are dealt into ``blocks`` by hash, and each two blocks meet in one task; the work is quadratic.
+    The rows are dealt into blocks by hash, of about 4,000 rows unless told, and each two blocks meet in one task, so
+    that a task holds no more on larger tables; the work is quadratic.
     """
+    blocks = blocks or max(16, -(-points.count() // 4_000))
     v = points.filter(F.col(vector).isNotNull() & (vectors.norm(F.col(vector)) > 0)).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"))
     spread = v.select("k", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("k", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     kind = points.schema[key].dataType.simpleString()

@@ -6,13 +6,17 @@ can be compared by value.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import embed, paths, vectors
 from ..functions import text as tx
-from ..operators import chunkers, dml, extraction, filters, fulltext, integrity, listings, ordering, records, sync, vector_search
+from ..operators import chunkers, dml, extraction, filters, fulltext, integrity, listings, ordering, records, sync, vector_index, vector_search
+from ..session import shared_dir
 from ..session import table as t
+from ..sources import exchange
 from ..streaming import ingest
 
 QUERIES: dict = {}
@@ -81,15 +85,25 @@ def knn_multi_corpus_merge(spark, d):
     return vector_search.search_corpora(e, q, "vec_id", "label", [2, 0, 5], 10, 5).select("vec_id", "label", F.col("corpus_rank").cast("long").alias("corpus_rank"), F.round("score", 6).alias("score"))
 
 
+_L2 = "list_distance(embedding::DOUBLE[], e)"
+
+
+@query(f"""{_Q}, r AS (SELECT vec_id, label, {_L2} AS s, row_number() OVER (PARTITION BY label ORDER BY {_L2}, vec_id) AS corpus_rank FROM embeddings, q WHERE label IN (2, 0, 5))
+SELECT vec_id, label, corpus_rank, round(s, 6) AS score FROM r WHERE corpus_rank <= 15 ORDER BY s, list_position([2, 0, 5], label), corpus_rank LIMIT 10 OFFSET 5""")
+def knn_multi_corpus_euclid(spark, d):
+    e, q = _points(spark, d)
+    return vector_search.search_corpora(e, q, "vec_id", "label", [2, 0, 5], 10, 5, metric="euclid").select("vec_id", "label", F.col("corpus_rank").cast("long").alias("corpus_rank"), F.round("score", 6).alias("score"))
+
+
 @query(f"{_Q}, s AS (SELECT {_COS} AS s FROM embeddings, q ORDER BY s DESC LIMIT 100) SELECT count(*) AS n_results, round(avg(s), 6) AS avg_score, round(max(s), 6) AS max_score, round(min(s), 6) AS min_score FROM s")
 def knn_score_summary(spark, d):
     e, q = _points(spark, d)
     return vector_search.summary(vector_search.search(e, q, "vec_id", limit=100))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45")
 def knn_similar_pairs(spark, d):
-    return vector_search.similar_pairs_exact(t(spark, d, "embeddings"), "vec_id", 0.9).withColumn("score", F.round("score", 6))
+    return vector_search.similar_pairs_exact(t(spark, d, "embeddings"), "vec_id", 0.45).withColumn("score", F.round("score", 6))
 
 
 _VALID = """CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'size' WHEN list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) THEN 'nan'
@@ -102,6 +116,14 @@ def embedding_validity(spark, d):
     return v.groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count("*").alias("n"))
 
 
+@query()
+def knn_ann_topk(spark, d):
+    """The ten nearest by an index of cells, built over all vectors; recall is tested against the exact search."""
+    e, q = _points(spark, d)
+    at = f"{shared_dir(spark)}/quillspark/cells-{uuid.uuid4().hex}"
+    return vector_index.CellIndex.build(e, "vec_id", "embedding", at).search(q, 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def embedding_quantized(spark, d):
     """int8 steps of each vector (rows only: rounding at ties differs between engines)."""
@@ -170,31 +192,69 @@ def _settings(**over):
     return fulltext.index_settings("pdf") | {"searchable": ["text"], "max_total_hits": 10_000_000} | over
 
 
+_INDEXES: dict[tuple[str, str], fulltext.Index] = {}
+
+
+def _index(spark, d):
+    """Postings of all documents, built once for a session and data folder and read from files afterwards."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _INDEXES:
+        _INDEXES[at] = fulltext.Index.build(_docs(spark, d), "doc_id", ["text"], _settings()["stop_words"], f"{shared_dir(spark)}/quillspark/index-{uuid.uuid4().hex}")
+    return _INDEXES[at]
+
+
 @query(f"""{_IDX}, h AS (SELECT doc_id, 'vector' AS w, pos FROM idx WHERE term = 'vector' UNION ALL SELECT doc_id, 'store', min(pos) FROM idx WHERE term LIKE 'store%' AND term <> '' GROUP BY doc_id)
 SELECT doc_id, count(*) AS words_matched FROM h GROUP BY doc_id HAVING count(*) = 2""")
 def fts_keyword_and(spark, d):
     """Both words; the last may be a prefix. Short words allow no typo."""
     s = _settings(one_typo=99, two_typos=99)
-    return fulltext.search(_docs(spark, d), "doc_id", "vector store", s, limit=10_000_000).select("doc_id", "words_matched")
+    return fulltext.search(_docs(spark, d), "doc_id", "vector store", s, limit=10_000_000, index=_index(spark, d)).select("doc_id", "words_matched")
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_DT}, ' ') || ' ', ' vector store ') AND contains(' ' || array_to_string({_DT}, ' ') || ' ', ' short delay ')")
 def fts_phrase(spark, d):
-    return fulltext.search(_docs(spark, d), "doc_id", '"vector store" "short delay"', _settings(), limit=10_000_000).select("doc_id")
+    return fulltext.search(_docs(spark, d), "doc_id", '"vector store" "short delay"', _settings(), limit=10_000_000, index=_index(spark, d)).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_DT}, ' ') || ' ', ' the vector store ')")
+def fts_phrase_with_stop_word(spark, d):
+    """Stop words have no postings; the texts of the rows that the other words leave decide."""
+    return fulltext.search(_docs(spark, d), "doc_id", '"the vector store"', _settings(), limit=10_000_000, index=_index(spark, d)).select("doc_id")
+
+
+_RANK = f"""{_IDX}, p AS (SELECT doc_id, 0 AS w, pos FROM tk WHERE term = 'vector' UNION ALL SELECT doc_id, 1, pos FROM tk WHERE term LIKE 'store%'), n AS (SELECT a.doc_id, min(abs(a.pos - b.pos)) AS proximity FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.w = 0 AND b.w = 1 GROUP BY 1),
+x AS (SELECT doc_id, 1 + max((term = 'store')::INT) AS exact_words FROM tk WHERE term LIKE 'store%' GROUP BY 1)"""
+
+
+@query(f"{_RANK} SELECT doc_id, row_number() OVER (ORDER BY proximity, exact_words DESC, doc_id) AS place, proximity::INT AS proximity, exact_words::BIGINT AS exact_words FROM n JOIN x USING (doc_id) ORDER BY place LIMIT 20")
+def fts_rank_order(spark, d):
+    """The first page of a two-word query: keys are ranked and cut first, then the page's rows are fetched."""
+    hits = fulltext.search(_docs(spark, d), "doc_id", "vector store", _settings(one_typo=99, two_typos=99), limit=20, index=_index(spark, d))
+    w = Window.orderBy("words_matched", "typos", "proximity", "attr_rank", F.col("exact_words").desc(), "doc_id")  # of the page's twenty rows
+    return hits.select("doc_id", F.row_number().over(w).cast("long").alias("place"), "proximity", "exact_words")
+
+
+@query(f"{_RANK} SELECT count(*) AS estimated_total, false AS capped FROM n")
+def fts_estimated_total(spark, d):
+    return fulltext.estimated_total(_docs(spark, d), "doc_id", "vector store", _settings(one_typo=99, two_typos=99), index=_index(spark, d))
+
+
+@query(f"{_IDX} SELECT doc_id FROM idx WHERE term = 'manifest' OR term LIKE 'archive%' GROUP BY 1 HAVING count(DISTINCT CASE WHEN term = 'manifest' THEN 0 ELSE 1 END) = 2")
+def fts_stopwords(spark, d):
+    """Stop words of the query are passed over."""
+    return fulltext.search(_docs(spark, d), "doc_id", "the manifest in an archive", _settings(one_typo=99, two_typos=99), limit=10_000_000, index=_index(spark, d)).select("doc_id")
 
 
 @query(f"{_IDX} SELECT DISTINCT doc_id FROM idx WHERE term LIKE 'token%'")
 def fts_prefix_last(spark, d):
-    return fulltext.search(_docs(spark, d), "doc_id", "token", _settings(one_typo=99, two_typos=99), limit=10_000_000).select("doc_id")
+    return fulltext.search(_docs(spark, d), "doc_id", "token", _settings(one_typo=99, two_typos=99), limit=10_000_000, index=_index(spark, d)).select("doc_id")
 
 
-@query(f"""{_IDX}, v AS (SELECT term, min(CASE WHEN term LIKE 'snapshit%' THEN 0 ELSE levenshtein(term, 'snapshit') END) AS typos FROM idx WHERE regexp_full_match(term, '[a-z0-9_]+') AND (term LIKE 'snapshit%' OR levenshtein(term, 'snapshit') <= 1) GROUP BY 1)
+@query(f"""{_IDX}, e AS (SELECT DISTINCT term, regexp_replace(term, '[^\\x00-\\x7f]', '?', 'g') AS plain FROM idx), v AS (SELECT term, min(CASE WHEN term LIKE 'snapshit%' THEN 0 ELSE levenshtein(plain, 'snapshit') END) AS typos FROM e WHERE term LIKE 'snapshit%' OR levenshtein(plain, 'snapshit') <= 1 GROUP BY 1)
 SELECT doc_id, min(typos)::BIGINT AS typos FROM idx JOIN v USING (term) GROUP BY 1""")
 def fts_typo_one_edit(spark, d):
-    """One edit for eight letters; over ASCII terms, where both engines count edits alike."""
-    docs = _docs(spark, d)
-    idx = fulltext.postings(docs, "doc_id", ["text"], _settings()["stop_words"]).filter(F.col("term").rlike("^[a-z0-9_]+$"))
-    return fulltext.search(docs, "doc_id", "snapshit", _settings(), limit=10_000_000, index=idx).select("doc_id", "typos")
+    """One edit for eight letters. The SQL's engine counts bytes, so each other letter is one mark there."""
+    return fulltext.search(_docs(spark, d), "doc_id", "snapshit", _settings(), limit=10_000_000, index=_index(spark, d)).select("doc_id", "typos")
 
 
 @query(r"""WITH tk AS (SELECT id, 0 AS attr_rank, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) AS term FROM (SELECT DISTINCT id, content, title FROM dual_documents) UNION ALL
@@ -213,8 +273,9 @@ def inverted_index_stats(spark, d):
 
 @query(r"SELECT doc_id, sha256(regexp_replace(text, '(?i)\b(index|corpus)\b', '<em>\1</em>', 'g')) AS marked FROM documents WHERE regexp_matches(text, '(?i)\b(index|corpus)\b')")
 def fts_highlight(spark, d):
-    """Over the words of English; hashes stand for the marked texts."""
-    return _docs(spark, d).filter(F.col("text").rlike(r"(?i)\b(index|corpus)\b")).select("doc_id", F.sha2(F.regexp_replace("text", r"(?i)\b(index|corpus)\b", "<em>$1</em>"), 256).alias("marked"))
+    """Hashes stand for the marked texts; rows without a mark are left out."""
+    marked = _docs(spark, d).select("doc_id", "text", fulltext.highlight(F.col("text"), ["index", "corpus"]).alias("marked"))
+    return marked.filter("marked <> text").select("doc_id", F.sha2("marked", 256).alias("marked"))
 
 
 @query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS corpus_rank FROM documents WHERE lang IN ('fr', 'en', 'de'))
@@ -270,11 +331,10 @@ def sanitize(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(tx.sanitize(F.col("text"))).alias("clean"))
 
 
-@query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(substring(text, 1, 300)), '[ \t\n\r\f\v_]+', '-', 'g'), '[^a-z0-9\-]', '', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '[ \t\n\r\f\v_]+', '-', 'g'), '[^a-z0-9\-]', '', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)
 SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE regexp_replace(substring(regexp_replace(s, '-+', '-', 'g'), 1, 50), '-+$', '') END AS slug FROM a""")
 def slugify(spark, d):
-    """Of the first line or so, as titles are slugged."""
-    return _docs(spark, d).select("doc_id", tx.slugify(F.substring("text", 1, 300)).alias("slug"))
+    return _docs(spark, d).select("doc_id", tx.slugify(F.col("text")).alias("slug"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[\t\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', ' ', 'g'), '\n{4,}', E'\n\n\n', 'g'), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')) AS text_hash FROM documents")
@@ -340,7 +400,8 @@ def path_remap(spark, d):
     return p.select("file_path", paths.remap(F.col("file_path"), [("/srv/repos/orchard-index", "/data/oi"), ("/srv/repos", "/data/repos")]).alias("moved"))
 
 
-@query("SELECT CASE WHEN count(*) = 0 THEN NULL ELSE '/srv' END AS root FROM dual_documents WHERE starts_with(file_path, '/')")
+@query("""WITH p AS (SELECT string_split(min(file_path), '/') AS a, string_split(max(file_path), '/') AS b FROM dual_documents WHERE starts_with(file_path, '/')),
+n AS (SELECT a, list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS k FROM p) SELECT NULLIF(array_to_string(a[1:k], '/'), '') AS root FROM n""")
 def path_root(spark, d):
     return listings.common_root(t(spark, d, "dual_documents"))
 
@@ -515,10 +576,11 @@ def stale_paths(spark, d):
     return sync.stale(t(spark, d, "file_manifests"), t(spark, d, "dual_documents"), ["/srv/repos"])
 
 
-@query("SELECT DISTINCT file_path FROM file_manifests WHERE file_path NOT IN (SELECT file_path FROM dual_documents) AND file_path NOT IN (SELECT file_path FROM code_chunks)")
+@query("SELECT DISTINCT file_path FROM (SELECT file_path FROM file_manifests UNION ALL SELECT file_path FROM documents) WHERE file_path NOT IN (SELECT file_path FROM dual_documents WHERE file_path IS NOT NULL) AND file_path NOT IN (SELECT file_path FROM code_chunks WHERE file_path IS NOT NULL)")
 def orphans(spark, d):
+    """The files of the manifests and of documents as indexed, those of the two chunk tables as found."""
     disk = t(spark, d, "dual_documents").select("file_path").unionByName(t(spark, d, "code_chunks").select("file_path"))
-    return sync.orphans(t(spark, d, "file_manifests"), disk)
+    return sync.orphans(t(spark, d, "file_manifests").select("file_path").unionByName(_docs(spark, d).select("file_path")), disk)
 
 
 @query("SELECT DISTINCT file_path FROM file_manifests WHERE file_path IN (SELECT file_path FROM dual_documents) AND file_path NOT IN (SELECT file_path FROM file_verifications WHERE is_complete)")
@@ -573,8 +635,7 @@ def backlog_phases(spark, d):
 SELECT id, coalesce(sum(length(content) + 1) OVER (PARTITION BY collection, file_path ORDER BY page_number, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM p""")
 def page_offsets(spark, d):
     p = t(spark, d, "dual_documents").filter("document_type = 'pdf' and page_number is not null").select("id", "collection", "file_path", "page_number", "content").distinct()
-    w = Window.partitionBy("collection", "file_path").orderBy("page_number", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return p.select("id", F.coalesce(F.sum(F.length("content") + 1).over(w), F.lit(0)).cast("long").alias("start_char"))
+    return extraction.page_offsets(p, ["collection", "file_path"], ["page_number", "id"], "content").select("id", "start_char")
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(range(0, length(text), 1500)) AS start_char, length(text) AS n FROM documents WHERE length(text) > 0) SELECT doc_id, start_char, least(start_char // 1800 + 1, (n - 1) // 1800 + 1) AS page_number FROM c""")
@@ -582,8 +643,9 @@ def page_lookup_range_join(spark, d):
     """Chunks of 1,500 characters on pages of 1,800: each chunk's page by its first character."""
     docs = _docs(spark, d).filter(F.length("text") > 0)
     chunks = chunkers.fixed_windows(docs, "doc_id", "text", 1500, 0).select("doc_id", F.col("start_char").cast("long").alias("start_char"))
-    pages = docs.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1800).cast("int"))).alias("_i", "p")).select("doc_id", (F.col("p") * 1800).alias("a"), ((F.col("p") + 1) * 1800).alias("b"), (F.col("p") + 1).cast("long").alias("page_number"))
-    return chunks.join(pages, "doc_id").filter("start_char >= a and start_char < b").select("doc_id", "start_char", "page_number")
+    cut = docs.select("doc_id", F.posexplode(F.expr("transform(sequence(0, cast((length(text) - 1) div 1800 as int)), i -> substring(text, i * 1800 + 1, 1799))")).alias("_i", "content"))
+    pages = extraction.page_offsets(cut.withColumn("page_number", F.col("_i") + 1), ["doc_id"], ["page_number"], "content")
+    return extraction.page_of(chunks, pages, ["doc_id"]).select("doc_id", "start_char", F.col("page_number").cast("long").alias("page_number"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, file_path, doc_id) AS place FROM documents")
@@ -629,8 +691,7 @@ def extract_definitions(spark, d):
 def page_documents(spark, d):
     """Texts whose blocks stand for pages, one row per page that is not empty."""
     docs = _docs(spark, d).withColumn("text", F.replace("text", F.lit("\n\n"), F.lit("\f")))
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\f")).alias("_i", "content"))
-    return split.filter(F.trim("content") != "").select("doc_id", (F.col("_i") + 1).cast("long").alias("page_number"), F.md5("content").alias("content_hash"))
+    return chunkers.pages(docs, "doc_id", "text").select("doc_id", F.col("page_number").cast("long").alias("page_number"), F.md5("content").alias("content_hash"))
 
 
 @query()
@@ -696,10 +757,10 @@ def repair_better_only(spark, d):
 
 @query("SELECT vec_id, label, len(embedding)::INT AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def export_import_roundtrip(spark, d):
-    """Rows as JSON lines and back."""
-    e = t(spark, d, "embeddings")
-    lines = e.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    back = lines.select(F.from_json("value", e.schema).alias("r")).select("r.*")
+    """Written as JSON lines with their header, and read back."""
+    to = f"{shared_dir(spark)}/quillspark/export-{uuid.uuid4().hex}"
+    exchange.export_jsonl(t(spark, d, "embeddings"), to, "embeddings")
+    _, back = exchange.import_jsonl(spark, to)
     return back.select("vec_id", "label", F.size("embedding").alias("n"), F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
@@ -762,25 +823,26 @@ def late_chunk_flag(spark, d):
     return _docs(spark, d).select("doc_id", n.alias("tokens"), extraction.late_chunking(n).alias("late"))
 
 
-@query("""WITH o AS (SELECT DISTINCT ON (entry_id) entry_id, command_name, duration_ms, result_count FROM interaction_log WHERE duration_ms >= 0 ORDER BY entry_id), g AS (SELECT command_name, sum(duration_ms)::BIGINT AS total, sum(result_count)::BIGINT AS items FROM o GROUP BY 1)
+@query("""WITH o AS (SELECT DISTINCT ON (entry_id) entry_id, command_name, duration_ms, result_count FROM interaction_log WHERE duration_ms >= 0 ORDER BY entry_id, received_at DESC NULLS LAST), g AS (SELECT command_name, sum(duration_ms)::BIGINT AS total, sum(result_count)::BIGINT AS items FROM o GROUP BY 1)
 SELECT command_name, total, round(100.0::DOUBLE * total / sum(total) OVER (), 3) AS percent, round(items / NULLIF(total, 0)::DOUBLE, 6) AS rate FROM g""")
 def stage_profile(spark, d):
-    o = t(spark, d, "interaction_log").filter("duration_ms >= 0").dropDuplicates(["entry_id"])
+    o = dml.exclusive(t(spark, d, "interaction_log").filter("duration_ms >= 0"), "entry_id", "received_at")
     return records.stage_profile(o, "command_name", "duration_ms", "result_count")
 
 
-@query("""WITH o AS (SELECT DISTINCT ON (entry_id) entry_id, project, error_text FROM interaction_log ORDER BY entry_id) SELECT project, count(*) AS runs, round(count(error_text) / count(*)::DOUBLE, 6) AS error_rate FROM o GROUP BY 1""")
+@query("""WITH o AS (SELECT DISTINCT ON (entry_id) entry_id, project, error_text FROM interaction_log ORDER BY entry_id, received_at DESC NULLS LAST) SELECT project, count(*) AS runs, round(count(error_text) / count(*)::DOUBLE, 6) AS error_rate FROM o GROUP BY 1""")
 def log_error_rate(spark, d):
-    o = t(spark, d, "interaction_log").dropDuplicates(["entry_id"])
+    o = dml.exclusive(t(spark, d, "interaction_log"), "entry_id", "received_at")
     return o.groupBy("project").agg(F.count("*").alias("runs"), F.round(F.count("error_text") / F.count("*"), 6).alias("error_rate"))
 
 
-@query("""WITH u AS (SELECT DISTINCT ON (id) id, git_project_identifier, file_path, list_transform(embedding, lambda x: coalesce(x, 0))::DOUBLE[] AS v, len(list_filter(embedding, lambda x: x IS NULL)) AS holes FROM code_chunks WHERE len(embedding) = 64 ORDER BY id),
-v AS (SELECT * FROM u WHERE holes = 0 AND list_inner_product(v, v) > 0), q AS (SELECT v AS e FROM v ORDER BY id LIMIT 1), s AS (SELECT git_project_identifier, file_path FROM v, q ORDER BY list_cosine_similarity(v, e) DESC, id LIMIT 200)
+@query("""WITH u AS (SELECT DISTINCT ON (id) id, git_project_identifier, file_path, list_transform(embedding, lambda x: coalesce(x, 0))::DOUBLE[] AS v, len(list_filter(embedding, lambda x: x IS NULL)) AS holes FROM code_chunks ORDER BY id, indexed_at DESC NULLS LAST),
+v AS (SELECT * FROM u WHERE len(v) = 64 AND holes = 0 AND list_inner_product(v, v) > 0), q AS (SELECT v AS e FROM v ORDER BY id LIMIT 1), s AS (SELECT git_project_identifier, file_path FROM v, q ORDER BY list_cosine_similarity(v, e) DESC, id LIMIT 200)
 SELECT DISTINCT s.git_project_identifier, s.file_path FROM s JOIN code_chunks c USING (git_project_identifier, file_path) WHERE contains(c.content, 'return')""")
 def cooperative_search(spark, d):
     """Files among the 200 hits most similar to a chunk that also hold a word."""
-    c = t(spark, d, "code_chunks").select("id", "git_project_identifier", "file_path", "content", "embedding").dropDuplicates(["id"])
+    c = t(spark, d, "code_chunks").select("id", "git_project_identifier", "file_path", "content", "embedding", "indexed_at")
+    c = dml.exclusive(c, "id", "indexed_at")
     usable = vectors.fault(F.col("embedding"), 64).isNull()
     q = [float(x) for x in c.filter(usable).orderBy("id").select("embedding").first()["embedding"]]
     near = vector_search.search(c.filter(usable), q, "id", limit=200).select("git_project_identifier", "file_path")
@@ -795,3 +857,95 @@ def chunk_resplit(spark, d):
 @query()
 def frontmatter(spark, d):
     return extraction.frontmatter(t(spark, d, "dual_documents").filter("document_type = 'md'").select("id", "content").distinct(), "id", "content")
+
+
+@query()
+def chunk_code(spark, d):
+    """Files by their definitions."""
+    c = dml.exclusive(t(spark, d, "code_chunks").select("id", "indexed_at", "git_project_identifier", "file_path", "chunk_index", "content"), "id", "indexed_at")
+    files = c.groupBy("git_project_identifier", "file_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", F.coalesce("content", F.lit("")).alias("content")))), lambda x: x["content"]), "").alias("code"))
+    return chunkers.chunked_code(files, "file_path", "code").select("file_path", "chunk_index", "chunk_count", F.md5("chunk").alias("chunk_hash"))
+
+
+@query()
+def chunk_markdown_naive(spark, d):
+    return chunkers.chunked(t(spark, d, "dual_documents").filter("document_type = 'md'").select("id", "content").distinct(), "id", "content", lambda s: [c for *_, c in chunkers.naive_markdown_chunks(s)])
+
+
+@query("SELECT collection, file_path, count(*) AS chunks, min(filename) AS filename FROM dual_documents GROUP BY 1, 2 ORDER BY coalesce(min(filename), collection || '/' || file_path), collection, file_path LIMIT 25 OFFSET 50")
+def items_page(spark, d):
+    """The third page of a listing by name."""
+    return listings.page_of_items(t(spark, d, "dual_documents"), ["collection", "file_path"], 25, 50)
+
+
+@query("SELECT git_project_identifier, count(*) AS chunks, count(DISTINCT file_path) AS items FROM code_chunks GROUP BY 1")
+def items_by_project(spark, d):
+    return listings.distinct_items(t(spark, d, "code_chunks"), ["git_project_identifier"])
+
+
+@query(f"{_FCD} SELECT collection, file_path, conflicting_counts FROM c WHERE conflicting_counts")
+def conflicting_counts(spark, d):
+    return _complete(spark, d).filter("conflicting_counts").select("collection", "file_path", "conflicting_counts")
+
+
+@query("""WITH o AS (SELECT DISTINCT ON (entry_id) entry_id, command_name, duration_ms FROM interaction_log ORDER BY entry_id, received_at DESC NULLS LAST) SELECT command_name, count(*) AS n,
+quantile_disc(duration_ms, 0.5)::BIGINT AS p50_ms, quantile_disc(duration_ms, 0.9)::BIGINT AS p90_ms, quantile_disc(duration_ms, 0.99)::BIGINT AS p99_ms FROM o WHERE duration_ms >= 0 GROUP BY 1""")
+def latency_percentiles(spark, d):
+    return listings.latencies(dml.exclusive(t(spark, d, "interaction_log"), "entry_id", "received_at"), ["command_name"])
+
+
+@query("""WITH l AS (SELECT DISTINCT source_hash AS file_hash, file_path FROM code_chunks WHERE git_branch = 'main' AND source_hash IS NOT NULL), n AS (SELECT DISTINCT source_hash AS file_hash, file_path FROM code_chunks WHERE git_branch <> 'main' AND source_hash IN (SELECT file_hash FROM l))
+SELECT file_hash, file_path FROM l UNION SELECT file_hash, file_path FROM n""")
+def alternate_paths(spark, d):
+    """The worktrees' paths as further places of contents that main has."""
+    c = t(spark, d, "code_chunks").filter("source_hash is not null").select(F.col("source_hash").alias("file_hash"), "file_path", "git_branch", F.lit(None).cast("string").alias("quick_hash")).distinct()
+    main, other = c.filter("git_branch = 'main'").drop("git_branch").distinct(), c.filter("git_branch <> 'main'").drop("git_branch").distinct()
+    return dml.add_locations(main, other).select("file_hash", "file_path")
+
+
+@query("""WITH s AS (SELECT DISTINCT id, file_path FROM dual_documents), g AS (SELECT file_path, count(*) AS n FROM s GROUP BY 1), h AS (SELECT file_path, count(*) AS m FROM s WHERE id NOT LIKE '%7' GROUP BY 1)
+SELECT id, file_path FROM s JOIN g USING (file_path) LEFT JOIN h USING (file_path) WHERE coalesce(m, 0) <> n""")
+def back_fill_rows(spark, d):
+    """What a second store lacks that has lost some rows: whole files."""
+    s = t(spark, d, "dual_documents").select("id", "file_path").distinct()
+    return sync.back_fill(s, s.filter("id not like '%7'"), ["file_path"])
+
+
+@query("""WITH a AS (SELECT collection, file_path, count(*) AS l FROM (SELECT DISTINCT id, collection, file_path FROM dual_documents) GROUP BY 1, 2), b AS (SELECT collection, file_path, max(chunk_count)::BIGINT AS r FROM file_manifests GROUP BY 1, 2),
+p AS (SELECT coalesce(a.collection, b.collection) AS collection, coalesce(l, 0) AS l, coalesce(r, 0) AS r, l IS NULL AS nl, r IS NULL AS nr FROM a FULL JOIN b ON a.collection = b.collection AND a.file_path = b.file_path)
+SELECT collection, count(*) FILTER (l = r AND NOT nl AND NOT nr) AS synced, count(*) FILTER (l <> r AND NOT nl AND NOT nr) AS mismatch, count(*) FILTER (nr) AS left_only, count(*) FILTER (nl) AS right_only,
+CASE WHEN sum(r) = 0 THEN 'right missing' WHEN sum(l) = 0 THEN 'left missing' WHEN count(*) FILTER (l <> r OR nl OR nr) = 0 THEN 'in parity' ELSE 'out of parity' END AS state FROM p GROUP BY 1""")
+def parity_all_corpora(spark, d):
+    left = t(spark, d, "dual_documents").select("id", "collection", "file_path").distinct()
+    m = t(spark, d, "file_manifests").groupBy("collection", "file_path").agg(F.max("chunk_count").alias("n"))
+    return sync.parity_by_corpus(left, m.select("collection", "file_path", F.explode(F.sequence(F.lit(1), "n")).alias("i")), "collection", "file_path")
+
+
+@query("""WITH h AS (SELECT git_project_identifier, max(git_commit_hash) AS c FROM code_chunks GROUP BY 1) SELECT p.git_project_identifier, git_remote_url IS NOT NULL AND coalesce(git_commit_hash = c, false) AS skip FROM git_projects p LEFT JOIN h USING (git_project_identifier)""")
+def git_fast_path(spark, d):
+    """A project with a remote stands for one with clean files."""
+    p = t(spark, d, "git_projects").select("git_project_identifier", "git_commit_hash", F.col("git_remote_url").isNotNull().alias("clean"))
+    return sync.fast_path(p, t(spark, d, "code_chunks"))
+
+
+@query("SELECT v.collection, v.file_path, coalesce(v.page_count, max(d.page_count))::INT AS page_count FROM file_verifications v LEFT JOIN dual_documents d ON d.collection IS NOT DISTINCT FROM v.collection AND d.file_path = v.file_path GROUP BY v.collection, v.file_path, v.page_count")
+def page_count_fallback(spark, d):
+    v = t(spark, d, "file_verifications").select("collection", "file_path", "page_count")
+    return sync.page_counts(v, t(spark, d, "dual_documents"), ["collection", "file_path"])
+
+
+@query("SELECT file_path, sum(n)::BIGINT AS chunk_count FROM (SELECT file_path, CASE WHEN length(content) > 0 THEN (length(content) - 1) // 400 + 1 ELSE 0 END AS n FROM dual_documents) GROUP BY 1 HAVING sum(n) > 0")
+def stream_incremental_ingest(spark, d):
+    """All rows as a stream of files, in micro-batches of one: cut into chunks, published, then read as a table."""
+    rows = t(spark, d, "dual_documents").select("file_path", F.col("content").alias("text"))
+    to = f"{shared_dir(spark)}/quillspark/stream-{uuid.uuid4().hex}"
+    rows.repartition(4, "file_path").write.parquet(f"{to}/arriving")
+    done = ingest.ingest(spark, f"{to}/arriving", rows.schema, lambda b: chunkers.fixed_windows(b, "file_path", "text", 400, 0), f"{to}/chunks", f"{to}/manifests", f"{to}/checkpoint", files_per_trigger=1)
+    done.awaitTermination()
+    return spark.read.parquet(f"{to}/manifests").select("file_path", "chunk_count")
+
+
+@query()
+def model_catalogue(spark, d):
+    """The registry of embedding models with tiers, chunk sizes and batch hints."""
+    return records.model_tiers(records.chunk_sizing(embed.catalogue(spark)))

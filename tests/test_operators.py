@@ -277,3 +277,148 @@ def test_written_tables_can_be_cleaned(spark):
     path = df.inputFiles()[0]
     assert df.count() == 5 and session.clean(spark) >= 1
     assert not spark._jvm.java.io.File(path.removeprefix("file:")).exists()
+
+
+def test_phases_over_many_ranges_equal_one_order(spark):
+    import random
+
+    r = random.Random(2)
+    times = [None if r.random() < 0.3 else r.uniform(0, 10) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(times)), "k int, at double")
+    got = [(x["phase"], x["segment"]) for x in sync.phases(df, F.lit(7.0), F.lit(3.0), "at", "k").orderBy("k").collect()]
+    name = lambda t: None if t is None else "arrived" if t > 7 else "covered" if t >= 3 else "backlog"
+    run = next(name(t) for t in times if t is not None)
+    want, n = [], 0
+    for t in times:
+        p = name(t) or run
+        n += p != run
+        run = p
+        want.append((p, n))
+    assert got == want
+    assert [tuple(x)[2:] for x in sync.phases(df.filter("k < 5").withColumn("at", F.lit(None).cast("double")), F.lit(7.0), F.lit(3.0), "at", "k").collect()] == [("arrived", 0)] * 5
+
+
+def test_cell_index_recall_and_odd_vectors(spark, tmp_path):
+    import numpy as np
+
+    from quillspark.operators import vector_index
+
+    r = np.random.default_rng(0)
+    centres = r.normal(size=(40, 16))
+    x = centres[r.integers(0, 40, 3000)] + 0.4 * r.normal(size=(3000, 16))
+    rows = [(i, v.tolist(), "c") for i, v in enumerate(x)] + [(9001, None, "c"), (9002, [0.0] * 16, "c"), (9003, [1.0], "c"), (9004, [None] * 16, "c")]
+    df = spark.createDataFrame(rows, "id int, v array<double>, cell string")  # a clashing column
+    index = vector_index.CellIndex.build(df, "id", "v", f"file://{tmp_path}/i")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = n = 0
+    for q in range(0, 3000, 250):
+        got = {row["id"] for row in index.search(x[q].tolist(), 10).collect()}
+        hit += len(got & set(np.argsort(-(u @ u[q]))[:10].tolist()))
+        n += 10
+    assert hit / n >= 0.9 and spark.read.parquet(f"file://{tmp_path}/i/vectors").count() == 3000
+    empty = vector_index.CellIndex.build(df.limit(0), "id", "v", f"file://{tmp_path}/e")
+    assert empty.size == 0 and empty.search([1.0] * 16).count() == 0
+
+
+def test_search_by_index_equals_search_by_scan(spark, tmp_path):
+    texts = ["alpha beta gamma", "gamma the alpha and beta", "alpha", None, "", "beta x x x x alpha x beta alpha", "the alpha the beta", "alphabet betas"]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "id int, content string, title string")
+    s = fulltext.index_settings("markdown") | {"searchable": ["content", "title"]}
+    index = fulltext.Index.build(df, "id", ["content", "title"], s["stop_words"], f"file://{tmp_path}/i")
+    for q in ("alpha beta", '"alpha beta"', '"the alpha" beta', "beta", "alpah", '"the"', "gamma alpha beta", "nothing"):
+        for where in (None, F.col("id") != 0):
+            a, b = ([tuple(r) for r in fulltext.search(df, "id", q, s, where, index=i).collect()] for i in (None, index))
+            assert a == b, q
+    r = {x["id"]: x["proximity"] for x in fulltext.search(df, "id", "alpha beta", s, index=index).collect()}
+    assert r[0] == 1 and r[1] == 2 and r[5] == 1
+    assert fulltext.estimated_total(df, "id", "beta", s, index=index).first()["estimated_total"] == 5
+    with pytest.raises(ValueError):
+        fulltext.filterable(s, ["filename", "colour"])
+
+
+JS = """// A tool for { braces }.
+import x from 'y';
+
+export class Store extends Base {
+  #a = 1;
+  constructor(b) { super(); this.b = b; }
+
+  async read(key, { deep = true } = {}) {
+    if (key) { return `{${key}}`; }
+    return null;
+  }
+}
+
+function alone(a) {
+  const inner = (q) => { return q; };
+  return inner(a) + "}";
+}
+
+export const arrow = async (v) => {
+  return v;
+};
+let plain = 3;
+"""
+GO = """package a
+
+type S struct {
+\tA int
+}
+
+func (s *S) Close() error {
+\treturn nil // }
+}
+
+func Free(n int) string { return "{" }
+"""
+PY = "import os\n\n\n# about f\n@deco\ndef f(x):\n    return x\n\n\nclass A:\n    def m(self):\n        return 1\n\n    def n(self):\n        return 2\n"
+
+
+def test_definitions_of_brace_languages():
+    got = [(q, k, a, b) for _, q, k, a, b, _ in chunkers.definitions("a.js", JS)]
+    assert ("Store", "class", 4, 12) in got and ("Store.constructor", "method", 6, 6) in got and ("Store.read", "method", 8, 11) in got
+    assert ("alone", "function", 14, 17) in got and ("arrow", "function", 19, 21) in got and got[-1][1] == "module"
+    assert [(q, k, a, b) for _, q, k, a, b, _ in chunkers.definitions("a.go", GO)] [:3] == [("S", "class", 3, 5), ("S.Close", "method", 7, 9), ("Free", "function", 11, 11)]
+    java = "class C {\n  int f(int a) {\n    for (;;) { g(); }\n  }\n  abstract void h();\n}\n"
+    assert [(q, k, a, b) for _, q, k, a, b, _ in chunkers.definitions("C.java", java)] [:2] == [("C", "class", 1, 6), ("C.f", "method", 2, 4)]
+    assert chunkers.definitions("x.js", "function broken() {")[0][2] == "module" and chunkers.definitions("x.txt", "words")[0][2] == "module"
+    import time
+
+    began = time.time()
+    chunkers.definitions("x.js", "function f\n" * 20_000)
+    assert time.time() - began < 5
+
+
+def test_code_chunks_keep_definitions_whole():
+    body = "".join(f"def f{i}(x):\n    y = x + {i}\n    return y\n\n\n" for i in range(60))
+    for path, code in (("a.py", body), ("b.py", "class A:\n" + "".join("    " + x + "\n" if x else "\n" for x in body.split("\n"))), ("a.js", JS * 9), ("a.go", GO * 12), ("c.py", "def f(:\n" * 400), ("x.txt", "line\n" * 900), ("d.py", "x = 1\n")):
+        cs = chunkers.code_chunks(path, code, tokens=60, overlap=0)
+        kept = [x for c in cs for x in c.split("\n") if x.strip()]
+        assert kept == [x for x in code.split("\n") if x.strip()] and all(len(c) <= 60 * chunkers.CODE * (1 if path in ("a.py", "b.py") else 1.3) + 1 for c in cs), path
+    for c in chunkers.code_chunks("a.py", body, tokens=60):
+        assert c.lstrip("\n").startswith("def ") and c.rstrip("\n").endswith("return y")
+    assert chunkers.code_chunks("a.py", PY, tokens=400) == [PY]
+    assert chunkers.code_chunks("a.py", "") == [] and len(chunkers.code_chunks("a.py", body, by_lines=True)) > 1
+
+
+def test_naive_markdown_chunks():
+    text = "\n\n".join(f"Paragraph {i} " + "of words " * 30 for i in range(40))
+    got = chunkers.naive_markdown_chunks(text, 200, 20)
+    assert got[0][0] == 0 and got[-1][1] == len(text) and all(b - 66 == c or b - c <= 66 for (_, b, _), (c, _, _) in zip(got, got[1:]))
+    assert all(text[:e].endswith("\n\n") for _, e, _ in got[:-1]) and chunkers.naive_markdown_chunks("") == []
+
+
+def test_back_fill_and_parity_by_corpus(spark):
+    a = spark.createDataFrame([("c", "x", 1), ("c", "x", 2), ("c", "y", 3), ("d", "z", 4), (None, "n", 5)], "corpus string, path string, id int")
+    b = spark.createDataFrame([("c", "x", 1), ("c", "y", 3), ("e", "w", 9)], "corpus string, path string, id int")
+    assert sorted(r["id"] for r in sync.filled(a, b, ["corpus", "path"]).collect()) == [1, 2, 3, 4, 5, 9]
+    states = {r["corpus"]: r["state"] for r in sync.parity_by_corpus(a, b, "corpus", "path").collect()}
+    assert states["c"] == "out of parity" and states["d"] == "right missing" and states["e"] == "left missing"
+
+
+def test_random_order_repeats(spark):
+    from quillspark.operators import ordering
+
+    df = spark.range(50)
+    one, two = ([r["id"] for r in df.repartition(n).orderBy(*ordering.shuffled(df, "id", 7)).collect()] for n in (2, 5))
+    assert one == two and one != sorted(one)

@@ -120,3 +120,31 @@ def test_embedder(spark):
     df = spark.createDataFrame([("the index",), ("index the",), ("",), (None,), ("other words",)], "t string").select(embed.embedder(size=16)(F.col("t")).alias("v"))
     v = [r["v"] for r in df.collect()]
     assert v[0] == v[1] and v[2] == v[3] == [0.0] * 16 and len(v[4]) == 16 and v[4] != v[0]
+
+
+def test_pointers_are_only_added_and_half_written_ones_are_passed_over(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.write("t", rows(spark))
+    half = tmp_path / "store" / "t" / "_at" / f"{2:012d}"
+    half.write_text('{"version": "v-x", "par')  # a writer died here
+    assert store.read("t").count() == 5
+    store.write("t", store.read("t").filter("id > 3"))
+    assert store.read("t").count() == 1 and store.vacuum("t") == 1 and store.read("t").count() == 1
+
+
+def test_a_change_writes_only_its_buckets(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    df = spark.range(200).selectExpr("cast(id as string) as k", "id")
+    store.write_buckets("b", df, "k", 8)
+    one = store.touched(spark.createDataFrame([("7",)], "k string"), "k", 8)
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "store" / "b").rglob("*.parquet")}
+    before = files()
+    part = store.read("b", one)
+    assert 0 < part.count() < 200
+    store.write_buckets("b", part.filter("k <> '7'"), "k", 8, one)
+    after = files()
+    assert store.read("b").count() == 199 and all(after[f] == t for f, t in before.items()) and 0 < len(set(after) - set(before)) <= 2
+    store.write_buckets("b", part.limit(0), "k", 8, list(range(8)))
+    assert store.read("b").count() == 0 and store.read("b").columns == ["k", "id"]
+    store.vacuum("b")
+    assert store.read("b").count() == 0
