@@ -35,10 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Where that is unset (tests on one machine) a temporary folder is made and set.
+    Where that is unset, on one machine (tests), a temporary folder is made and set; on a cluster it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="quillspark-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         where = "file://" + made

@@ -17,15 +17,21 @@ from ..operators.filters import glob_regex
 
 # Extensions by type of corpus, and what is left out.
 EXTENSIONS = {
-    "pdf": "pdf".split(),
-    "markdown": "md markdown".split(),
-    "code": "py js ts tsx jsx java go rs rb cpp c h hpp cs swift kt scala php pl sh bash zsh ps1 lua r sql graphql proto thrift yaml yml json xml html css scss less vue svelte".split(),
+    "pdf": ["pdf"],
+    "markdown": ["md", "markdown", "mdown", "mkd", "mkdn"],
+    "code": [
+        "py", "js", "ts", "tsx", "jsx", "java", "go", "rs", "rb", "cpp", "c", "h", "hpp", "cs", "swift", "kt", "scala", "php", "pl", "sh", "bash",
+        "zsh", "ps1", "lua", "r", "sql", "graphql", "proto", "thrift", "yaml", "yml", "json", "xml", "html", "css", "scss", "less", "vue",
+        "svelte",
+    ],
 }
-EXCLUDED_NAMES = (
-    "*.min.js *.min.css *-min.js *-min.css *-search-index.js *-search-index.json search-index.js search-index.json *.bundle.js *.bundle.css *-bundle.js *-bundle.css *.map *.js.map *.css.map "
-    "*_generated.go *.generated.go zz_generated_*.go zz_generated.*.go *_generated.py *.pb.go *_pb2.py *_pb2_grpc.py *.gen.go *.gen.ts generated.ts generated.js"
-).split()
-EXCLUDED_FOLDERS = "javadoc jsdoc apidocs node_modules vendor dist build".split()
+EXCLUDED_NAMES = [
+    "*.min.js", "*.min.css", "*-min.js", "*-min.css", "*-search-index.js", "*-search-index.json", "search-index.js", "search-index.json",
+    "*.bundle.js", "*.bundle.css", "*-bundle.js", "*-bundle.css", "*.map", "*.js.map", "*.css.map", "*_generated.go", "*.generated.go",
+    "zz_generated_*.go", "zz_generated.*.go", "*_generated.py", "*.pb.go", "*_pb2.py", "*_pb2_grpc.py", "*.gen.go", "*.gen.ts", "generated.ts",
+    "generated.js",
+]
+EXCLUDED_FOLDERS = ["javadoc", "jsdoc", "apidocs", "node_modules", "vendor", "dist", "build"]
 LONGEST_LINE = 5000
 
 
@@ -45,18 +51,6 @@ def longest_line(text: Column, chars: int = 65_536) -> Column:
     return F.array_max(F.transform(F.split(F.substring(text, 1, chars), "\n"), F.length))
 
 
-def discover(spark: SparkSession, folder: str, kind: str, extensions: list[str] | None = None, contents: bool = True) -> DataFrame:
-    """(file_path, mtime, size, content) of a corpus type's files below a folder; scripts of one endless line are left out."""
-    ext = extensions or EXTENSIONS[kind]
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(ext) + "}").load(folder)
-    df = df.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
-    df = df.filter(kept(F.col("file_path"), folder))
-    if kind == "code":
-        script = paths.extension(F.col("file_path")).isin("js", "css", "jsx", "ts")
-        df = df.filter(~script | (longest_line(F.col("content").cast("string")) <= LONGEST_LINE))
-    return df if contents else df.drop("content")
-
-
 @F.pandas_udf(T.BooleanType())
 def is_text(head: pd.Series) -> pd.Series:
     """Of a file's first 8 KiB: not empty, no NUL, fewer than a tenth control bytes."""
@@ -69,6 +63,26 @@ def is_text(head: pd.Series) -> pd.Series:
     return head.map(one)
 
 
+def discover(spark: SparkSession, folder: str, kind: str, extensions: list[str] | None = None, contents: bool = True, tracked: DataFrame | None = None) -> DataFrame:
+    """(file_path, mtime, size, content) of a corpus type's files below a folder.
+
+    Left out are, but for PDF, files that are no text, and scripts of one endless line. ``tracked`` (file_path), as of
+    ``git_files``, limits the files to those under version control.
+    """
+    ext = extensions or EXTENSIONS[kind]
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(ext) + "}").load(folder)
+    df = df.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+    df = df.filter(kept(F.col("file_path"), folder))
+    if tracked is not None:
+        df = df.join(tracked.select("file_path").distinct(), "file_path", "left_semi")
+    if kind != "pdf":
+        df = df.filter(is_text(F.substring("content", 1, 8192)))
+    if kind == "code":
+        script = paths.extension(F.col("file_path")).isin("js", "css", "jsx", "ts")
+        df = df.filter(~script | (longest_line(F.col("content").cast("string")) <= LONGEST_LINE))
+    return df if contents else df.drop("content")
+
+
 def ordered(files: DataFrame, by: str = "path") -> DataFrame:
     """By path, newest or oldest first; files without time come last, ties by path."""
     return {"path": files.orderBy("file_path"), "newest": files.orderBy(F.col("mtime").desc_nulls_last(), "file_path"), "oldest": files.orderBy(F.col("mtime").asc_nulls_last(), "file_path")}[by]
@@ -194,3 +208,24 @@ def log_tail(spark: SparkSession, at: str, n: int = 50) -> DataFrame:
 
 def log_append(entries: DataFrame, to: str) -> None:
     entries.write.mode("append").json(to)
+
+
+def git_changed(root: str, since: str, until: str = "HEAD") -> list[tuple[str, str, str | None]]:
+    """(status, path, old path of a rename) of the files that changed between two commits: A, M, D or R."""
+    out, parts = [], (_git(root, "diff", "--name-status", "-M", "-z", since, until) or "").split("\0")
+    it = iter(parts)
+    for status in it:
+        if not status:
+            continue
+        path = next(it)
+        if status[0] in "RC":
+            out.append((status[0], os.path.join(root, next(it)), os.path.join(root, path)))
+        else:
+            out.append((status[0], os.path.join(root, path), None))
+    return out
+
+
+def git_clean(root: str) -> bool:
+    """Whether no tracked file differs from the commit."""
+    r = subprocess.run(["git", "-C", root, "status", "--porcelain", "--untracked-files=no"], capture_output=True, text=True, timeout=60, check=False)
+    return r.returncode == 0 and not r.stdout.strip()

@@ -148,3 +148,22 @@ def test_a_change_writes_only_its_buckets(spark, tmp_path):
     assert store.read("b").count() == 0 and store.read("b").columns == ["k", "id"]
     store.vacuum("b")
     assert store.read("b").count() == 0
+
+
+def test_discovery_takes_text_under_version_control(spark, tmp_path):
+    import subprocess
+
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / "b.py").write_bytes(b"a\0b")
+    (tmp_path / "c.py").write_text("y = 2\n")
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.email=a@b", "-c", "user.name=n", *a], check=True, capture_output=True)
+    git("init", "-q"), git("add", "a.py", "b.py"), git("commit", "-qm", "one")
+    names = lambda df: sorted(r["file_path"].rsplit("/", 1)[-1] for r in df.collect())
+    tracked = spark.createDataFrame([(p,) for p in discovery.git_files(str(tmp_path))], "file_path string")
+    assert names(discovery.discover(spark, str(tmp_path), "code")) == ["a.py", "c.py"] and names(discovery.discover(spark, str(tmp_path), "code", tracked=tracked)) == ["a.py"]
+    assert discovery.git_clean(str(tmp_path))
+    (tmp_path / "a.py").write_text("x = 3\n")
+    assert not discovery.git_clean(str(tmp_path))
+    git("mv", "b.py", "d.py"), git("commit", "-qam", "two")
+    changed = {(s, p.rsplit("/", 1)[-1], o and o.rsplit("/", 1)[-1]) for s, p, o in discovery.git_changed(str(tmp_path), "HEAD~1")}
+    assert changed == {("M", "a.py", None), ("R", "d.py", "b.py")}
