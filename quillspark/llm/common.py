@@ -64,14 +64,14 @@ FEW_KEYS = 200_000
 
 
 def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """One row per key: the one with the latest ``at`` (of equal ones any; a null ``at`` is the earliest).
+    """One row per key: the one with the latest ``at`` (of equal ones any; a null ``at`` is the earliest). Rows without key stay as they are.
 
     Only two narrow columns are shuffled to find the keys that repeat, and then only those keys' rows; the other
     rows pass where they are, by a join against the repeated keys, which are counted before they are broadcast.
     """
-    seen = materialise(df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_key")), "repeated")
+    seen = materialise(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_key")), "repeated")
     few = F.broadcast(seen) if seen.count() <= FEW_KEYS else seen
-    same = df[key].eqNullSafe(few["_key"])
+    same = df[key] == few["_key"]
     w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last())
     again = df.join(few, same, "left_semi").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     return df.join(few, same, "left_anti").unionByName(again)

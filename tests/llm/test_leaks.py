@@ -21,11 +21,11 @@ def test_passages_of_any_place_and_length(spark):
     assert rows(leaks.leaked_items(d, i)) == [(1, 100), (3, 100), (7, 100), (8, 100)]
 
 
-def test_blocks_of_items_give_the_same(spark):
+def test_full_bitmaps_let_more_through_and_give_the_same(spark):
     items = [(k, " ".join(f"i{k}x{j}" for j in range(20))) for k in range(30)]
     docs = [(k, "pad " * k + items[k % 30][1] + " end") for k in range(60)]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    whole, parts = rows(leaks.leaked_items(d, i)), rows(leaks.leaked_items(d, i, block_chars=600))
+    whole, parts = rows(leaks.leaked_items(d, i)), rows(leaks.leaked_items(d, i, band_bits=6, passage_bits=7))
     assert whole == parts and len(whole) == 60
 
 
