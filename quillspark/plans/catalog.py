@@ -17,7 +17,9 @@ from ..operators import chunkers, dml, extraction, filters, fulltext, integrity,
 from ..session import shared_dir
 from ..session import table as t
 from ..sources import exchange
+from ..sources.store import Store
 from ..streaming import ingest
+from . import corpus
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -883,9 +885,15 @@ def items_by_project(spark, d):
     return listings.distinct_items(t(spark, d, "code_chunks"), ["git_project_identifier"])
 
 
-@query(f"{_FCD} SELECT collection, file_path, conflicting_counts FROM c WHERE conflicting_counts")
+_FCB = _FC.format(k="git_project_identifier, file_path", t="(SELECT * REPLACE (CASE WHEN chunk_index = 0 AND git_branch = 'main' THEN chunk_count + 1 ELSE chunk_count END AS chunk_count) FROM code_chunks)")
+
+
+@query(f"{_FCB} SELECT git_project_identifier, file_path, expected_chunks, missing_indices FROM c WHERE conflicting_counts")
 def conflicting_counts(spark, d):
-    return _complete(spark, d).filter("conflicting_counts").select("collection", "file_path", "conflicting_counts")
+    """The first chunks of the main branches say one chunk more than the others do: the larger number counts."""
+    c = t(spark, d, "code_chunks").withColumn("chunk_count", F.when((F.col("chunk_index") == 0) & (F.col("git_branch") == "main"), F.col("chunk_count") + 1).otherwise(F.col("chunk_count")))
+    f = integrity.file_completeness(c, ["git_project_identifier", "file_path"]).filter("conflicting_counts")
+    return _joined(f.select("git_project_identifier", "file_path", "expected_chunks", "missing_indices"), "missing_indices")
 
 
 @query("""WITH o AS (SELECT DISTINCT ON (entry_id) entry_id, command_name, duration_ms FROM interaction_log ORDER BY entry_id, received_at DESC NULLS LAST) SELECT command_name, count(*) AS n,
@@ -949,3 +957,43 @@ def stream_incremental_ingest(spark, d):
 def model_catalogue(spark, d):
     """The registry of embedding models with tiers, chunk sizes and batch hints."""
     return records.model_tiers(records.chunk_sizing(embed.catalogue(spark)))
+
+
+# --- a corpus through its changes -------------------------------------------------------------------------------
+
+
+def _texts(spark, d):
+    """The markdown files as found: one text and one stamp each."""
+    m = dml.exclusive(t(spark, d, "dual_documents").filter("document_type = 'md'").select("id", "indexed_at", "file_path", "chunk_index", "content"), "id", "indexed_at")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "id", F.coalesce("content", F.lit("")).alias("content")))), lambda x: x["content"]), "\n\n")
+    return m.groupBy("file_path").agg(text.alias("text")).withColumn("quick_hash", F.md5("text"))
+
+
+@query("""WITH f AS (SELECT DISTINCT file_path FROM dual_documents WHERE document_type = 'md'), c AS (SELECT count(*) AS n, count(*) FILTER (file_path LIKE '%1%') AS ones, count(*) FILTER (file_path LIKE '%2%' AND file_path NOT LIKE '%1%') AS twos FROM f)
+SELECT 'first' AS step, 0::BIGINT AS renamed, 0::BIGINT AS pruned, n AS indexed, n AS found FROM c UNION ALL SELECT 'again', 0, 0, 0, n FROM c UNION ALL SELECT 'changed', 0, ones, twos, n - ones FROM c UNION ALL SELECT 'in the end', 0, 0, n - ones, n - ones FROM c""")
+def corpus_sync(spark, d):
+    """Counts of a first sync, one without changes, and one in which some files are gone and others changed; then what the manifests hold."""
+    c = corpus.Corpus(Store(spark, f"{shared_dir(spark)}/quillspark/corpus-{uuid.uuid4().hex}"), "notes")
+    c.create("markdown", buckets=8)
+    f = _texts(spark, d).cache()
+    folders = [r[0] for r in f.select(F.regexp_extract("file_path", "^(/[^/]*)", 1)).distinct().collect()]  # a handful of roots
+    steps = [("first", c.sync(f, folders)), ("again", c.sync(f, folders))]
+    other = F.col("file_path").contains("2")
+    later = f.filter(~F.col("file_path").contains("1")).withColumn("text", F.when(other, F.concat("text", F.lit("\n\nchanged "), "file_path")).otherwise(F.col("text"))).withColumn("quick_hash", F.md5("text"))
+    steps.append(("changed", c.sync(later, folders)))
+    f.unpersist()
+    n = c.manifests.count()
+    rows = [(s, x["renamed"], x["pruned"], x["indexed"], x["found"]) for s, x in steps] + [("in the end", 0, 0, n, c.manifests.select("file_path").distinct().count())]
+    return spark.createDataFrame(rows, "step string, renamed long, pruned long, indexed long, found long")
+
+
+@query("SELECT 'memory/' || item_id AS file_path, 1::BIGINT AS chunk_count FROM eval_items WHERE item_id IN (SELECT item_id FROM eval_items ORDER BY item_id LIMIT 3)")
+def corpus_inject(spark, d):
+    """Three short texts put into an empty corpus, one of them twice: the manifests tell them as any file."""
+    c = corpus.Corpus(Store(spark, f"{shared_dir(spark)}/quillspark/corpus-{uuid.uuid4().hex}"), "memory")
+    c.create("markdown", buckets=4)
+    rows = t(spark, d, "eval_items").orderBy("item_id").limit(3).collect()
+    for r in [*rows, rows[0]]:
+        c.inject(f"memory/{r['item_id']}", r["text"])
+    assert c.verify().filter("not is_complete").count() == 0
+    return c.manifests.select("file_path", "chunk_count")
