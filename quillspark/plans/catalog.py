@@ -19,7 +19,7 @@ from ..session import table as t
 from ..sources import exchange
 from ..sources.store import Store
 from ..streaming import ingest
-from . import corpus
+from . import corpus, pipelines
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -997,3 +997,39 @@ def corpus_inject(spark, d):
         c.inject(f"memory/{r['item_id']}", r["text"])
     assert c.verify().filter("not is_complete").count() == 0
     return c.manifests.select("file_path", "chunk_count")
+
+
+@query("""WITH p AS (SELECT git_project_identifier, git_branch FROM git_projects), h AS (SELECT DISTINCT git_project_identifier FROM code_chunks)
+SELECT git_project_identifier, 'index' AS first_run, CASE WHEN h.git_project_identifier IS NULL THEN 'index' WHEN git_branch = 'main' THEN 'update' ELSE 'skip' END AS second_run FROM p LEFT JOIN h USING (git_project_identifier)""")
+def pipeline_source_collection(spark, d):
+    """What two runs over all projects do, the second after the main branches have moved on."""
+    store = Store(spark, f"{shared_dir(spark)}/quillspark/source-{uuid.uuid4().hex}")
+    files = pipelines.files_of_chunks(t(spark, d, "code_chunks").filter("git_project_identifier is not null"))
+    heads = files.groupBy("git_project_identifier").agg(F.max("git_commit_hash").alias("git_commit_hash"))
+    projects = t(spark, d, "git_projects").select("git_project_identifier", "git_branch").join(heads, "git_project_identifier", "left")
+    first = pipelines.source_collection(store, "code", projects.drop("git_branch"), files, buckets=16)
+    moved = projects.withColumn("git_commit_hash", F.when(F.col("git_branch") == "main", F.lit("f" * 40)).otherwise(F.col("git_commit_hash"))).drop("git_branch")
+    second = pipelines.project_actions(moved, store, "code")
+    return first.select("git_project_identifier", F.col("action").alias("first_run")).join(second.withColumnRenamed("action", "second_run"), "git_project_identifier")
+
+
+@query()
+def pipeline_code_documents(spark, d):
+    """A document for each definition of every file."""
+    docs = pipelines.code_documents(pipelines.files_of_chunks(t(spark, d, "code_chunks")))
+    return docs.select("id", "file_path", "qualified_name", "code_type", "start_line", "end_line", F.md5("content").alias("content_hash"))
+
+
+@query(r"""WITH f AS (SELECT file_path, min(coalesce(file_hash, '')) AS h FROM dual_documents WHERE document_type = 'pdf' GROUP BY 1), p AS (SELECT DISTINCT id, file_path, page_number, content FROM dual_documents WHERE document_type = 'pdf' AND page_number IS NOT NULL),
+q AS (SELECT file_path, page_number, string_agg(coalesce(content, ''), E'\n' ORDER BY id) AS content FROM p GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY page_number) AS k FROM q)
+SELECT file_path, k AS page_number, md5(content) AS content_hash FROM n JOIN f USING (file_path) WHERE h NOT IN (SELECT min(coalesce(file_hash, '')) FROM dual_documents WHERE document_type = 'pdf' AND file_path LIKE '%1%' GROUP BY file_path) AND trim(content, E' ') <> ''""")
+def pipeline_page_documents(spark, d):
+    """Pages of the PDF files that are not indexed yet; those with a 1 in their path are."""
+    p = t(spark, d, "dual_documents").filter("document_type = 'pdf'")
+    hashes = p.groupBy("file_path").agg(F.min(F.coalesce("file_hash", F.lit(""))).alias("file_hash"))
+    pages = p.filter("page_number is not null").select("id", "file_path", "page_number", "content").distinct().groupBy("file_path", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("content", F.lit("")).alias("c")))), lambda x: x["c"]), "\n").alias("c"))
+    text = pages.groupBy("file_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "c"))), lambda x: x["c"]), "\f").alias("text"))
+    pdfs = text.join(hashes, "file_path").withColumn("ocr_confidence", F.lit(None).cast("double"))
+    known = hashes.filter(F.col("file_path").contains("1"))
+    done = pdfs.join(known.select("file_hash").distinct(), "file_hash", "left_semi").select("file_path", "file_hash")
+    return pipelines.page_documents(pdfs, done).select("file_path", F.col("page_number").cast("long").alias("page_number"), F.md5("content").alias("content_hash"))
