@@ -26,6 +26,11 @@ SQL["p3_found"] = f"""WITH s AS ({_grams('dual_documents', 'id', 'content', 3, 2
 SELECT id_a, id_b FROM p JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE c >= 0.5 * (a.n + b.n - c)"""
 
 
+#: By brute force. With as few rows as here the operator's blocks hold all of them, so its result is exact.
+SQL["p2_found"] = """WITH e AS (SELECT DISTINCT ON (id) id, embedding FROM code_chunks ORDER BY id, indexed_at DESC NULLS LAST), v AS (SELECT id, embedding::DOUBLE[] AS v FROM e WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+r AS (SELECT a.id, b.id AS neighbour_id, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC) AS k FROM v a JOIN v b ON a.id <> b.id) SELECT id, neighbour_id FROM r WHERE k <= 10"""
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f

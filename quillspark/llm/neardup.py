@@ -214,12 +214,18 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
     return Pairs(exact, feats.select("node", F.col("_k").alias(key)))
 
 
-def similar_pairs(found: Pairs, key: str) -> DataFrame:
-    """(<key>_a, <key>_b), a < b: every two rows above the threshold, copies included; distinct, as keys are."""
+def similar_pairs(found: Pairs, key: str, hold: int = 1_000) -> DataFrame:
+    """(<key>_a, <key>_b), a < b: every two rows above the threshold, copies included; distinct, as keys are.
+
+    The rows of a node that stands for more than ``hold`` are dealt over so many tasks, each of which has all of them on one side.
+    """
     m = found.members
     x, y = m.select(F.col("node").alias("a"), F.col(key).alias("ka")), m.select(F.col("node").alias("b"), F.col(key).alias("kb"))
     across = found.pairs.join(x, "a").join(y, "b").select("ka", "kb")
-    within = x.join(y, (F.col("a") == F.col("b")) & (F.col("ka") < F.col("kb"))).select("ka", "kb")
+    copies = m.join(m.groupBy("node").agg(F.ceil(F.count("*") / hold).cast("int").alias("_ways"), F.count("*").alias("_n")).filter("_n > 1"), "node")
+    dealt = copies.select("node", F.pmod(F.xxhash64(key), F.col("_ways")).cast("int").alias("_s"), F.col(key).alias("ka"))
+    every = copies.select("node", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("_s"), F.col(key).alias("kb"))
+    within = dealt.join(every, ["node", "_s"]).filter("ka < kb").select("ka", "kb")
     return across.unionByName(within).select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))
 
 

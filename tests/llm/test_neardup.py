@@ -51,6 +51,12 @@ def test_hot_buckets_lose_nothing(spark):
     assert got == pairs(find(spark, rows)) and set(exact(rows, 0.58)) <= set(got)
 
 
+def test_many_copies_are_dealt_over_tasks(spark):
+    rows = [*corpus(2, 2, 3), *[(f"copy{i:02d}", corpus(2, 2, 3)[0][1]) for i in range(30)]]
+    found = find(spark, rows)
+    assert sorted(map(tuple, nd.similar_pairs(found, "id", hold=4).collect())) == exact(rows)
+
+
 def test_exact_check_without_broadcast(spark):
     rows = corpus(5, 4, 3)
     assert pairs(find(spark, rows, verify_broadcast=0)) == exact(rows)
