@@ -118,3 +118,13 @@ def text_hash(text: pd.Series) -> pd.Series:
     import xxhash
 
     return pd.Series([None if t is None else xxhash.xxh3_128_hexdigest(t.replace("\r\n", "\n").replace("\r", "\n")) for t in text])
+
+
+def unix_ms(at: Column) -> Column:
+    """Milliseconds since 1970, as stamps of files have them."""
+    return F.unix_millis(at.cast("timestamp"))
+
+
+def iso_time(at: Column) -> Column:
+    """A time to the second with Z, in the session's zone, which should be UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -86,3 +86,10 @@ def latencies(log: DataFrame, keys: list[str], duration: str = "duration_ms", sh
     """Order statistics of the durations per group, at ceil(share * n); null and negative durations are left out."""
     ok = log.filter(F.col(duration) >= 0)
     return ok.groupBy(*keys).agg(F.count("*").alias("n"), *[F.expr(f"percentile_disc({x}) within group (order by {duration})").cast("long").alias(f"p{round(x * 100)}_ms") for x in shares])
+
+
+def store_statistics(rows: DataFrame, path: str = "file_path", project: str = "git_project_identifier", size: str = "file_size") -> DataFrame:
+    """Rows, files, projects and bytes of a store; a file's size counts once."""
+    files = rows.groupBy(path).agg(F.count("*").alias("n"), F.max(size).alias("size"))
+    counted = files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count_if(F.col(path).isNotNull()).alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("n_bytes"))
+    return counted.join(F.broadcast(rows.agg(F.countDistinct(project).alias("n_projects"))), F.lit(True))  # two single rows

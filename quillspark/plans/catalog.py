@@ -958,10 +958,17 @@ def stream_incremental_ingest(spark, d):
     return spark.read.parquet(f"{to}/manifests").select("file_path", "chunk_count")
 
 
-@query()
+_MODELS = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) if isinstance(v, str) else str(v) for v in row) + ")" for row in embed.REGISTRY)
+
+
+@query(f"""WITH m(key, name, dimensions, backend, max_seq_length, params_billions, task) AS (VALUES {_MODELS}), n AS (SELECT *, backend = 'sentence-transformers' AS late, CASE WHEN backend = 'sentence-transformers' AND dimensions >= 1024 THEN 768 WHEN backend = 'sentence-transformers' THEN 512 ELSE 460 END AS size FROM m)
+SELECT key, name, late AS late_chunking, size AS chunk_size, greatest(1, (floor(size * 0.15 / 23) * 23)::INT) AS chunk_overlap, coalesce(max_seq_length, 8192) * 2 AS hard_limit_chars, CASE WHEN params_billions >= 5 THEN 8 WHEN params_billions >= 1 THEN 16 WHEN params_billions >= 0.3 THEN 32 ELSE 128 END AS batch_size,
+CASE WHEN params_billions >= 5 THEN 'very-high' WHEN params_billions >= 1 THEN 'high' WHEN params_billions >= 0.3 THEN 'medium' ELSE 'low' END AS risk,
+CASE WHEN key = 'stella' THEN 'deprecated' WHEN task IS NOT NULL THEN 'stable-default' WHEN backend = 'fastembed' THEN 'stable' WHEN params_billions >= 1 THEN 'gpu-opt-in' ELSE 'opt-in' END AS support FROM n""")
 def model_catalogue(spark, d):
     """The registry of embedding models with tiers, chunk sizes and batch hints."""
-    return records.model_tiers(records.chunk_sizing(embed.catalogue(spark)))
+    m = records.model_tiers(records.chunk_sizing(embed.catalogue(spark)))
+    return m.select("key", "name", "late_chunking", "chunk_size", "chunk_overlap", "hard_limit_chars", "batch_size", "risk", "support")
 
 
 # --- a corpus through its changes -------------------------------------------------------------------------------
@@ -1038,3 +1045,144 @@ def pipeline_page_documents(spark, d):
     known = hashes.filter(F.col("file_path").contains("1"))
     done = pdfs.join(known.select("file_hash").distinct(), "file_hash", "left_semi").select("file_path", "file_hash")
     return pipelines.page_documents(pdfs, done).select("file_path", F.col("page_number").cast("long").alias("page_number"), F.md5("content").alias("content_hash"))
+
+
+# --- small functions over whole tables ---------------------------------------------------------------------------
+
+
+def _blank(x: str) -> str:
+    return _BLANK.replace("text", x)
+
+
+def _once(spark, d, *cols: str):
+    """Distinct rows of dual_documents."""
+    return t(spark, d, "dual_documents").select(*cols).distinct()
+
+
+@query(f"""SELECT id, md5(CASE WHEN {_blank("title")} THEN coalesce(content, '') WHEN {_blank("content")} THEN title ELSE content || E'\\n\\n[OCR fallback text]\\n\\n' || title END) AS merged,
+CASE WHEN {_blank("title")} THEN 'ocr_failed_no_text' WHEN {_blank("content")} THEN 'ocr_only_empty_extraction' ELSE 'append_ocr_to_extracted_text' END AS strategy FROM (SELECT DISTINCT id, content, title FROM dual_documents)""")
+def ocr_merge(spark, d):
+    """The titles stand for what OCR found."""
+    c = _once(spark, d, "id", "content", "title")
+    return c.select("id", F.md5(extraction.merged_text(F.col("content"), F.col("title"))).alias("merged"), extraction.merge_strategy(F.col("content"), F.col("title")).alias("strategy"))
+
+
+@query("SELECT id, content IS NULL OR coalesce(starts_with(sha256(content), substring(sha256(content), 1, 16)), false) AS own, CASE WHEN content IS NULL THEN true ELSE coalesce(starts_with(sha256(content), source_hash), false) END AS of_file FROM (SELECT DISTINCT id, content, source_hash FROM code_chunks)")
+def source_hash_match(spark, d):
+    """A chunk's own short hash fits it; the hash of its file fits where the chunk is the file."""
+    c = t(spark, d, "code_chunks").select("id", "content", "source_hash").distinct()
+    return c.select("id", extraction.matches_source(paths.short_hash(F.col("content")), F.col("content")).alias("own"), extraction.matches_source(F.col("source_hash"), F.col("content")).alias("of_file"))
+
+
+@query("SELECT doc_id, substring(sha256(text), 1, 16) AS h FROM documents")
+def short_hashes(spark, d):
+    return _docs(spark, d).select("doc_id", paths.short_hash(F.col("text")).alias("h"))
+
+
+@query("SELECT id, CASE WHEN ocr_confidence - 70 >= 0 THEN ocr_confidence - 70 END AS confidence FROM (SELECT DISTINCT id, ocr_confidence FROM dual_documents)")
+def ocr_confidence_clean(spark, d):
+    c = _once(spark, d, "id", "ocr_confidence")
+    return c.select("id", extraction.confidence((F.col("ocr_confidence") - 70).cast("string")).alias("confidence"))
+
+
+@query("SELECT entry_id, CASE WHEN v <> 'true' AND regexp_full_match(v, '[0-9]+') THEN v::BIGINT END AS n FROM (SELECT DISTINCT entry_id, CASE WHEN entry_id % 3 = 0 THEN 'true' WHEN entry_id % 3 = 1 THEN (result_count - 3)::VARCHAR ELSE result_count::VARCHAR END AS v FROM interaction_log)")
+def count_field_parse(spark, d):
+    v = F.when(F.col("entry_id") % 3 == 0, "true").when(F.col("entry_id") % 3 == 1, (F.col("result_count") - 3).cast("string")).otherwise(F.col("result_count").cast("string"))
+    return t(spark, d, "interaction_log").select("entry_id", v.alias("v")).distinct().select("entry_id", records.count_field(F.col("v")).alias("n"))
+
+
+@query("SELECT language, CASE language WHEN 'markdown' THEN 'files' WHEN 'pdf' THEN 'documents' WHEN 'code' THEN 'repositories' ELSE 'unknown' END AS unit, count(DISTINCT file_path) AS items FROM dual_documents GROUP BY 1")
+def item_units(spark, d):
+    return t(spark, d, "dual_documents").groupBy("language", records.item_unit(F.col("language")).alias("unit")).agg(F.countDistinct("file_path").alias("items"))
+
+
+_NWS = r"regexp_replace(regexp_replace(regexp_replace({0}, '[\t\x{{a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]', ' ', 'g'), '\n{{4,}}', E'\n\n\n', 'g'), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')"
+_NTX = r"regexp_replace(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), '[ \t]+\n', E'\n', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_NWS.format(_NTX)}) AS text_hash FROM documents")
+def normalize_text(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(tx.normalize_text(F.col("text"))).alias("text_hash"))
+
+
+@query("""SELECT id, CASE WHEN chunk_index IS NULL THEN file_path ELSE file_path || ':' || chunk_index || CASE WHEN line_count IS NOT NULL AND line_count <> chunk_index THEN '-' || line_count ELSE '' END || CASE WHEN has_functions THEN ' (main function)' ELSE '' END END AS location
+FROM (SELECT DISTINCT id, file_path, chunk_index, line_count, has_functions FROM code_chunks)""")
+def line_location(spark, d):
+    """A chunk's place stands for its first line, the number of lines for its last."""
+    c = t(spark, d, "code_chunks").select("id", "file_path", "chunk_index", "line_count", "has_functions").distinct()
+    return c.select("id", fulltext.location(F.col("file_path"), F.col("chunk_index"), F.col("line_count"), F.when(F.col("has_functions"), "main")).alias("location"))
+
+
+@query("SELECT DISTINCT file_path, programming_language, git_project_name, git_branch, chunk_index FROM code_chunks")
+def essential_fields(spark, d):
+    return records.essential(t(spark, d, "code_chunks")).distinct()
+
+
+@query("SELECT DISTINCT id, coalesce(schema_version, 1) AS schema_version, '9.1' AS app_version FROM dual_documents")
+def schema_stamp(spark, d):
+    return records.stamped(_once(spark, d, "id", "schema_version"), "9.1").distinct()
+
+
+@query("SELECT id, file_path, coalesce(page_number, -1)::INT AS page_number, coalesce(title, '') AS title FROM (SELECT DISTINCT id, file_path, page_number, title FROM dual_documents)")
+def payload_roundtrip(spark, d):
+    """Fields into payload objects, which leave out nulls, and back with defaults."""
+    c = _once(spark, d, "id", "file_path", "page_number", "title")
+    p = c.select("id", records.payload(c, ["file_path", "page_number", "title"]).alias("payload"))
+    return records.from_payload(p, "payload", "file_path string, page_number int, title string", {"page_number": -1, "title": ""})
+
+
+_SNIP = "CASE WHEN length(text) <= 200 THEN text WHEN instr(reverse(substring(text, 1, 200)), ' ') > 0 AND 200 - instr(reverse(substring(text, 1, 200)), ' ') > 160 THEN substring(text, 1, 200 - instr(reverse(substring(text, 1, 200)), ' ')) || '...' ELSE substring(text, 1, 200) || '...' END"
+
+
+@query(f"""WITH h AS (SELECT file_path AS location, text, n_chars / 100000.0::DOUBLE AS score FROM documents WHERE n_chars BETWEEN 300 AND 90000 ORDER BY n_chars DESC, doc_id LIMIT 8), n AS (SELECT *, row_number() OVER (ORDER BY score DESC, location) + 10 AS n FROM h)
+SELECT n::INT AS n, '[' || n || '] ' || floor(score * 100)::BIGINT || '% ' || location || E'\\n' || {_SNIP} AS line FROM n""")
+def rendered_hits(spark, d):
+    """The longest documents as a second page of results."""
+    hits = _docs(spark, d).filter("n_chars between 300 and 90000").orderBy(F.col("n_chars").desc(), "doc_id").limit(8)
+    return records.rendered(hits.select(F.col("file_path").alias("location"), F.col("text").alias("content"), (F.col("n_chars") / F.lit(100000.0)).alias("score")), offset=10)
+
+
+@query("""WITH o AS (SELECT label AS run, count(*)::DOUBLE AS throughput, label % 2 AS env FROM embeddings GROUP BY 1), n AS (SELECT label AS run, sum(vec_id % 10)::DOUBLE AS throughput, label % 4 AS env FROM embeddings GROUP BY 1)
+SELECT n.run, CASE WHEN n.env = o.env THEN 'compared' ELSE 'different' END AS status, CASE WHEN n.env = o.env THEN round(n.throughput / o.throughput, 3) END AS speed_up FROM n JOIN o USING (run)""")
+def benchmark_comparison(spark, d):
+    """Labels stand for runs; those whose environment differs are not compared."""
+    e = t(spark, d, "embeddings")
+    old = e.groupBy(F.col("label").alias("run")).agg(F.count("*").cast("double").alias("throughput")).withColumn("env", F.col("run") % 2)
+    new = e.groupBy(F.col("label").alias("run")).agg(F.sum(F.col("vec_id") % 10).cast("double").alias("throughput")).withColumn("env", F.col("run") % 4)
+    return records.compared_runs(old, new, ["env"])
+
+
+@query("""WITH r AS (SELECT label AS run, count(*) / 40.0::DOUBLE AS speed_up, 0.998 + label / 1000.0::DOUBLE AS agreement, CASE WHEN label = 4 THEN NULL ELSE 10.0 * label END AS soak_minutes FROM embeddings GROUP BY 1)
+SELECT run, CASE WHEN coalesce(speed_up >= 1.2 AND agreement >= 0.999 AND soak_minutes >= 30, false) THEN 'qualified' ELSE 'experimental' END AS decision FROM r""")
+def qualification(spark, d):
+    r = t(spark, d, "embeddings").groupBy(F.col("label").alias("run")).agg((F.count("*") / F.lit(40.0)).alias("speed_up"))
+    r = r.withColumn("agreement", F.lit(0.998) + F.col("run") / F.lit(1000.0)).withColumn("soak_minutes", F.when(F.col("run") != 4, 10.0 * F.col("run")))
+    return records.qualified(r).select("run", "decision")
+
+
+@query("SELECT DISTINCT id, epoch_us(indexed_at::TIMESTAMP) // 1000 AS ms, strftime(indexed_at::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM dual_documents")
+def file_times(spark, d):
+    return t(spark, d, "dual_documents").select("id", paths.unix_ms(F.col("indexed_at")).alias("ms"), paths.iso_time(F.col("indexed_at")).alias("iso")).distinct()
+
+
+@query("WITH f AS (SELECT file_path, count(*) AS n, max(file_size) AS s FROM code_chunks GROUP BY 1) SELECT sum(n)::BIGINT AS n_rows, count(file_path) AS n_files, coalesce(sum(s), 0)::BIGINT AS n_bytes, (SELECT count(DISTINCT git_project_identifier) FROM code_chunks) AS n_projects FROM f")
+def store_statistics(spark, d):
+    return listings.store_statistics(t(spark, d, "code_chunks"))
+
+
+@query("SELECT id, file_path FROM dual_documents WHERE file_hash IS NULL OR file_hash NOT IN (SELECT file_hash FROM dual_documents WHERE document_type = 'md' AND file_hash IS NOT NULL)")
+def delete_by_content(spark, d):
+    r = t(spark, d, "dual_documents").select("id", "file_path", "file_hash", "document_type")
+    return dml.delete(r, r.filter("document_type = 'md' and file_hash is not null"), ["file_hash"]).select("id", "file_path")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 30 OFFSET 20")
+def fts_empty_query(spark, d):
+    """Without words the search is a scan by the filter in the order of the key."""
+    return fulltext.search(_docs(spark, d), "doc_id", "", _settings(), F.col("lang") == "fr", 30, 20).select("doc_id")
+
+
+@query(f"{_IDX} SELECT doc_id FROM idx WHERE term LIKE 'manifest%' GROUP BY 1 ORDER BY max((term = 'manifest')::INT) DESC, doc_id LIMIT 7")
+def fts_hit_cap(spark, d):
+    """The settings' cap holds before the page."""
+    return fulltext.search(_docs(spark, d), "doc_id", "manifest", _settings(max_total_hits=7, one_typo=99, two_typos=99), limit=20, index=_index(spark, d)).select("doc_id")
