@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,24 +55,32 @@ def signature(shingles: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(sig: np.ndarray) -> list[int]:
+def odd_sketches(sigs: np.ndarray) -> np.ndarray:
+    """The sketch of each line of samples, as SKETCH_BITS / 64 numbers."""
     with np.errstate(over="ignore"):
-        x = (sig + np.arange(len(sig), dtype=np.uint64) * ROLL) * np.uint64(0xD6E8FEB86659FD93)
+        x = (sigs + np.arange(sigs.shape[1], dtype=np.uint64) * ROLL) * np.uint64(0xD6E8FEB86659FD93)
         bits = (x >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
-    parity = (np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity).view(np.int64).tolist()
+    at = (bits + np.arange(len(sigs))[:, None] * SKETCH_BITS).ravel()
+    parity = (np.bincount(at, minlength=len(sigs) * SKETCH_BITS) & 1).astype(np.uint8).reshape(-1, SKETCH_BITS)
+    return np.packbits(parity, axis=1).view(np.int64)
 
 
-def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
-    m = sig.reshape(-1, rows)
+def band_keys(sigs: np.ndarray, rows: int) -> np.ndarray:
+    """The keys of all bands of each line of samples."""
+    m = sigs.reshape(len(sigs), -1, rows)
     with np.errstate(over="ignore"):
-        h = np.arange(len(m), dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+        h = np.arange(m.shape[1], dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.zeros((len(sigs), 1), np.uint64)
         for k in range(rows):
-            h = (h ^ m[:, k]) * ROLL
+            h = (h ^ m[:, :, k]) * ROLL
             h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
 
+def lists(flat: np.ndarray, sizes: np.ndarray | list[int]) -> pa.ListArray:
+    """Arrow lists of the given sizes, one after the other."""
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.ascontiguousarray(flat).ravel(), pa.int64()))
+
+
 def most_bits(similarity: float, samples: int) -> int:
     """Bits in which the sketches of texts of this similarity differ, as expected."""
     return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * samples * (1 - similarity) / SKETCH_BITS)))
@@ -95,25 +104,33 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
     d = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     a, c = permutations(rows * bands, seed)
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, seen = WordHash(), set()
-        for p in batches:
-            out = []
-            for k, t in zip(p["_k"], p["_t"], strict=True):
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, seen, names = WordHash(), set(), ["_k", "node", "bands", "sketch"]
+        none = pa.list_(pa.int64())
+        for b in batches:
+            first, copies, sigs = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 s = shingles_of(t, n, least, cache)
                 if s is None:
                     continue
                 node = node_of(s)
                 if node in seen:  # a copy in this task: its bands are there already
-                    out.append((k, node, None, None))
+                    copies.append((i, node))
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
-                sig = signature(s, a, c)
-                out.append((k, node, band_keys(sig, rows), odd_sketch(sig)))
-            yield pd.DataFrame(out, columns=["_k", "node", "bands", "sketch"])
-
-    feats = materialise(d.mapInPandas(features, f"_k {kind}, node long, bands array<long>, sketch array<long>"), "features")
+                first.append((i, node))
+                sigs.append(signature(s, a, c))
+            if first:
+                x = np.stack(sigs)
+                bands_, sketch = band_keys(x, rows), odd_sketches(x)
+                at, nodes = (pa.array(v, pa.int64()) for v in zip(*first, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), nodes, lists(bands_, [bands_.shape[1]] * len(x)), lists(sketch, [sketch.shape[1]] * len(x))], names)
+            if copies:
+                at, nodes = (pa.array(v, pa.int64()) for v in zip(*copies, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), nodes, pa.nulls(len(at), none), pa.nulls(len(at), none)], names)
+
+    feats = materialise(d.mapInArrow(features, f"_k {kind}, node long, bands array<long>, sketch array<long>"), "features")
     keyed = feats.filter("bands is not null").select(F.explode("bands").alias("band"), "node")
     parts = max(2, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-feats.count() * bands // BAND_ROWS))
     keyed = keyed.repartition(parts, "band").sortWithinPartitions("band", "node")
@@ -187,12 +204,12 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
     few = nodes.count() <= verify_broadcast
     wanted = broadcast(d.sparkSession, np.sort(np.array([r[0] for r in nodes.toLocalIterator()], np.int64))) if few else None
 
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = WordHash(), set()
         keep = wanted() if wanted else None
-        for p in batches:
-            out = []
-            for t in p["_t"]:
+        for b in batches:
+            nodes, sets = [], []
+            for t in b.column(0).to_pylist():
                 s = shingles_of(t, n, least, cache)
                 if s is None:
                     continue
@@ -201,10 +218,12 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
-                out.append((node, s.view(np.int64)))
-            yield pd.DataFrame(out, columns=["node", "set"])
+                nodes.append(node)
+                sets.append(s)
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists(np.concatenate(sets).view(np.int64), [len(x) for x in sets])], ["node", "set"])
 
-    sets = d.mapInPandas(shingled, "node long, set array<long>")
+    sets = d.select("_t").mapInArrow(shingled, "node long, set array<long>")
     if not few:
         sets = sets.join(nodes, "node", "left_semi")
     sets = sets.dropDuplicates(["node"])

@@ -89,6 +89,6 @@ def test_sketches_estimate_high_similarities():
             y[i] = f"z{i}"
         sx, sy = (nd.shingles_of(" ".join(v), 1, 0, cache) for v in (x, y))
         true = len(set(sx) & set(sy)) / len(set(sx) | set(sy))
-        bits = sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(nd.odd_sketch(nd.signature(sx, a, c)), nd.odd_sketch(nd.signature(sy, a, c)), strict=True))
+        bits = sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(*nd.odd_sketches(np.stack([nd.signature(sx, a, c), nd.signature(sy, a, c)])).tolist(), strict=True))
         guess = 1 + nd.SKETCH_BITS / (4 * 160) * np.log(1 - 2 * bits / nd.SKETCH_BITS)
         assert abs(guess - true) < 0.15
