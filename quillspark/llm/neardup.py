@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import ROLL, WordHash, broadcast, grams, hashed_words, latest, permutations
+from .common import ROLL, WordHash, grams, hashed_words, latest, permutations
 
 SKETCH_BITS = 512
 #: Band rows of one task, about.
@@ -199,14 +199,13 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
     hot_near = spread.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
     near = materialise(near.unionByName(hot_near).distinct(), "near")
 
-    # Exact check. The shingles of the nodes that are in some pair are made again from their texts.
+    # Exact check. The shingles of the nodes that are in some pair are made again, each from one of its texts.
     nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    few = nodes.count() <= verify_broadcast
-    wanted = broadcast(d.sparkSession, np.sort(np.array([r[0] for r in nodes.toLocalIterator()], np.int64))) if few else None
+    texts = materialise(feats.select("node", F.xxhash64("_k").alias("_h")).join(nodes, "node", "left_semi").groupBy("node").agg(F.min("_h").alias("_h")).select("_h").distinct(), "texts")
+    chosen = d.withColumn("_h", F.xxhash64("_k")).join(F.broadcast(texts) if texts.count() <= verify_broadcast else texts, "_h", "left_semi")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = WordHash(), set()
-        keep = wanted() if wanted else None
         for b in batches:
             nodes, sets = [], []
             for t in b.column(0).to_pylist():
@@ -214,7 +213,7 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
                 if s is None:
                     continue
                 node = node_of(s)
-                if node in seen or keep is not None and (not len(keep) or keep[min(int(np.searchsorted(keep, node)), len(keep) - 1)] != node):
+                if node in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
@@ -223,10 +222,7 @@ def similar_nodes(docs: DataFrame, key: str, text: str, *, n: int = 5, threshold
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists(np.concatenate(sets).view(np.int64), [len(x) for x in sets])], ["node", "set"])
 
-    sets = d.select("_t").mapInArrow(shingled, "node long, set array<long>")
-    if not few:
-        sets = sets.join(nodes, "node", "left_semi")
-    sets = sets.dropDuplicates(["node"])
+    sets = chosen.select("_t").mapInArrow(shingled, "node long, set array<long>").dropDuplicates(["node"])
     both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("xb")), "b")
     same = F.size(F.array_intersect("xa", "xb"))
     exact = both.filter(same >= threshold * (F.size("xa") + F.size("xb") - same)).select("a", "b")
