@@ -3,10 +3,10 @@
 Words are counted over all rows. A word's skeleton folds glyphs that scanning confuses (c and e, f and t, rn and m,
 digits and letters ...) into one; a rare word's candidates are the more frequent words of its skeleton, so plausible
 glyph edits of any number are one equi-join, never a comparison of pairs. Skip-gram vectors with negative
-sampling, learned on a bounded sample of rows, link it to one of them in context: at each occurrence a candidate is
+sampling, learned on how often words stand beside each other in all rows, link it to one of them in context: at each occurrence a candidate is
 judged by how much likelier it is than the rare word itself, as the counts say, and by how much nearer its vector lies
-to the words around than chance, and only what is ahead in sum is followed. Where the
-sample lacks the words, the counts alone decide. Then running headers and page numbers are taken off, words split by the
+to the words around than chance, and only what is ahead in sum is followed. Where
+words are too rare for vectors, the counts alone decide. Then running headers and page numbers are taken off, words split by the
 layout are joined, and the lines are reflowed into paragraphs.
 
 The pages of a long file are looked at in blocks, so a file of any length is many small groups; what repeats on its
@@ -15,17 +15,23 @@ pages (the words of headers, the offsets of page numbers) is counted over the wh
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import bounded_sample, broadcast, latest
+from .common import broadcast, latest
 
 TOKEN = re.compile(r"[^\W_]+")
 MARKS = "-­¬‐"
@@ -70,63 +76,194 @@ def compounds_of(text: str) -> Iterator[tuple[str, str]]:
         yield a[0], m[1]
 
 
+class Ids(dict):
+    """word -> its place in the sorted hashes of the vocabulary, in lower case; -1 if it is not there, -2 for a number. Remembered up to a bound."""
+
+    LIMIT = 200_000
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        k = -2 if word.isdigit() else place(self.known, word.lower())
+        if len(self) < self.LIMIT:
+            self[word] = k
+        return k
+
+
+def hashed(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
+def place(known: np.ndarray, word: str) -> int:
+    h = hashed(word)
+    k = int(np.searchsorted(known, h))
+    return k if k < len(known) and known[k] == h else -1
+
+
+def vocabulary(counts: DataFrame, least: int = 5) -> np.ndarray:
+    """The sorted hashes of the words, in lower case, that stand ``least`` times or more in all rows. counts: word, n."""
+
+    def lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            p = p[[not w.isdigit() for w in p["word"]]]
+            yield pd.DataFrame({"h": np.fromiter((hashed(w.lower()) for w in p["word"]), np.int64, len(p)), "n": p["n"].to_numpy()})
+
+    known = counts.select("word", "n").mapInPandas(lower, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
+    return np.sort(known.toArrow()["h"].to_numpy())
+
+
+def beside(docs: DataFrame, text: str, known, window: int = 2) -> DataFrame:
+    """(x, y, n), x <= y: how often two words of the vocabulary stand within ``window`` words, over all rows."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told() -> pd.DataFrame:
+            return pd.DataFrame({"x": codes // size, "y": codes % size, "n": n})
+
+        ids = Ids(*known())
+        size = max(1, len(ids.known))
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for p in batches:
+            rows: list[int] = []
+            for t in p[text]:
+                rows += map(ids.__getitem__, all_words(t))
+                rows += [-1] * window
+            flat = np.array(rows, np.int64)
+            flat = flat[flat != -2]
+            new = []
+            for d in range(1, window + 1):
+                a, b = flat[:-d], flat[d:]
+                ok = (a >= 0) & (b >= 0)
+                new.append(np.minimum(a, b)[ok] * size + np.maximum(a, b)[ok])
+            new, k = np.unique(np.concatenate(new), return_counts=True)
+            codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, k]), len(codes)).astype(np.int64)
+            if len(codes) > 2_000_000:
+                yield told()
+                codes, n = codes[:0], n[:0]
+        yield told()
+
+    return docs.select(text).mapInPandas(count, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+
+
+def shared(spark, arrays: dict[str, np.ndarray]):
+    """A function that maps arrays into a worker's memory, from a file of each on every executor; so they may be of any size."""
+    where, tag = tempfile.mkdtemp(prefix="skipgram-"), uuid.uuid4().hex
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    for name, x in arrays.items():
+        np.save(f"{where}/{tag}-{name}.npy", x)
+        spark.sparkContext.addFile(f"{where}/{tag}-{name}.npy")
+    names = list(arrays)
+
+    def load() -> list[np.ndarray]:
+        from pyspark import SparkFiles
+
+        return [np.load(SparkFiles.get(f"{tag}-{name}.npy"), mmap_mode="r") for name in names]
+
+    return load
+
+
 class SkipGram:
-    """Vectors of the words of a sample, by skip-gram with negative sampling."""
-
-    def __init__(self, texts: list[str], dims: int = 24, window: int = 2, least: int = 5, negative: int = 4, epochs: int = 2, rate: float = 0.05, seed: int = 1):
-        rows = [[w.lower() for w in counted_words(t)] for t in texts]
-        count = Counter(w for r in rows for w in r)
-        self.words = {w: i for i, (w, n) in enumerate(count.most_common()) if n >= least}
-        n, r = len(self.words), np.random.default_rng(seed)
-        self.a = ((r.random((n, dims)) - 0.5) / dims).astype(np.float32)
-        self.b = np.zeros((n, dims), np.float32)
-        self.usual = np.zeros(dims, np.float32)
-        if not n:
-            return
-        flat = np.concatenate([np.array([self.words.get(w, -1) for w in row] + [-1] * window, np.int64) for row in rows])
-        pairs = [(flat[:-d], flat[d:]) for d in range(1, window + 1)]
-        x = np.concatenate([p for a, b in pairs for p in (a, b)])
-        y = np.concatenate([p for a, b in pairs for p in (b, a)])
-        ok = (x >= 0) & (y >= 0)
-        f = np.array([count[w] for w in self.words], np.float64)
-        f /= f.sum()
-        ok &= r.random(len(x)) < np.minimum(1, np.sqrt(1e-3 / np.where(x >= 0, f[x], 1)) + 1e-3 / np.where(x >= 0, f[x], 1))
-        x, y = x[ok], y[ok]
-        noise = np.cumsum(f**0.75)
-        noise = np.searchsorted(noise / noise[-1], (np.arange(1 << 20) + 0.5) / (1 << 20))  # words in proportion, to draw from
-        size = max(64, min(4096, len(x) // 100))  # a small sample is gone through in smaller steps, and more often
-        for _ in range(max(epochs, min(40, 200_000 // max(1, len(x))))):
-            order = r.permutation(len(x))
-            for k in range(0, len(order), size):
-                i, j = x[order[k : k + size]], y[order[k : k + size]]
-                self._step(i, j, noise[r.integers(0, len(noise), (len(i), negative))], rate)
-        self.usual = (f @ self.b).astype(np.float32)  # what stands beside a word by chance
-
-    def _step(self, i: np.ndarray, j: np.ndarray, neg: np.ndarray, rate: float) -> None:
-        js = np.concatenate([j[:, None], neg], axis=1)
-        a, b = self.a[i], self.b[js]
-        g = -1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", a, b), -15, 15)))
-        g[:, 0] += 1
-        g *= rate
-        da, db = np.einsum("nk,nkd->nd", g, b), g[:, :, None] * a[:, None, :]
-        self._add(self.b, js.ravel(), db.reshape(-1, db.shape[-1]))
-        self._add(self.a, i, da)
-
-    @staticmethod
-    def _add(to: np.ndarray, at: np.ndarray, delta: np.ndarray, most: float = 16.0) -> None:
-        """Adds the updates of a batch; a word that comes often in it gets ``most`` times their mean."""
-        at = at.astype(np.int16) if len(to) < 1 << 15 else at  # numpy sorts short numbers by their digits
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        n = np.diff(np.r_[start, len(at)])
-        to[at[start]] += np.add.reduceat(delta[order], start, axis=0) * np.minimum(1, most / n)[:, None].astype(np.float32)
+    """Vectors of words, by skip-gram with negative sampling.
+
+    What skip-gram learns depends on the rows only by how often two words stand beside each other, so it is learned on these
+    counts, and they are of all rows. In turns, each word's vector and then each word's vector as a neighbour takes one Newton step
+    towards the best for its counts and for drawn chance words; ``ridge`` keeps those of few counts small.
+    """
+
+    def __init__(self, known: np.ndarray, a: np.ndarray, b: np.ndarray, usual: np.ndarray):
+        self.ids, self.a, self.b, self.usual = Ids(known), a, b, usual
 
     def fit(self, word: str, around: list[str]) -> float:
         """By how much a word fits the words around it better than it fits chance ones, in nats; 0 if nothing is known of either."""
-        k = self.words.get(word)
-        at = [self.words[w] for w in around if w in self.words]
-        return float((self.b[at] - self.usual).sum(axis=0) @ self.a[k]) if k is not None and at else 0.0
+        k = self.ids[word]
+        at = [i for w in around if (i := self.ids[w]) >= 0]
+        return float((self.b[at] - self.usual).sum(axis=0) @ self.a[k]) if k >= 0 and at else 0.0
+
+
+class Turn:
+    """One turn of the learning: ``step`` gives words their next vectors, from those of the other side."""
+
+    def __init__(self, total: np.ndarray, other: np.ndarray, neighbours: bool, number: int, negative: int = 4, draws: int = 1024, ridge: float = 16.0):
+        f = np.maximum(total, 1e-9) / total.sum()
+        keep = np.minimum(1, np.sqrt(1e-3 / f) + 1e-3 / f)  # frequent words count less
+        chance = f**0.75 / (f**0.75).sum()
+        centre = keep * total
+        self.other, self.ridge = other, ridge
+        # A centre's counts are all kept at its own share; a neighbour's at the shares of the centres it stands beside.
+        self.own, self.beside = (np.ones_like(keep), keep) if neighbours else (keep, np.ones_like(keep))
+        self.against = negative * (chance * centre.sum() if neighbours else centre) / draws
+        drawn = np.cumsum(centre if neighbours else chance)
+        at = (np.arange(draws) + np.random.default_rng(number).random()) / draws
+        self.noise = other[np.minimum(np.searchsorted(drawn / drawn[-1], at), len(drawn) - 1)]
+        self.squares = np.einsum("mi,mj->mij", self.noise, self.noise).reshape(draws, -1)
+
+    def step(self, words: np.ndarray, was: np.ndarray, many: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """was: their vectors; many: how many neighbours each has; at, n: all the neighbours and counts, word by word."""
+        dims, start = was.shape[1], np.r_[0, np.cumsum(many)]
+        near = self.other[at]
+        n = (n * np.repeat(self.own[words], many) * self.beside[at]).astype(np.float32)
+        s = _sigmoid(np.einsum("ij,ij->i", near, np.repeat(was, many, axis=0)))
+        r = _sigmoid(was @ self.noise.T)
+        c = self.against[words][:, None]
+        g = -c * (r @ self.noise) - self.ridge * was
+        h = (c * ((r * (1 - r)) @ self.squares)).reshape(-1, dims, dims) + self.ridge * np.eye(dims)
+        slope, bend = n * (1 - s), (n * s * (1 - s))[:, None]
+        for k in range(len(words)):
+            own = slice(start[k], start[k + 1])
+            g[k] += slope[own] @ near[own]
+            h[k] += (near[own] * bend[own]).T @ near[own]
+        move = np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        return (was + move / np.maximum(1, np.linalg.norm(move, axis=1))[:, None]).astype(np.float32)
+
+
+def batches_of(many: np.ndarray, words: int = 1024, pairs: int = 200_000) -> Iterator[slice]:
+    """Ranges of so many words that have so many neighbours together, or of one that has more."""
+    k, end = 0, np.cumsum(many)
+    while k < len(many):
+        to = int(np.searchsorted(end, (end[k - 1] if k else 0) + pairs, "right"))
+        to = max(k + 1, min(to, k + words))
+        yield slice(k, to)
+        k = to
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -15, 15)))
+
+
+def learned(spark, known: np.ndarray, pairs: DataFrame, dims: int = 24, turns: int = 8, seed: int = 1) -> list[np.ndarray]:
+    """[vectors, vectors as neighbours, the mean of these by frequency] from the counts of all pairs; each turn is a job."""
+    size, r = len(known), np.random.default_rng(seed)
+    sides = [((r.random((size, dims)) - 0.5).astype(np.float32)) for _ in range(2)]
+    # Both orders of each pair; two of one word count for both.
+    both = pairs.select("x", "y", F.when(F.col("x") == F.col("y"), 2 * F.col("n")).otherwise(F.col("n")).alias("n"))
+    both = both.unionByName(pairs.filter("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "n"))
+    words = both.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("y", "n"))).alias("p"), F.sum("n").alias("total"))
+    words = materialise(words.select("x", "p.y", "p.n", "total"), "beside")
+    total = np.zeros(size)
+    t = words.select("x", "total").toArrow()
+    total[t["x"].to_numpy()] = t["total"].to_numpy()
+    if not len(t):
+        return [*(0 * x for x in sides), np.zeros(dims, np.float32)]
+    totals, sent = shared(spark, {"total": total}), [shared(spark, {"vectors": x}) for x in sides]
+
+    for k in range(2 * turns):
+
+        def go(batches: Iterator[pa.RecordBatch], k=k, mine=sent[k % 2], other=sent[1 - k % 2]) -> Iterator[pa.RecordBatch]:
+            turn, (was,) = Turn(*totals(), *other(), bool(k % 2), k), mine()
+            for p in batches:
+                ids, many, at, n = (c.to_numpy() for c in (p["x"], p["y"].value_lengths(), p["y"].flatten(), p["n"].flatten()))
+                start = np.r_[0, np.cumsum(many)]
+                for i in batches_of(many):
+                    own = slice(start[i.start], start[i.stop])
+                    v = turn.step(ids[i], was[ids[i]], many[i], at[own], n[own])
+                    yield pa.RecordBatch.from_pydict({"x": [ids[i].tobytes()], "v": [v.tobytes()]})
+
+        new = np.zeros_like(sides[k % 2])  # a word without neighbours says nothing
+        for row in words.select("x", "y", "n").mapInArrow(go, "x binary, v binary").toArrow().to_pylist():
+            new[np.frombuffer(row["x"], np.int64)] = np.frombuffer(row["v"], np.float32).reshape(-1, dims)
+        sides[k % 2], sent[k % 2] = new, shared(spark, {"vectors": new})
+    return [*sides, ((total / total.sum()) @ sides[1]).astype(np.float32)]
 
 
 # --- page numbers and running headers ---------------------------------------------------------------------------
@@ -408,23 +545,28 @@ def glyph_links(counts: DataFrame, sound_share: float = 0.0, ratio: int = 25, di
     return c.filter(~own).join(top, "skeleton").filter(F.col("word") != F.col("right")).select("word", "right", lead.alias("lead")).filter(F.col("lead") >= -slack - 1e-9)
 
 
-def repaired(docs: DataFrame, sample: int = 6_000, link_limit: int = 500_000, ratio: int = 25, slack: float = 1.5, trust: float = 0.5, most: float = 4.0, pages: int = PAGES) -> DataFrame:
+def repaired(docs: DataFrame, sample: int | None = None, link_limit: int = 500_000, ratio: int = 25, slack: float = 1.5, trust: float = 0.5, most: float = 4.0, pages: int = PAGES) -> DataFrame:
     """(id, kinds, text) for each row of a scanned PDF file.
 
     docs: the columns of dual_documents that are read below. A row is of a scanned file if it has ``ocr_language``,
     ``ocr_triggered_by`` or ``ocr_confidence`` and is of type pdf; the confidence's value decides nothing. Repeated
     ids count once. Null and blank contents come out as empty text without kinds. A null page number is taken from
-    the chunk's index. ``sample`` bounds the rows on which the vectors are learned; words and compounds are counted
-    over all rows. ``pages`` is the number of pages above which a file is looked at in blocks of so many.
+    the chunk's index. Words and compounds are counted and vectors learned over all rows; who gives ``sample`` has the
+    vectors learned on so many rows only. ``pages`` is the number of pages above which a file is looked at in blocks of so many.
     """
     spark = docs.sparkSession
     d = latest(docs.select("id", "indexed_at", "collection", "file_path", "page_number", "chunk_index", "document_type", "ocr_language", "ocr_triggered_by", "ocr_confidence", "content"), "id", "indexed_at")
-    texts = [r["content"] for r in bounded_sample(d.filter(F.length("content") > 40), "id", ["content"], sample)]
-    vectors = broadcast(spark, SkipGram(texts))
     scanned = (F.col("document_type") == "pdf") & (F.col("ocr_language").isNotNull() | F.col("ocr_triggered_by").isNotNull() | F.col("ocr_confidence").isNotNull())
     tally = materialise(tallies(docs.select("content", F.coalesce(scanned, F.lit(False)).alias("scanned")), "content", "scanned"), "tallies")
     counts = tally.filter("b is null").select(F.col("a").alias("word"), "n", F.col("m").alias("sound"))
     total = counts.agg(F.sum("n").alias("n"), F.sum("sound").alias("s")).first()
+    known = vocabulary(counts)
+    pairs = materialise(beside(d if sample is None else d.orderBy(F.xxhash64("id"), "id").limit(sample), "content", shared(spark, {"known": known})), "pairs")
+    arrays = shared(spark, dict(zip(("known", "a", "b", "usual"), [known, *learned(spark, known, pairs)], strict=True)))
+
+    def vectors() -> SkipGram:
+        return SkipGram(*arrays())
+
     links = materialise(glyph_links(counts, (total["s"] or 0) / max(1, total["n"] or 0), ratio, slack=slack), "links")
     parts = tally.filter("b is not null").select("a", "b", F.col("n").alias("split"), F.col("m").alias("whole"))
     whole = broadcast(spark, {f"{r['a']}-{r['b']}" for r in compounds(parts, counts).toLocalIterator()})

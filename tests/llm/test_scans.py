@@ -111,3 +111,25 @@ def test_headers_and_numbers_are_voted_over_the_whole_of_a_long_file(spark):
 def test_ligatures_are_undone(spark):
     got = found(spark, [row("a", "/a.pdf", 1, "\n".join(BODY).replace("corpus", "xuﬁba"))])
     assert got["a"] == (("characters",), PLAIN.replace("corpus", "xufiba"))
+
+
+def test_vectors_are_learned_from_all_rows(spark):
+    """What tells tree from free stands in rows that no sample of 6,000 by their hashes holds."""
+    ids = [r["id"] for r in spark.range(7_400).selectExpr("concat('v', id) as id").orderBy("id").selectExpr("id", "xxhash64(id) as h").orderBy("h").collect()]
+    tree, free = "each branch of the tree keeps its root in place", "while the lock was free again the worker could go on"
+    plain = [row(i, f"/{i}.md", None, PLAIN[:70], None, "md") for i in ids[:7_000]]
+    sound = [row(i, f"/{i}.md", None, " ".join([tree, free, tree][: 2 + k % 2]), None, "md") for k, i in enumerate(ids[7_000:])]
+    bad = [row(f"x{k}", f"/x{k}.pdf", 1, t.replace("tree", "frcc").replace("free", "frcc")) for k, t in enumerate((tree, free))]
+    got = {r["id"]: r["text"] for r in scans.repaired(spark.createDataFrame([*plain, *sound, *bad], SCHEMA)).collect()}
+    assert got == {"x0": tree, "x1": free}
+
+
+def test_neighbours_are_counted_in_every_row(spark):
+    texts = ["A b, a\nB 7 c", "b a", None, "", "c-\nb a", "zz a"] * 3
+    t = spark.createDataFrame([(x,) for x in texts], "t string").repartition(3)
+    counts = spark.createDataFrame([("a", 9), ("A", 3), ("b", 9), ("B", 3), ("c", 3), ("C", 2), ("cb", 9), ("zz", 4), ("7", 9)], "word string, n long")
+    known = scans.vocabulary(counts)
+    word = {int(scans.place(known, w)): w for w in ("a", "b", "c", "cb")}
+    got = {tuple(sorted((word[r["x"]], word[r["y"]]))): r["n"] for r in scans.beside(t, "t", scans.shared(spark, {"known": known})).collect()}
+    assert len(known) == 4 and scans.place(known, "zz") == -1
+    assert got == {("a", "b"): 12, ("a", "a"): 3, ("b", "b"): 3, ("b", "c"): 3, ("a", "c"): 3, ("a", "cb"): 3}
